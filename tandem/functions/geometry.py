@@ -14,7 +14,7 @@ runs per row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,8 +34,16 @@ class Side:
 
     prefix: str = ""
     has_geom: bool = False
+    struct: Column | None = field(default=None, compare=False)
+
+    @classmethod
+    def of_struct(cls, struct: Column, has_geom: bool = False) -> "Side":
+        """Accessors over the fields of a struct value (e.g. a neighbour)."""
+        return cls("", has_geom, struct)
 
     def __call__(self, name: str) -> Column:
+        if self.struct is not None:
+            return self.struct[name]
         return F.col(self.prefix + name)
 
     @property
@@ -78,6 +86,25 @@ class Side:
         return self.minx, self.miny
 
 
+@dataclass(frozen=True)
+class LitBox:
+    """A constant box with the envelope accessors of ``Side``."""
+
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+
+    @property
+    def minx(self): return F.lit(self.x0)
+    @property
+    def miny(self): return F.lit(self.y0)
+    @property
+    def maxx(self): return F.lit(self.x1)
+    @property
+    def maxy(self): return F.lit(self.y1)
+
+
 def point(x, y) -> Column:
     return F.struct(_c(x).cast("double").alias("x"), _c(y).cast("double").alias("y"))
 

@@ -29,6 +29,11 @@ def epoch_us_ntz(c) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _col(c))
 
 
+def from_epoch_us_ntz(c) -> Column:
+    """Epoch microseconds -> TIMESTAMP_NTZ wall clock (inverse of ``epoch_us_ntz``)."""
+    return F.timestamp_add("MICROSECOND", _col(c), F.expr(_EPOCH_NTZ))
+
+
 def epoch_us_ltz(c) -> Column:
     """Epoch microseconds of a TIMESTAMP (instant)."""
     return F.unix_micros(_col(c))

@@ -70,6 +70,7 @@ class KnnPlan:
     grid: G.Grid
     max_level: int
     count_bin_us: int
+    count_bins: int
     join_bin_us: int
     abs_eps: float
     right_stats: Stats
@@ -98,7 +99,7 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
     rs = collect_stats(right_f)
     if rs.empty:
         grid = G.Grid(0.0, 0.0, 1.0)
-        return KnnPlan(k, delta_us, grid, 0, 1, max(1, delta_us), 1e-9, rs), right_f
+        return KnnPlan(k, delta_us, grid, 0, 1, 1, max(1, delta_us), 1e-9, rs), right_f
     side_len = max(rs.maxx - rs.minx, rs.maxy - rs.miny)
     if not side_len > 0:
         side_len = 1.0
@@ -110,18 +111,34 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
         max_level = min(MAX_LEVEL_CAP, _log4_ceil(per_window / k) + EXTRA_LEVELS)
         if rs.avg_extent and rs.avg_extent > 0:
             max_level = min(max_level, max(0, int(math.floor(math.log2(side_len / rs.avg_extent)))))
-    count_bin = max(1, (2 * delta_us + 1) // (count_bins + 1))
+    count_bin, count_bins = count_binning(delta_us, count_bins)
     if join_bin_us is None:
         join_bin_us = max(1, delta_us, int(math.ceil(rs.avg_len or 0.0)),
                           int(math.ceil((lrow["len"] or 0.0) / 2)))
     abs_eps = REL_EPS * (abs(grid.x0) + abs(grid.y0) + grid.side)
-    return KnnPlan(k, delta_us, grid, max_level, count_bin, join_bin_us, abs_eps, rs), right_f
+    return KnnPlan(k, delta_us, grid, max_level, count_bin, count_bins, join_bin_us, abs_eps, rs), right_f
+
+
+def count_binning(delta_us: int, count_bins: int = COUNT_BINS) -> tuple[int, int]:
+    """(bin width, M) such that every widened window ``[t - delta, t + delta]``
+    (``2 delta + 1`` integer microseconds) holds M whole count bins."""
+    width = 2 * delta_us + 1
+    if width <= count_bins:
+        return 1, width            # 1 µs bins are always aligned
+    return width // (count_bins + 1), count_bins
 
 
 def _levels(max_level: int) -> Column:
     return F.sequence(F.lit(0), F.lit(max_level))
 
 
+def explode_levels(df: DataFrame, max_level: int, name: str = "_lv") -> DataFrame:
+    """One row per level 0..max_level.  The literal array is materialised as a
+    column first: exploding it in the same projection as other constant
+    columns trips an optimizer rule in Spark 4.1 (generator output pruned)."""
+    return df.withColumn("_lvs", _levels(max_level)).select(*df.columns, F.explode("_lvs").alias(name))
+
+
 def dedup_copies(right: DataFrame, k: int) -> DataFrame:
     """Keep the k smallest ids of each group of exact copies (same geometry
     and interval): any further copy is beaten by k equal rows with smaller
@@ -134,26 +151,25 @@ def dedup_copies(right: DataFrame, k: int) -> DataFrame:
     return right.withColumn("_copy", F.row_number().over(w)).where(F.col("_copy") <= k).drop("_copy")
 
 
-def count_pyramid(right: DataFrame, plan: KnnPlan, count_bins: int = COUNT_BINS) -> DataFrame:
+def count_pyramid(right: DataFrame, plan: KnnPlan) -> DataFrame:
     """(level, cx, cy, bin) -> number of S rows whose vertex lies in the cell
     and whose start lies in count bins [bin, bin + M)."""
     s = side(right)
     vx, vy = s.vertex()
     sb = floor_div(F.col("start_us"), plan.count_bin_us)
-    g = plan.grid
-    return (right.select(vx.alias("_vx"), vy.alias("_vy"), sb.alias("_sb"))
-            .select("_vx", "_vy", "_sb", F.explode(_levels(plan.max_level)).alias("_lv"))
+    g, count_bins = plan.grid, plan.count_bins
+    base = right.select(vx.alias("_vx"), vy.alias("_vy"), sb.alias("_sb"))
+    return (explode_levels(base, plan.max_level)
             .select("_lv", g.cx(F.col("_vx"), F.col("_lv")).alias("_cx"),
                     g.cy(F.col("_vy"), F.col("_lv")).alias("_cy"),
                     F.explode(F.sequence(F.col("_sb") - (count_bins - 1), F.col("_sb"))).alias("_b"))
             .groupBy("_lv", "_cx", "_cy", "_b").agg(F.count(F.lit(1)).alias("_n")))
 
 
-def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None = None,
-              count_bins: int = COUNT_BINS) -> DataFrame:
-    """(id, bound): an upper bound of each R row's k-th candidate distance;
-    rows that cannot be bounded are absent."""
-    need = plan.k if need is None else need
+def _bound_hits(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int) -> DataFrame:
+    """Probe rows (id, level, cell, vertex) whose cell holds >= need S rows
+    that certainly overlap the R row's widened interval."""
+    count_bins = plan.count_bins
     s = side(left)
     vx, vy = s.vertex()
     a = F.col("start_us") - plan.delta_us
@@ -161,19 +177,42 @@ def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None
     b0 = ceil_div(a, plan.count_bin_us)
     inside = (b0 + count_bins) * plan.count_bin_us - 1 <= c
     g = plan.grid
-    probes = (left.where(inside)
-              .select("id", vx.alias("_vx"), vy.alias("_vy"), b0.alias("_b"),
-                      F.explode(_levels(plan.max_level)).alias("_lv"))
+    base = left.where(inside).select("id", vx.alias("_vx"), vy.alias("_vy"), b0.alias("_b"))
+    probes = (explode_levels(base, plan.max_level)
               .withColumn("_cx", g.cx(F.col("_vx"), F.col("_lv")))
               .withColumn("_cy", g.cy(F.col("_vy"), F.col("_lv"))))
-    pyr = count_pyramid(right, plan, count_bins).where(F.col("_n") >= need)
-    hit = probes.join(pyr, ["_lv", "_cx", "_cy", "_b"])
-    bx0, by0, bx1, by1 = g.cell_box(F.col("_lv"), F.col("_cx"), F.col("_cy"))
+    pyr = count_pyramid(right, plan).where(F.col("_n") >= need)
+    return probes.join(pyr, ["_lv", "_cx", "_cy", "_b"])
+
+
+def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None = None) -> DataFrame:
+    """J2 (id, bound): an upper bound of each R row's k-th candidate distance;
+    rows that cannot be bounded are absent."""
+    hit = _bound_hits(left, right, plan, plan.k if need is None else need)
+    bx0, by0, bx1, by1 = plan.grid.cell_box(F.col("_lv"), F.col("_cx"), F.col("_cy"))
     bound = G.maxdist_point_box(F.col("_vx"), F.col("_vy"), bx0, by0, bx1, by1) * (1 + REL_EPS) \
         + plan.abs_eps
     return hit.groupBy("id").agg(F.min(bound).alias("bound"))
 
 
+def home_cell(left: DataFrame, right: DataFrame, plan: KnnPlan) -> DataFrame:
+    """D6 (id, level, cx, cy): the deepest level whose cell around the R row's
+    vertex holds >= k S rows certainly inside its widened interval (count
+    bins as in ``knn_bound``).  Rows without such a cell are absent."""
+    hit = _bound_hits(left, right, plan, plan.k)
+    best = F.max(F.struct(F.col("_lv"), F.col("_cx"), F.col("_cy")))
+    return hit.groupBy("id").agg(best.alias("_h")).select(
+        "id", F.col("_h._lv").alias("level"), F.col("_h._cx").alias("cx"), F.col("_h._cy").alias("cy"))
+
+
+def kth_distance(result: DataFrame, k: int) -> DataFrame:
+    """Per left row, the k-th neighbour distance, NULL (= unbounded) when
+    fewer than k neighbours exist."""
+    return result.groupBy("l_id").agg(
+        F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("kth_dist"),
+        F.count(F.lit(1)).alias("n_neighbours"))
+
+
 def _level_for(bound: Column, plan: KnnPlan) -> Column:
     """Deepest level whose cell side is >= bound (0 when unbounded)."""
     ratio = F.lit(plan.grid.side) / bound
@@ -191,7 +230,7 @@ def right_cells(right_p: DataFrame, plan: KnnPlan, levels: DataFrame | None, lev
     g = plan.grid
     if level is None:
         # equi-join with a table of at most max_level + 1 rows (a proven bound)
-        out = right_p.withColumn("_lv", F.explode(_levels(plan.max_level))).join(F.broadcast(levels), "_lv")
+        out = explode_levels(right_p, plan.max_level).join(F.broadcast(levels), "_lv")
     else:
         out = right_p.withColumn("_lv", F.lit(level))
     p = prefix
