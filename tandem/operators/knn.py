@@ -57,6 +57,7 @@ COUNT_BINS = 3            # M: consecutive count bins summed per probe
 EXTRA_LEVELS = 3          # levels below the density estimate, for skewed density
 MAX_LEVEL_CAP = 24
 REL_EPS = 1e-9            # bound inflation against rounding at cell edges
+LOCAL_CAP = 8             # refine the bound where the home cell holds <= 8 k rows
 
 KEYS = ["_lv", "_cx", "_cy", "_tb"]
 
@@ -68,7 +69,8 @@ class KnnPlan:
     k: int
     delta_us: int
     grid: G.Grid
-    max_level: int
+    max_level: int            # deepest level of the count pyramid
+    join_max_level: int       # deepest level of the cell join (S boxes replicate per cell)
     count_bin_us: int
     count_bins: int
     join_bin_us: int
@@ -99,7 +101,7 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
     rs = collect_stats(right_f)
     if rs.empty:
         grid = G.Grid(0.0, 0.0, 1.0)
-        return KnnPlan(k, delta_us, grid, 0, 1, 1, max(1, delta_us), 1e-9, rs), right_f
+        return KnnPlan(k, delta_us, grid, 0, 0, 1, 1, max(1, delta_us), 1e-9, rs), right_f
     side_len = max(rs.maxx - rs.minx, rs.maxy - rs.miny)
     if not side_len > 0:
         side_len = 1.0
@@ -109,14 +111,18 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
     per_window = rs.n * min(1.0, window / span)
     if max_level is None:
         max_level = min(MAX_LEVEL_CAP, _log4_ceil(per_window / k) + EXTRA_LEVELS)
-        if rs.avg_extent and rs.avg_extent > 0:
-            max_level = min(max_level, max(0, int(math.floor(math.log2(side_len / rs.avg_extent)))))
+    join_max_level = max_level
+    if rs.avg_extent and rs.avg_extent > 0:
+        # cells of the join no smaller than half the mean S extent: a box
+        # meets ~(extent / side + 1)^2 cells, so replication stays small
+        join_max_level = min(max_level, max(0, int(math.floor(math.log2(side_len / rs.avg_extent))) + 1))
     count_bin, count_bins = count_binning(delta_us, count_bins)
     if join_bin_us is None:
         join_bin_us = max(1, delta_us, int(math.ceil(rs.avg_len or 0.0)),
                           int(math.ceil((lrow["len"] or 0.0) / 2)))
     abs_eps = REL_EPS * (abs(grid.x0) + abs(grid.y0) + grid.side)
-    return KnnPlan(k, delta_us, grid, max_level, count_bin, count_bins, join_bin_us, abs_eps, rs), right_f
+    return KnnPlan(k, delta_us, grid, max_level, join_max_level, count_bin, count_bins, join_bin_us,
+                   abs_eps, rs), right_f
 
 
 def count_binning(delta_us: int, count_bins: int = COUNT_BINS) -> tuple[int, int]:
@@ -151,18 +157,25 @@ def dedup_copies(right: DataFrame, k: int) -> DataFrame:
     return right.withColumn("_copy", F.row_number().over(w)).where(F.col("_copy") <= k).drop("_copy")
 
 
+def _level_cells(vx: Column, vy: Column, plan: KnnPlan) -> Column:
+    """``array<struct<_lv, _cx, _cy>>``: the cell of (vx, vy) at every level."""
+    g = plan.grid
+    return F.transform(_levels(plan.max_level), lambda lv: F.struct(
+        lv.alias("_lv"), g.cx(vx, lv).alias("_cx"), g.cy(vy, lv).alias("_cy")))
+
+
 def count_pyramid(right: DataFrame, plan: KnnPlan) -> DataFrame:
     """(level, cx, cy, bin) -> number of S rows whose vertex lies in the cell
     and whose start lies in count bins [bin, bin + M)."""
     s = side(right)
     vx, vy = s.vertex()
     sb = floor_div(F.col("start_us"), plan.count_bin_us)
-    g, count_bins = plan.grid, plan.count_bins
-    base = right.select(vx.alias("_vx"), vy.alias("_vy"), sb.alias("_sb"))
-    return (explode_levels(base, plan.max_level)
-            .select("_lv", g.cx(F.col("_vx"), F.col("_lv")).alias("_cx"),
-                    g.cy(F.col("_vy"), F.col("_lv")).alias("_cy"),
-                    F.explode(F.sequence(F.col("_sb") - (count_bins - 1), F.col("_sb"))).alias("_b"))
+    bins = F.sequence(sb - (plan.count_bins - 1), sb)
+    # one generator over keys computed from the row (never a literal array)
+    keys = F.flatten(F.transform(_level_cells(vx, vy, plan), lambda c: F.transform(
+        bins, lambda b: F.struct(c["_lv"].alias("_lv"), c["_cx"].alias("_cx"), c["_cy"].alias("_cy"),
+                                 b.alias("_b")))))
+    return (right.select(F.inline(keys))
             .groupBy("_lv", "_cx", "_cy", "_b").agg(F.count(F.lit(1)).alias("_n")))
 
 
@@ -176,23 +189,65 @@ def _bound_hits(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int) ->
     c = F.col("end_us") + plan.delta_us
     b0 = ceil_div(a, plan.count_bin_us)
     inside = (b0 + count_bins) * plan.count_bin_us - 1 <= c
-    g = plan.grid
-    base = left.where(inside).select("id", vx.alias("_vx"), vy.alias("_vy"), b0.alias("_b"))
-    probes = (explode_levels(base, plan.max_level)
-              .withColumn("_cx", g.cx(F.col("_vx"), F.col("_lv")))
-              .withColumn("_cy", g.cy(F.col("_vy"), F.col("_lv"))))
+    cells = F.transform(_level_cells(vx, vy, plan), lambda c: F.struct(
+        c["_lv"].alias("_lv"), c["_cx"].alias("_cx"), c["_cy"].alias("_cy"),
+        vx.alias("_vx"), vy.alias("_vy"), b0.alias("_b")))
+    probes = left.where(inside).select("id", F.inline(cells))
     pyr = count_pyramid(right, plan).where(F.col("_n") >= need)
     return probes.join(pyr, ["_lv", "_cx", "_cy", "_b"])
 
 
-def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None = None) -> DataFrame:
+def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None = None,
+              refine: bool = True) -> DataFrame:
     """J2 (id, bound): an upper bound of each R row's k-th candidate distance;
-    rows that cannot be bounded are absent."""
-    hit = _bound_hits(left, right, plan, plan.k if need is None else need)
+    rows that cannot be bounded are absent.
+
+    Count bound: the farthest point of the deepest cell (around R's vertex)
+    holding >= need S rows that certainly overlap in time.  Refinement: those
+    S rows are real candidates, so the need-th smallest distance from R's
+    vertex to them is a bound too, usually several times tighter.  It is
+    computed only where the home cell holds <= LOCAL_CAP * need rows, so each
+    R row meets a bounded number of S rows (dense spots keep the count bound,
+    which is small there anyway)."""
+    need = plan.k if need is None else need
+    hit = _bound_hits(left, right, plan, need)
     bx0, by0, bx1, by1 = plan.grid.cell_box(F.col("_lv"), F.col("_cx"), F.col("_cy"))
-    bound = G.maxdist_point_box(F.col("_vx"), F.col("_vy"), bx0, by0, bx1, by1) * (1 + REL_EPS) \
+    cbound = G.maxdist_point_box(F.col("_vx"), F.col("_vy"), bx0, by0, bx1, by1) * (1 + REL_EPS) \
         + plan.abs_eps
-    return hit.groupBy("id").agg(F.min(bound).alias("bound"))
+    # numeric aggregates only, so the plan keeps a hash aggregate
+    agg = hit.groupBy("id").agg(
+        F.min(cbound).alias("cbound"), F.max("_lv").alias("_lv"), F.max_by("_n", "_lv").alias("_n"),
+        F.first("_b").alias("_b"), F.first("_vx").alias("_vx"), F.first("_vy").alias("_vy"))
+    if not refine:
+        return agg.select("id", F.col("cbound").alias("bound"))
+    g = plan.grid
+    home = (agg.where(F.col("_n") <= LOCAL_CAP * need)
+            .select("id", "_lv", "_vx", "_vy",
+                    g.cx(F.col("_vx"), F.col("_lv")).alias("_cx"), g.cy(F.col("_vy"), F.col("_lv")).alias("_cy"),
+                    F.sequence(F.col("_b"), F.col("_b") + (plan.count_bins - 1)).alias("_sbs"))
+            .select("id", "_lv", "_vx", "_vy", "_cx", "_cy", F.explode("_sbs").alias("_sb")))
+    used = home.select("_lv").distinct()
+    rs = side(right)
+    vx, vy = rs.vertex()
+    rk = explode_levels(right.select(vx.alias("_rx"), vy.alias("_ry"), "minx", "miny", "maxx", "maxy",
+                                     floor_div(F.col("start_us"), plan.count_bin_us).alias("_sb")),
+                        plan.max_level).join(F.broadcast(used), "_lv")
+    rk = rk.withColumn("_cx", plan.grid.cx(F.col("_rx"), F.col("_lv"))) \
+        .withColumn("_cy", plan.grid.cy(F.col("_ry"), F.col("_lv")))
+    # distance from R's vertex to S's box (exact for box frames) or to S's
+    # vertex: both are >= the geometry distance, so the bound stays valid
+    if has_geometry(right):
+        d = G.point_distance(F.col("_vx"), F.col("_vy"), F.col("_rx"), F.col("_ry"))
+    else:
+        gx = G.envelope_gap(F.col("_vx"), F.col("_vx"), F.col("minx"), F.col("maxx"))
+        gy = G.envelope_gap(F.col("_vy"), F.col("_vy"), F.col("miny"), F.col("maxy"))
+        d = F.sqrt(gx * gx + gy * gy)
+    local = home.join(rk, ["_lv", "_cx", "_cy", "_sb"]).select("id", d.alias("_d"))
+    kth = local.groupBy("id").agg(
+        F.element_at(F.sort_array(F.collect_list("_d")), need).alias("_kth"))
+    tight = F.col("_kth") * (1 + REL_EPS) + plan.abs_eps
+    return agg.join(kth, "id", "left").select(
+        "id", F.least(F.col("cbound"), F.coalesce(tight, F.col("cbound"))).alias("bound"))
 
 
 def home_cell(left: DataFrame, right: DataFrame, plan: KnnPlan) -> DataFrame:
@@ -216,9 +271,9 @@ def kth_distance(result: DataFrame, k: int) -> DataFrame:
 def _level_for(bound: Column, plan: KnnPlan) -> Column:
     """Deepest level whose cell side is >= bound (0 when unbounded)."""
     ratio = F.lit(plan.grid.side) / bound
-    lv = F.least(F.greatest(F.floor(F.log2(ratio)), F.lit(0)), F.lit(plan.max_level))
+    lv = F.least(F.greatest(F.floor(F.log2(ratio)), F.lit(0)), F.lit(plan.join_max_level))
     return (F.when(bound.isNull(), F.lit(0))
-            .when(bound <= 0, F.lit(plan.max_level))
+            .when(bound <= 0, F.lit(plan.join_max_level))
             .otherwise(lv)).cast("int")
 
 
@@ -230,7 +285,7 @@ def right_cells(right_p: DataFrame, plan: KnnPlan, levels: DataFrame | None, lev
     g = plan.grid
     if level is None:
         # equi-join with a table of at most max_level + 1 rows (a proven bound)
-        out = explode_levels(right_p, plan.max_level).join(F.broadcast(levels), "_lv")
+        out = explode_levels(right_p, plan.join_max_level).join(F.broadcast(levels), "_lv")
     else:
         out = right_p.withColumn("_lv", F.lit(level))
     p = prefix
@@ -280,8 +335,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
     """Rounds 1 and 2: every (r, s) pair that can be among r's k nearest,
     each pair once, with ``dist``.  Columns ``l_*``, ``r_*``, ``dist``."""
     lside, rside = side(left, "l_"), side(right, "r_")
-    if not copies_done:
-        right = dedup_copies(right, plan.k)
+    # counts and the local refinement stay valid with copies (copies are real
+    # candidates); only the pair generation of round 2 needs them removed
+    right_once = right if copies_done else dedup_copies(right, plan.k)
     if need is None:
         bounds = knn_bound(left, right, plan)
     elif need < 0:  # no count can be trusted: every row unbounded
@@ -293,7 +349,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
     lp = prefixed(lb, "l_").withColumnRenamed("l_bound", "_bound").withColumnRenamed("l__lv", "_lv") \
         .withColumn("_d", F.coalesce(F.col("_bound"), F.lit(0.0)))
     used = lb.select("_lv").distinct()
-    rp = right_cells(prefixed(right, "r_"), plan, used)
+    rp = right_cells(prefixed(right_once, "r_"), plan, used)
     lc = left_cells(lp, plan)
     joined = lc.join(rp, KEYS)
     env_d = G.envelope_distance(lside, rside)
@@ -366,7 +422,7 @@ def st_distance_join(left: DataFrame, right: DataFrame, max_dist: float, delta_u
     check_frame(right)
     plan, right_f = plan_for(left, right, 1, delta_us, None, join_bin_us)
     g = plan.grid
-    level = _fixed_level(g.side, max_dist, plan.max_level)
+    level = _fixed_level(g.side, max_dist, plan.join_max_level)
     lp = prefixed(left, "l_").withColumn("_lv", F.lit(level)) \
         .withColumn("_d", F.lit(float(max_dist)))
     rp = right_cells(prefixed(right_f, "r_"), plan, None, level=level)
