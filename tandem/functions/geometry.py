@@ -35,6 +35,7 @@ class Side:
     prefix: str = ""
     has_geom: bool = False
     struct: Column | None = field(default=None, compare=False)
+    has_segs: bool = False      # a precomputed ``segs`` column (see ``with_segments``)
 
     @classmethod
     def of_struct(cls, struct: Column, has_geom: bool = False) -> "Side":
@@ -78,6 +79,12 @@ class Side:
             return self("parts")
         return F.array(F.lit(0))
 
+    @property
+    def segs(self) -> Column:
+        if self.has_segs:
+            return self("segs")
+        return segments(self.pts, self.parts)
+
     def vertex(self) -> tuple[Column, Column]:
         """One point that lies on the geometry (used for count bounds)."""
         if self.has_geom:
@@ -246,8 +253,7 @@ def geometry_distance(a: Side, b: Side) -> Column:
     cross or one contains the other.  Points take a closed-form path."""
     if not a.has_geom and not b.has_geom:
         return envelope_distance(a, b)
-    seg_a = segments(a.pts, a.parts)
-    seg_b = segments(b.pts, b.parts)
+    seg_a, seg_b = a.segs, b.segs
     a_to_b = F.array_min(F.transform(a.pts, lambda p: F.array_min(
         F.transform(seg_b, lambda s: point_segment_distance(p["x"], p["y"], s)))))
     b_to_a = F.array_min(F.transform(b.pts, lambda p: F.array_min(
@@ -295,7 +301,7 @@ def centroid(a: Side) -> Column:
     if not a.has_geom:
         return point((a.minx + a.maxx) / 2, (a.miny + a.maxy) / 2)
     pts, kind = a.pts, a.kind
-    segs = segments(pts, a.parts)
+    segs = a.segs
     n = F.size(pts).cast("double")
     mean = point(F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["x"]) / n,
                  F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["y"]) / n)

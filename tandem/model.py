@@ -30,7 +30,16 @@ def has_geometry(df: DataFrame) -> bool:
 
 
 def side(df: DataFrame, prefix: str = "") -> G.Side:
-    return G.Side(prefix, has_geometry(df))
+    cols = set(df.columns)
+    return G.Side(prefix, has_geometry(df), has_segs=(prefix + "segs") in cols or "segs" in cols)
+
+
+def with_segments(df: DataFrame) -> DataFrame:
+    """Geometry frame + ``segs``: its segment array computed once per row, so
+    a join evaluating many pairs per row does not rebuild it per pair."""
+    if not has_geometry(df) or "segs" in df.columns:
+        return df
+    return df.withColumn("segs", G.segments(F.col("pts"), F.col("parts")))
 
 
 def check_frame(df: DataFrame) -> DataFrame:

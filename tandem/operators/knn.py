@@ -49,8 +49,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.time import ceil_div, floor_div, overlaps
-from ..model import check_frame, has_geometry, prefixed, side
-from .stats import Stats, collect_stats
+from ..model import check_frame, has_geometry, prefixed, side, with_segments
+from .stats import STAT_COLUMNS, Stats, global_stats
 
 # Fixed values of the plan (tuning only; results do not depend on them).
 COUNT_BINS = 3            # M: consecutive count bins summed per probe
@@ -91,14 +91,18 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
         raise ValueError("k must be >= 1")
     if delta_us < 0:
         raise ValueError("delta must be >= 0")
-    lrow = left.agg(F.min("start_us").alias("s"), F.max("end_us").alias("e"),
-                    F.avg(F.col("end_us") - F.col("start_us")).alias("len")).first()
-    if lrow["s"] is None:
+    # one job, two scans, two rows to the driver: R's time range and S's
+    # envelope / count / lengths (S unfiltered: its envelope covers any subset)
+    both = (global_stats(left).withColumn("_side", F.lit("l"))
+            .unionByName(global_stats(right).withColumn("_side", F.lit("r"))))
+    rows = {r["_side"]: r for r in both.collect()}
+    lrow = rows["l"]
+    rs = Stats(**{c: rows["r"][c] for c in STAT_COLUMNS})
+    if lrow["start_us"] is None:
         right_f = right.where(F.lit(False))
     else:
-        right_f = right.where((F.col("start_us") <= F.lit(lrow["e"] + delta_us))
-                              & (F.col("end_us") >= F.lit(lrow["s"] - delta_us)))
-    rs = collect_stats(right_f)
+        right_f = right.where((F.col("start_us") <= F.lit(lrow["end_us"] + delta_us))
+                              & (F.col("end_us") >= F.lit(lrow["start_us"] - delta_us)))
     if rs.empty:
         grid = G.Grid(0.0, 0.0, 1.0)
         return KnnPlan(k, delta_us, grid, 0, 0, 1, 1, max(1, delta_us), 1e-9, rs), right_f
@@ -119,7 +123,7 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
     count_bin, count_bins = count_binning(delta_us, count_bins)
     if join_bin_us is None:
         join_bin_us = max(1, delta_us, int(math.ceil(rs.avg_len or 0.0)),
-                          int(math.ceil((lrow["len"] or 0.0) / 2)))
+                          int(math.ceil((lrow["avg_len"] or 0.0) / 2)))
     abs_eps = REL_EPS * (abs(grid.x0) + abs(grid.y0) + grid.side)
     return KnnPlan(k, delta_us, grid, max_level, join_max_level, count_bin, count_bins, join_bin_us,
                    abs_eps, rs), right_f
@@ -334,17 +338,18 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
                     need: int | None = None, copies_done: bool = False) -> DataFrame:
     """Rounds 1 and 2: every (r, s) pair that can be among r's k nearest,
     each pair once, with ``dist``.  Columns ``l_*``, ``r_*``, ``dist``."""
-    lside, rside = side(left, "l_"), side(right, "r_")
     # counts and the local refinement stay valid with copies (copies are real
     # candidates); only the pair generation of round 2 needs them removed
-    right_once = right if copies_done else dedup_copies(right, plan.k)
+    right_once = with_segments(right if copies_done else dedup_copies(right, plan.k))
+    left_seg = with_segments(left)
+    lside, rside = side(left_seg, "l_"), side(right_once, "r_")
     if need is None:
         bounds = knn_bound(left, right, plan)
     elif need < 0:  # no count can be trusted: every row unbounded
         bounds = left.select("id").where(F.lit(False)).withColumn("bound", F.lit(None).cast("double"))
     else:
         bounds = knn_bound(left, right, plan, need=need)
-    lb = (left.join(bounds, "id", "left")
+    lb = (left_seg.join(bounds, "id", "left")
           .withColumn("_lv", _level_for(F.col("bound"), plan)))
     lp = prefixed(lb, "l_").withColumnRenamed("l_bound", "_bound").withColumnRenamed("l__lv", "_lv") \
         .withColumn("_d", F.coalesce(F.col("_bound"), F.lit(0.0)))
@@ -359,7 +364,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
     pairs = pairs.where(F.col("_bound").isNull() | (F.col("dist") <= F.col("_bound")))
     if pair_filter is not None:
         pairs = pairs.where(pair_filter)
-    return pairs.drop(*KEYS, "_bound", "_d")
+    return pairs.drop(*KEYS, "_bound", "_d", "l_segs", "r_segs")
 
 
 def top_k(pairs: DataFrame, k: int, id_col: str = "l_id", rid_col: str = "r_id",
@@ -372,7 +377,8 @@ def top_k(pairs: DataFrame, k: int, id_col: str = "l_id", rid_col: str = "r_id",
 def st_knn_join(left: DataFrame, right: DataFrame, k: int, delta_us: int, *,
                 pair_filter: Column | None = None, pair_filter_slack: int | None = None,
                 right_filter: Column | None = None, how: str = "inner", nested: bool = False,
-                max_level: int | None = None, join_bin_us: int | None = None) -> DataFrame:
+                max_level: int | None = None, join_bin_us: int | None = None,
+                checkpoint_inputs: bool = False) -> DataFrame:
     """Spatio-temporal kNN join (see module doc).
 
     ``right_filter``: predicate on S's own columns, applied before anything
@@ -385,11 +391,20 @@ def st_knn_join(left: DataFrame, right: DataFrame, k: int, delta_us: int, *,
 
     Long output: ``l_*``, ``r_*``, ``dist``, ``rank``.  ``nested=True``: one row
     per R row with ``neighbours`` = array of structs ordered by rank.
+
+    The plan reads each input several times (statistics, counts, cell join).
+    For inputs that are expensive to derive (e.g. parsed from text),
+    ``checkpoint_inputs=True`` writes them once to the session's checkpoint
+    folder (``spark.checkpoint.dir``, shared on a cluster) and reads that.
     """
     check_frame(left)
     check_frame(right)
     if right_filter is not None:
         right = right.where(right_filter)
+    if checkpoint_inputs:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(left.sparkSession)
+        left, right = left.checkpoint(eager=True), right.checkpoint(eager=True)
     plan, right_f = plan_for(left, right, k, delta_us, max_level, join_bin_us)
     need = None
     if pair_filter is not None:
@@ -423,16 +438,17 @@ def st_distance_join(left: DataFrame, right: DataFrame, max_dist: float, delta_u
     plan, right_f = plan_for(left, right, 1, delta_us, None, join_bin_us)
     g = plan.grid
     level = _fixed_level(g.side, max_dist, plan.join_max_level)
+    left, right_f = with_segments(left), with_segments(right_f)
     lp = prefixed(left, "l_").withColumn("_lv", F.lit(level)) \
         .withColumn("_d", F.lit(float(max_dist)))
     rp = right_cells(prefixed(right_f, "r_"), plan, None, level=level)
     lc = left_cells(lp, plan)
-    lside, rside = side(left, "l_"), side(right, "r_")
+    lside, rside = side(left, "l_"), side(right_f, "r_")
     pairs = lc.join(rp, KEYS).where(
         time_match(plan) & (G.envelope_distance(lside, rside) <= F.lit(float(max_dist))) & owned_once(plan))
     pairs = pairs.withColumn("dist", G.geometry_distance(lside, rside)) \
         .where(F.col("dist") <= F.lit(float(max_dist)))
-    return pairs.drop(*KEYS, "_d")
+    return pairs.drop(*KEYS, "_d", "l_segs", "r_segs")
 
 
 def _fixed_level(side_len: float, d: float, cap: int) -> int:

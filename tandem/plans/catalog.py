@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import time as TM
-from ..functions.wkt import parse_wkt
+from ..functions.wkt import with_wkt_geometry
 from ..model import point_frame, with_row_id
 from ..operators import bins as B
 from ..operators import filters as FL
@@ -52,9 +52,12 @@ def generated_wkt(spark: SparkSession, sf: str) -> DataFrame:
     placed at (value, k): purchase POINT, view LINESTRING (2 segments),
     click POLYGON 4x4 with a 1x1 hole, signup MULTIPOINT, error MULTIPOLYGON
     of two unit squares."""
-    ev = _ev(spark, sf)
-    x = F.col("value")
-    y = F.get_json_object("props", "$.k").cast("double")
+    raw = _ev(spark, sf)
+    # staged: the JSON field is read once per row, not once per coordinate
+    ev = raw.select("event_id", "event_type", "ts", F.col("value").alias("x"),
+                    F.get_json_object("props", "$.k").cast("double").alias("y"),
+                    TM.epoch_us(raw, "ts").alias("t"))
+    x, y = F.col("x"), F.col("y")
 
     def n(c):
         return c.cast("string")
@@ -76,18 +79,14 @@ def generated_wkt(spark: SparkSession, sf: str) -> DataFrame:
            .when(F.col("event_type") == "signup",
                  F.concat(F.lit("MULTIPOINT ("), ring((0, 0)), F.lit(", "), ring((1, 1)), F.lit(")")))
            .otherwise(F.concat(F.lit("MULTIPOLYGON (("), ring(*u1), F.lit("), ("), ring(*u2), F.lit("))"))))
-    return ev.select(F.col("event_id").alias("id"), wkt.alias("wkt"), F.col("ts"),
-                     x.alias("x"), y.alias("y"), TM.epoch_us(ev, "ts").alias("t"))
+    return ev.select(F.col("event_id").alias("id"), wkt.alias("wkt"), "ts", "x", "y", "t")
 
 
 def geometry_frame(spark, sf) -> DataFrame:
     g = generated_wkt(spark, sf)
-    p = g.select("id", "x", "y", "t", parse_wkt(F.col("wkt")).alias("g"))
-    minx, miny, maxx, maxy = G.envelope(F.col("g.pts"))
-    return p.select("id", F.col("g.kind").alias("kind"), F.col("g.pts").alias("pts"),
-                    F.col("g.parts").alias("parts"), minx.alias("minx"), miny.alias("miny"),
-                    maxx.alias("maxx"), maxy.alias("maxy"), F.col("t").alias("start_us"),
-                    F.col("t").alias("end_us"), "x", "y")
+    p = with_wkt_geometry(g.select("id", "x", "y", "t", "wkt"), "wkt")
+    return p.select("id", "kind", "pts", "parts", "minx", "miny", "maxx", "maxy",
+                    F.col("t").alias("start_us"), F.col("t").alias("end_us"), "x", "y")
 
 
 def _knn(spark, sf, k=K, delta=DELTA):
@@ -401,7 +400,7 @@ def q_vec_knn_join(spark, sf):
 
 def q_geom_knn_join(spark, sf):
     g = geometry_frame(spark, sf).drop("x", "y")
-    res = KN.st_knn_join(fx.pts_left(spark, sf), g, K, DELTA)
+    res = KN.st_knn_join(fx.pts_left(spark, sf), g, K, DELTA, checkpoint_inputs=True)
     return res.select("l_id", "r_id", "r_kind", "dist", "rank")
 
 

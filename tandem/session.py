@@ -23,6 +23,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # no Python call-site capture per DataFrame call (plan building cost)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # keep CPU-heavy post-shuffle stages parallel on small inputs
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # A lone local JVM resolves its own address more reliably this way.
     "spark.driver.host": "127.0.0.1",
     "spark.driver.bindAddress": "127.0.0.1",

@@ -10,24 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
 from ..functions.time import TIME_FORMAT, from_epoch_us_ntz, parse_time
-from ..functions.wkt import parse_wkt
+from ..functions.wkt import with_wkt_geometry
 
 
 def parse_lines(lines: DataFrame, text_col: str = "value", fmt: str = TIME_FORMAT) -> DataFrame:
     """Lines -> ``kind, pts, parts, minx, miny, maxx, maxy, start_us, end_us``
     (other columns of ``lines`` are kept, e.g. an id)."""
     fields = F.split(F.col(text_col), "\t")
-    geom = parse_wkt(F.get(fields, 0))
     keep = [c for c in lines.columns if c != text_col]
-    out = lines.select(*keep, geom.alias("_g"),
-                       parse_time(F.trim(F.get(fields, 1)), fmt).alias("start_us"),
-                       parse_time(F.trim(F.get(fields, 2)), fmt).alias("end_us"))
-    minx, miny, maxx, maxy = G.envelope(F.col("_g.pts"))
-    return out.select(*keep, F.col("_g.kind").alias("kind"), F.col("_g.pts").alias("pts"),
-                      F.col("_g.parts").alias("parts"), minx.alias("minx"), miny.alias("miny"),
-                      maxx.alias("maxx"), maxy.alias("maxy"), "start_us", "end_us")
+    split = lines.select(*keep, F.get(fields, 0).alias("_wkt"),
+                         parse_time(F.trim(F.get(fields, 1)), fmt).alias("start_us"),
+                         parse_time(F.trim(F.get(fields, 2)), fmt).alias("end_us"))
+    out = with_wkt_geometry(split, "_wkt")
+    return out.select(*keep, "kind", "pts", "parts", "minx", "miny", "maxx", "maxy", "start_us", "end_us")
 
 
 def read_wkt_tsv(spark: SparkSession, path: str, fmt: str = TIME_FORMAT,
