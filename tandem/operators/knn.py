@@ -42,7 +42,7 @@ left is split by AQE's skew join (enabled in ``tandem.session``).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,13 +69,14 @@ class KnnPlan:
     k: int
     delta_us: int
     grid: G.Grid
-    max_level: int            # deepest level of the count pyramid
+    max_level: int            # pyramid depth for every row
     join_max_level: int       # deepest level of the cell join (S boxes replicate per cell)
     count_bin_us: int
     count_bins: int
     join_bin_us: int
     abs_eps: float
     right_stats: Stats
+    deep_level: int           # pyramid depth inside hot cells (> LOCAL_CAP * k rows at max_level)
 
 
 def _log4_ceil(v: float) -> int:
@@ -105,7 +106,7 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
                               & (F.col("end_us") >= F.lit(lrow["start_us"] - delta_us)))
     if rs.empty:
         grid = G.Grid(0.0, 0.0, 1.0)
-        return KnnPlan(k, delta_us, grid, 0, 0, 1, 1, max(1, delta_us), 1e-9, rs), right_f
+        return KnnPlan(k, delta_us, grid, 0, 0, 1, 1, max(1, delta_us), 1e-9, rs, 0), right_f
     side_len = max(rs.maxx - rs.minx, rs.maxy - rs.miny)
     if not side_len > 0:
         side_len = 1.0
@@ -113,20 +114,31 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
     span = max(1, rs.end_us - rs.start_us)
     window = 2 * delta_us + 1 + (rs.avg_len or 0.0)
     per_window = rs.n * min(1.0, window / span)
-    if max_level is None:
+    auto_depth = max_level is None
+    if auto_depth:
         max_level = min(MAX_LEVEL_CAP, _log4_ceil(per_window / k) + EXTRA_LEVELS)
-    join_max_level = max_level
+    deep_level = max_level              # deepened below when hot cells exist
+    extent_cap = MAX_LEVEL_CAP
     if rs.avg_extent and rs.avg_extent > 0:
         # cells of the join no smaller than half the mean S extent: a box
         # meets ~(extent / side + 1)^2 cells, so replication stays small
-        join_max_level = min(max_level, max(0, int(math.floor(math.log2(side_len / rs.avg_extent))) + 1))
+        extent_cap = max(0, int(math.floor(math.log2(side_len / rs.avg_extent))) + 1)
+    join_max_level = min(deep_level, extent_cap)
     count_bin, count_bins = count_binning(delta_us, count_bins)
     if join_bin_us is None:
         join_bin_us = max(1, delta_us, int(math.ceil(rs.avg_len or 0.0)),
                           int(math.ceil((lrow["avg_len"] or 0.0) / 2)))
     abs_eps = REL_EPS * (abs(grid.x0) + abs(grid.y0) + grid.side)
-    return KnnPlan(k, delta_us, grid, max_level, join_max_level, count_bin, count_bins, join_bin_us,
-                   abs_eps, rs), right_f
+    plan = KnnPlan(k, delta_us, grid, max_level, join_max_level, count_bin, count_bins, join_bin_us,
+                   abs_eps, rs, deep_level)
+    if auto_depth and max_level < MAX_LEVEL_CAP:
+        # small job: the fullest cell of the base level (one number to the
+        # driver).  Only when some cell holds more than LOCAL_CAP * k rows in
+        # a bin window does the plan add the deeper levels, inside hot cells.
+        fullest = _pyramid_keys(right_f, plan, max_level, max_level).agg(F.max("_n")).first()[0]
+        if fullest is not None and fullest > LOCAL_CAP * k:
+            plan = replace(plan, deep_level=MAX_LEVEL_CAP, join_max_level=min(MAX_LEVEL_CAP, extent_cap))
+    return plan, right_f
 
 
 def count_binning(delta_us: int, count_bins: int = COUNT_BINS) -> tuple[int, int]:
@@ -161,28 +173,54 @@ def dedup_copies(right: DataFrame, k: int) -> DataFrame:
     return right.withColumn("_copy", F.row_number().over(w)).where(F.col("_copy") <= k).drop("_copy")
 
 
-def _level_cells(vx: Column, vy: Column, plan: KnnPlan) -> Column:
-    """``array<struct<_lv, _cx, _cy>>``: the cell of (vx, vy) at every level."""
+def _level_cells(vx: Column, vy: Column, plan: KnnPlan, lo: int = 0, hi: int | None = None) -> Column:
+    """``array<struct<_lv, _cx, _cy>>``: the cell of (vx, vy) at levels lo..hi
+    (default 0..max_level)."""
     g = plan.grid
-    return F.transform(_levels(plan.max_level), lambda lv: F.struct(
+    hi = plan.max_level if hi is None else hi
+    return F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda lv: F.struct(
         lv.alias("_lv"), g.cx(vx, lv).alias("_cx"), g.cy(vy, lv).alias("_cy")))
 
 
-def count_pyramid(right: DataFrame, plan: KnnPlan) -> DataFrame:
-    """(level, cx, cy, bin) -> number of S rows whose vertex lies in the cell
-    and whose start lies in count bins [bin, bin + M)."""
+def _pyramid_keys(right: DataFrame, plan: KnnPlan, lo: int, hi: int) -> DataFrame:
     s = side(right)
     vx, vy = s.vertex()
     sb = floor_div(F.col("start_us"), plan.count_bin_us)
     bins = F.sequence(sb - (plan.count_bins - 1), sb)
     # one generator over keys computed from the row (never a literal array)
-    keys = F.flatten(F.transform(_level_cells(vx, vy, plan), lambda c: F.transform(
+    keys = F.flatten(F.transform(_level_cells(vx, vy, plan, lo, hi), lambda c: F.transform(
         bins, lambda b: F.struct(c["_lv"].alias("_lv"), c["_cx"].alias("_cx"), c["_cy"].alias("_cy"),
                                  b.alias("_b")))))
     return (right.select(F.inline(keys))
             .groupBy("_lv", "_cx", "_cy", "_b").agg(F.count(F.lit(1)).alias("_n")))
 
 
+def _with_base_cell(df: DataFrame, plan: KnnPlan) -> DataFrame:
+    vx, vy = side(df).vertex()
+    return df.withColumn("_hx", plan.grid.cx(vx, plan.max_level)).withColumn("_hy", plan.grid.cy(vy, plan.max_level))
+
+
+def count_pyramid(right: DataFrame, plan: KnnPlan, need: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(level, cx, cy, bin) -> number of S rows whose vertex lies in the cell
+    and whose start lies in count bins [bin, bin + M); and the hot cells.
+
+    Every row counts at levels 0..max_level.  Cells of max_level holding
+    more than LOCAL_CAP * need rows in some bin window are *hot*; only the
+    rows inside hot cells also count at the deeper levels up to deep_level,
+    so a dense spot gets small cells without deepening the whole pyramid.
+    The hot-cell table is a DataFrame joined by key (AQE broadcasts it when
+    it turns out small)."""
+    need = plan.k if need is None else need
+    base = _pyramid_keys(right, plan, 0, plan.max_level)
+    if plan.deep_level <= plan.max_level:
+        return base, None
+    hot = (base.where((F.col("_lv") == plan.max_level) & (F.col("_n") > LOCAL_CAP * need))
+           .select(F.col("_cx").alias("_hx"), F.col("_cy").alias("_hy")))  # semi-joins ignore repeats
+    inside = _with_base_cell(right, plan).join(hot, ["_hx", "_hy"], "left_semi")
+    deep = _pyramid_keys(inside, plan, plan.max_level + 1, plan.deep_level)
+    return base.unionByName(deep), hot
+
+
 def _bound_hits(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int) -> DataFrame:
     """Probe rows (id, level, cell, vertex) whose cell holds >= need S rows
     that certainly overlap the R row's widened interval."""
@@ -193,12 +231,20 @@ def _bound_hits(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int) ->
     c = F.col("end_us") + plan.delta_us
     b0 = ceil_div(a, plan.count_bin_us)
     inside = (b0 + count_bins) * plan.count_bin_us - 1 <= c
-    cells = F.transform(_level_cells(vx, vy, plan), lambda c: F.struct(
-        c["_lv"].alias("_lv"), c["_cx"].alias("_cx"), c["_cy"].alias("_cy"),
-        vx.alias("_vx"), vy.alias("_vy"), b0.alias("_b")))
-    probes = left.where(inside).select("id", F.inline(cells))
-    pyr = count_pyramid(right, plan).where(F.col("_n") >= need)
-    return probes.join(pyr, ["_lv", "_cx", "_cy", "_b"])
+    def probe_rows(df, lo, hi):
+        cells = F.transform(_level_cells(vx, vy, plan, lo, hi), lambda c: F.struct(
+            c["_lv"].alias("_lv"), c["_cx"].alias("_cx"), c["_cy"].alias("_cy"),
+            vx.alias("_vx"), vy.alias("_vy"), b0.alias("_b")))
+        return df.select("id", F.inline(cells))
+
+    pyr, hot = count_pyramid(right, plan, need)
+    probing = left.where(inside)
+    probes = probe_rows(probing, 0, plan.max_level)
+    if hot is not None:
+        # R rows whose base cell is hot also probe the deep levels
+        deep = _with_base_cell(probing, plan).join(hot, ["_hx", "_hy"], "left_semi")
+        probes = probes.unionByName(probe_rows(deep, plan.max_level + 1, plan.deep_level))
+    return probes.join(pyr.where(F.col("_n") >= need), ["_lv", "_cx", "_cy", "_b"])
 
 
 def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None = None,
@@ -235,7 +281,7 @@ def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None
     vx, vy = rs.vertex()
     rk = explode_levels(right.select(vx.alias("_rx"), vy.alias("_ry"), "minx", "miny", "maxx", "maxy",
                                      floor_div(F.col("start_us"), plan.count_bin_us).alias("_sb")),
-                        plan.max_level).join(F.broadcast(used), "_lv")
+                        max(plan.max_level, plan.deep_level)).join(F.broadcast(used), "_lv")
     rk = rk.withColumn("_cx", plan.grid.cx(F.col("_rx"), F.col("_lv"))) \
         .withColumn("_cy", plan.grid.cy(F.col("_ry"), F.col("_lv")))
     # distance from R's vertex to S's box (exact for box frames) or to S's
