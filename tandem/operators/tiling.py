@@ -161,6 +161,33 @@ def cell_envelope(cells: DataFrame, grid: G.Grid) -> DataFrame:
     return cells.withColumn("minx", x0).withColumn("miny", y0).withColumn("maxx", x1).withColumn("maxy", y1)
 
 
+def quadrant_envelopes(cells: DataFrame, grid: G.Grid) -> DataFrame:
+    """The four quadrant sub-boxes of each (level, cx, cy): quadrant 0 SW,
+    1 SE, 2 NW, 3 NE, as cells one level down."""
+    kids = F.array(*[F.struct(F.lit(q).alias("q"), *[c.alias(n) for c, n in zip(G.quadrant("cx", "cy", q), ("qx", "qy"))])
+                     for q in range(4)])
+    out = cells.select("level", "cx", "cy", F.inline(kids))
+    x0, y0, x1, y1 = grid.cell_box(F.col("level") + 1, F.col("qx"), F.col("qy"))
+    return out.select("level", "cx", "cy", "q", x0.alias("minx"), y0.alias("miny"), x1.alias("maxx"), y1.alias("maxy"))
+
+
+def period_cell_assign(df: DataFrame, periods: DataFrame, grid: G.Grid, level: int) -> DataFrame:
+    """D4 over adaptive periods: every (period, cell) a row's interval and
+    envelope meet -> ``(id, period, cx, cy)``.  The period cuts (<= alpha + 1)
+    are a literal array; rows outside all periods are dropped."""
+    cuts = period_cuts(periods)
+    last_end = periods.agg(F.max("p_end")).first()[0]
+    a, c = F.col("start_us"), F.col("end_us")
+    meets = (c >= F.lit(cuts[0])) & (a < F.lit(last_end))
+    return (df.where(meets)
+            .select("id", F.sequence(period_of(a, cuts), period_of(c, cuts)).alias("_ps"),
+                    F.sequence(grid.cx(F.col("minx"), level), grid.cx(F.col("maxx"), level)).alias("_xs"),
+                    F.sequence(grid.cy(F.col("miny"), level), grid.cy(F.col("maxy"), level)).alias("_ys"))
+            .select("id", F.explode("_ps").alias("period"), "_xs", "_ys")
+            .select("id", "period", F.explode("_xs").alias("cx"), "_ys")
+            .select("id", "period", "cx", F.explode("_ys").alias("cy")))
+
+
 def cell_numbering(tiles: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Dense ids 0..n-1 over a small tile table (bounded by its level cap)."""
     w = Window.orderBy(*(order or ["level", "cx", "cy"]))

@@ -198,6 +198,19 @@ def q_cell_envelope(spark, sf):
     return TL.cell_envelope(cells, grid)
 
 
+def q_quadrant_envelope(spark, sf):
+    pts = fx.all_points(spark, sf)
+    grid = TL.grid_for(pts)
+    cells = pts.select(F.lit(3).alias("level"), grid.cx(F.col("minx"), 3).alias("cx"),
+                       grid.cy(F.col("miny"), 3).alias("cy")).distinct()
+    return TL.quadrant_envelopes(cells, grid)
+
+
+def q_period_cell_assign(spark, sf):
+    s = fx.sessions(spark, sf)
+    return TL.period_cell_assign(s, _periods(spark, sf), TL.grid_for(s), 2)
+
+
 def q_st_knn_join(spark, sf):
     return _knn(spark, sf).select("l_id", "r_id", "dist", "rank")
 
@@ -437,6 +450,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "time_reference_point": q_time_reference_point,
     "global_stats": q_global_stats,
     "cell_envelope": q_cell_envelope,
+    "quadrant_envelope": q_quadrant_envelope,
     "st_knn_join": q_st_knn_join,
     "st_knn_join_nested": q_st_knn_join_nested,
     "with_row_id": q_with_row_id,
@@ -463,6 +477,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "time_periods": q_time_periods,
     "period_density": q_period_density,
     "periods_for_range": q_periods_for_range,
+    "period_cell_assign": q_period_cell_assign,
     "group_envelope": q_group_envelope,
     "kth_distance": q_kth_distance,
     "sample_bounds": q_sample_bounds,

@@ -193,6 +193,11 @@ SQL: dict[str, str] = {
         round(avg(greatest(maxx - minx, maxy - miny)), 6) AS avg_extent FROM box_right"""),
     "cell_envelope": with_base(f"""c AS (SELECT DISTINCT {_cellq('x', 'x0', '3')} AS cx, {_cellq('y', 'y0', '3')} AS cy FROM ev, g)
         SELECT CAST(3 AS INTEGER) AS level, cx, cy, {_box_cols('3')} FROM c, g"""),
+    "quadrant_envelope": with_base(f"""c AS (SELECT DISTINCT {_cellq('x', 'x0', '3')} AS cx, {_cellq('y', 'y0', '3')} AS cy FROM ev, g),
+        q AS (SELECT cx, cy, CAST(q AS INTEGER) AS q, cx * 2 + (q % 2) AS qx, cy * 2 + (q // 2) AS qy
+              FROM c, range(0, 4) t(q))
+        SELECT CAST(3 AS INTEGER) AS level, cx, cy, q, x0 + qx * (side / 16.0) AS minx, y0 + qy * (side / 16.0) AS miny,
+               x0 + qx * (side / 16.0) + side / 16.0 AS maxx, y0 + qy * (side / 16.0) + side / 16.0 AS maxy FROM q, g"""),
     "st_knn_join": with_base(PT_TOP + " SELECT l_id, r_id, dist, rank FROM top"),
     "st_knn_join_nested": with_base(PT_TOP + """, nn AS (SELECT l_id, CAST(count(*) AS INTEGER) AS n_neighbours FROM top GROUP BY l_id)
         SELECT top.l_id, pl.x AS l_minx, n_neighbours, rank, r_id, dist FROM top JOIN nn USING (l_id)
@@ -263,6 +268,15 @@ SQL: dict[str, str] = {
         n / CAST(p_end - p_start AS DOUBLE) AS density FROM periods2"""),
     "periods_for_range": with_base(PERIODS + """ SELECT s.id, p.period FROM sessions s JOIN periods2 p
         ON s.start_us < p.p_end AND s.end_us >= p.p_start"""),
+    "period_cell_assign": with_base(PERIODS + f""",
+        sg AS (SELECT min(minx) AS x0, min(miny) AS y0,
+               CASE WHEN greatest(max(maxx) - min(minx), max(maxy) - min(miny)) > 0
+                    THEN greatest(max(maxx) - min(minx), max(maxy) - min(miny)) ELSE 1.0 END AS side FROM sessions),
+        a AS (SELECT id, start_us, end_us, {_cellq('minx', 'x0', '2')} AS x0c, {_cellq('maxx', 'x0', '2')} AS x1c,
+              {_cellq('miny', 'y0', '2')} AS y0c, {_cellq('maxy', 'y0', '2')} AS y1c FROM sessions, sg)
+        SELECT a.id, p.period, CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy
+        FROM a JOIN periods2 p ON a.start_us < p.p_end AND a.end_us >= p.p_start,
+             generate_series(x0c, x1c) s2(cx), generate_series(y0c, y1c) s3(cy)"""),
     "group_envelope": with_base(f"""k AS (SELECT x, y, {_cellq('x', 'x0', '2')} AS cx, {_cellq('y', 'y0', '2')} AS cy FROM ev, g)
         SELECT cx, cy, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy, count(*) AS n FROM k GROUP BY cx, cy"""),
     "kth_distance": with_base(PT_TOP + f""" SELECT l_id, CASE WHEN count(*) >= {C.K} THEN max(dist) END AS kth_dist,

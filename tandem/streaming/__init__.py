@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no streaming input, watermark, window or state: every entry
+point is a batch job.  Nothing is built here.  A stream of query rows can
+still use the batch operators through ``foreachBatch`` (each micro-batch is a
+DataFrame), with ``checkpointLocation`` under the cluster's shared folder.
+"""
