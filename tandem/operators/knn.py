@@ -235,7 +235,7 @@ def _bound_hits(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int) ->
         cells = F.transform(_level_cells(vx, vy, plan, lo, hi), lambda c: F.struct(
             c["_lv"].alias("_lv"), c["_cx"].alias("_cx"), c["_cy"].alias("_cy"),
             vx.alias("_vx"), vy.alias("_vy"), b0.alias("_b")))
-        return df.select("id", F.inline(cells))
+        return df.select("id", "minx", "miny", "maxx", "maxy", F.inline(cells))
 
     pyr, hot = count_pyramid(right, plan, need)
     probing = left.where(inside)
@@ -267,15 +267,17 @@ def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None
     # numeric aggregates only, so the plan keeps a hash aggregate
     agg = hit.groupBy("id").agg(
         F.min(cbound).alias("cbound"), F.max("_lv").alias("_lv"), F.max_by("_n", "_lv").alias("_n"),
-        F.first("_b").alias("_b"), F.first("_vx").alias("_vx"), F.first("_vy").alias("_vy"))
+        F.first("_b").alias("_b"), F.first("_vx").alias("_vx"), F.first("_vy").alias("_vy"),
+        *[F.first(c).alias("_l" + c) for c in ("minx", "miny", "maxx", "maxy")])
     if not refine:
         return agg.select("id", F.col("cbound").alias("bound"))
     g = plan.grid
     home = (agg.where(F.col("_n") <= LOCAL_CAP * need)
-            .select("id", "_lv", "_vx", "_vy",
+            .select("id", "_lv", "_vx", "_vy", "_lminx", "_lminy", "_lmaxx", "_lmaxy",
                     g.cx(F.col("_vx"), F.col("_lv")).alias("_cx"), g.cy(F.col("_vy"), F.col("_lv")).alias("_cy"),
                     F.sequence(F.col("_b"), F.col("_b") + (plan.count_bins - 1)).alias("_sbs"))
-            .select("id", "_lv", "_vx", "_vy", "_cx", "_cy", F.explode("_sbs").alias("_sb")))
+            .select("id", "_lv", "_vx", "_vy", "_lminx", "_lminy", "_lmaxx", "_lmaxy", "_cx", "_cy",
+                    F.explode("_sbs").alias("_sb")))
     used = home.select("_lv").distinct()
     rs = side(right)
     vx, vy = rs.vertex()
@@ -284,13 +286,15 @@ def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None
                         max(plan.max_level, plan.deep_level)).join(F.broadcast(used), "_lv")
     rk = rk.withColumn("_cx", plan.grid.cx(F.col("_rx"), F.col("_lv"))) \
         .withColumn("_cy", plan.grid.cy(F.col("_ry"), F.col("_lv")))
-    # distance from R's vertex to S's box (exact for box frames) or to S's
-    # vertex: both are >= the geometry distance, so the bound stays valid
+    # a distance >= the true one keeps the bound valid: box to box (exact
+    # when both are box frames), R's vertex to S's box, or vertex to vertex
     if has_geometry(right):
         d = G.point_distance(F.col("_vx"), F.col("_vy"), F.col("_rx"), F.col("_ry"))
     else:
-        gx = G.envelope_gap(F.col("_vx"), F.col("_vx"), F.col("minx"), F.col("maxx"))
-        gy = G.envelope_gap(F.col("_vy"), F.col("_vy"), F.col("miny"), F.col("maxy"))
+        lx0, lx1 = (F.col("_lminx"), F.col("_lmaxx")) if not has_geometry(left) else (F.col("_vx"), F.col("_vx"))
+        ly0, ly1 = (F.col("_lminy"), F.col("_lmaxy")) if not has_geometry(left) else (F.col("_vy"), F.col("_vy"))
+        gx = G.envelope_gap(lx0, lx1, F.col("minx"), F.col("maxx"))
+        gy = G.envelope_gap(ly0, ly1, F.col("miny"), F.col("maxy"))
         d = F.sqrt(gx * gx + gy * gy)
     local = home.join(rk, ["_lv", "_cx", "_cy", "_sb"]).select("id", d.alias("_d"))
     kth = local.groupBy("id").agg(
