@@ -322,12 +322,15 @@ def kth_distance(result: DataFrame, k: int) -> DataFrame:
         F.count(F.lit(1)).alias("n_neighbours"))
 
 
-def _level_for(bound: Column, plan: KnnPlan) -> Column:
-    """Deepest level whose cell side is >= bound (0 when unbounded)."""
-    ratio = F.lit(plan.grid.side) / bound
+def _level_for(bound: Column, plan: KnnPlan, extent: Column | None = None) -> Column:
+    """Deepest level whose cell side is >= bound and >= half the R row's own
+    extent (so a large box meets a few cells per axis, not thousands); 0 when
+    unbounded.  Any level gives the same pairs; this one keeps probes few."""
+    reach = bound if extent is None else F.greatest(bound, extent / 2)
+    ratio = F.lit(plan.grid.side) / reach
     lv = F.least(F.greatest(F.floor(F.log2(ratio)), F.lit(0)), F.lit(plan.join_max_level))
     return (F.when(bound.isNull(), F.lit(0))
-            .when(bound <= 0, F.lit(plan.join_max_level))
+            .when(reach <= 0, F.lit(plan.join_max_level))
             .otherwise(lv)).cast("int")
 
 
@@ -399,8 +402,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
         bounds = left.select("id").where(F.lit(False)).withColumn("bound", F.lit(None).cast("double"))
     else:
         bounds = knn_bound(left, right, plan, need=need)
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
     lb = (left_seg.join(bounds, "id", "left")
-          .withColumn("_lv", _level_for(F.col("bound"), plan)))
+          .withColumn("_lv", _level_for(F.col("bound"), plan, extent)))
     lp = prefixed(lb, "l_").withColumnRenamed("l_bound", "_bound").withColumnRenamed("l__lv", "_lv") \
         .withColumn("_d", F.coalesce(F.col("_bound"), F.lit(0.0)))
     used = lb.select("_lv").distinct()
