@@ -58,6 +58,7 @@ EXTRA_LEVELS = 3          # levels below the density estimate, for skewed densit
 MAX_LEVEL_CAP = 24
 REL_EPS = 1e-9            # bound inflation against rounding at cell edges
 LOCAL_CAP = 8             # refine the bound where the home cell holds <= 8 k rows
+STAB_LEVELS_CAP = 16      # dyadic time levels for S rows longer than a count bin
 
 KEYS = ["_lv", "_cx", "_cy", "_tb"]
 
@@ -77,6 +78,7 @@ class KnnPlan:
     abs_eps: float
     right_stats: Stats
     deep_level: int           # pyramid depth inside hot cells (> LOCAL_CAP * k rows at max_level)
+    stab_levels: int = 0      # dyadic time levels of the stabbing count (0: S rows are short)
 
 
 def _log4_ceil(v: float) -> int:
@@ -129,8 +131,15 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
         join_bin_us = max(1, delta_us, int(math.ceil(rs.avg_len or 0.0)),
                           int(math.ceil((lrow["avg_len"] or 0.0) / 2)))
     abs_eps = REL_EPS * (abs(grid.x0) + abs(grid.y0) + grid.side)
+    stab = 0
+    if rs.max_len is not None and rs.max_len + 1 >= 2 * count_bin:
+        # 2^stab > (longest S row in count bins): every row decomposes fully
+        stab = min(STAB_LEVELS_CAP, int(math.ceil(math.log2(rs.max_len / count_bin + 2))))
+        if count_bin == 1:
+            # start bins then begin after the window start: one fewer fits
+            count_bins = min(count_bins, 2 * delta_us)
     plan = KnnPlan(k, delta_us, grid, max_level, join_max_level, count_bin, count_bins, join_bin_us,
-                   abs_eps, rs, deep_level)
+                   abs_eps, rs, deep_level, stab)
     if auto_depth and max_level < MAX_LEVEL_CAP:
         # small job: the fullest cell of the base level (one number to the
         # driver).  Only when some cell holds more than LOCAL_CAP * k rows in
@@ -182,17 +191,45 @@ def _level_cells(vx: Column, vy: Column, plan: KnnPlan, lo: int = 0, hi: int | N
         lv.alias("_lv"), g.cx(vx, lv).alias("_cx"), g.cy(vy, lv).alias("_cy")))
 
 
+def _stab_blocks(start: Column, end: Column, plan: KnnPlan) -> Column:
+    """Dyadic decomposition (segment tree) of the count bins lying fully
+    inside ``[start, end]``: ``array<struct<_tl, _b>>``, at most two blocks per
+    time level (block ``_b`` of level ``_tl`` spans bins [_b 2^_tl, (_b+1) 2^_tl)).
+    Blocks are disjoint, so an instant lies in at most one of them."""
+    w, top = plan.count_bin_us, plan.stab_levels - 1
+    b_lo = ceil_div(start, w)                       # first bin inside
+    b_hi = floor_div(end + 1, w) - 1                # last bin inside
+
+    def level(j):
+        lo, hi = ceil_div(b_lo, 2 ** j), floor_div(b_hi + 1, 2 ** j) - 1
+        plo, phi = ceil_div(b_lo, 2 ** (j + 1)), floor_div(b_hi + 1, 2 ** (j + 1)) - 1
+        # only the end blocks can be canonical; at the top level, keeping the
+        # end blocks only undercounts (safe for a lower bound)
+        keep = (lambda q: (q >= lo) & (q <= hi)) if j == top else \
+            (lambda q: (q >= lo) & (q <= hi) & ((floor_div(q, 2) < plo) | (floor_div(q, 2) > phi)))
+        return F.transform(F.filter(F.array_distinct(F.array(lo, hi)), keep),
+                           lambda q: F.struct(F.lit(j).alias("_tl"), q.alias("_b")))
+
+    return F.flatten(F.array(*[level(j) for j in range(plan.stab_levels)]))
+
+
 def _pyramid_keys(right: DataFrame, plan: KnnPlan, lo: int, hi: int) -> DataFrame:
     s = side(right)
     vx, vy = s.vertex()
     sb = floor_div(F.col("start_us"), plan.count_bin_us)
-    bins = F.sequence(sb - (plan.count_bins - 1), sb)
+    parts = []
+    if plan.count_bins:
+        parts.append(F.transform(F.sequence(sb - (plan.count_bins - 1), sb),
+                                 lambda b: F.struct(F.lit(-1).alias("_tl"), b.alias("_b"))))
+    if plan.stab_levels:
+        parts.append(_stab_blocks(F.col("start_us"), F.col("end_us"), plan))
+    times = parts[0] if len(parts) == 1 else F.concat(*parts)
     # one generator over keys computed from the row (never a literal array)
     keys = F.flatten(F.transform(_level_cells(vx, vy, plan, lo, hi), lambda c: F.transform(
-        bins, lambda b: F.struct(c["_lv"].alias("_lv"), c["_cx"].alias("_cx"), c["_cy"].alias("_cy"),
-                                 b.alias("_b")))))
+        times, lambda t: F.struct(c["_lv"].alias("_lv"), c["_cx"].alias("_cx"), c["_cy"].alias("_cy"),
+                                  t["_tl"].alias("_tl"), t["_b"].alias("_b")))))
     return (right.select(F.inline(keys))
-            .groupBy("_lv", "_cx", "_cy", "_b").agg(F.count(F.lit(1)).alias("_n")))
+            .groupBy("_lv", "_cx", "_cy", "_tl", "_b").agg(F.count(F.lit(1)).alias("_n")))
 
 
 def _with_base_cell(df: DataFrame, plan: KnnPlan) -> DataFrame:
@@ -222,19 +259,32 @@ def count_pyramid(right: DataFrame, plan: KnnPlan, need: int | None = None) -> t
 
 
 def _bound_hits(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int) -> DataFrame:
-    """Probe rows (id, level, cell, vertex) whose cell holds >= need S rows
-    that certainly overlap the R row's widened interval."""
+    """Probe rows (id, level, cell, vertex, ``_n``) whose cell holds >= need
+    S rows that certainly overlap the R row's widened interval [a, c]:
+
+    * S rows starting in M count bins inside (a, c] (key ``_tl = -1``), and
+    * S rows whose interval contains a (stabbing count: the dyadic blocks of
+      each S row, ``_tl >= 0``, looked up at the blocks holding a).
+
+    The two sets are disjoint (start > a vs start <= a), so counts add up."""
     count_bins = plan.count_bins
     s = side(left)
     vx, vy = s.vertex()
     a = F.col("start_us") - plan.delta_us
     c = F.col("end_us") + plan.delta_us
-    b0 = ceil_div(a, plan.count_bin_us)
+    # with stabbing counts, start bins begin strictly after a (disjoint sets)
+    b0 = ceil_div(a + (1 if plan.stab_levels else 0), plan.count_bin_us)
     inside = (b0 + count_bins) * plan.count_bin_us - 1 <= c
+    abin = floor_div(a, plan.count_bin_us)
+    times = F.array(*([F.struct(F.lit(-1).alias("_tl"), b0.alias("_b"))] if count_bins else []),
+                    *[F.struct(F.lit(j).alias("_tl"), floor_div(abin, 2 ** j).alias("_b"))
+                      for j in range(plan.stab_levels)])
+
     def probe_rows(df, lo, hi):
-        cells = F.transform(_level_cells(vx, vy, plan, lo, hi), lambda c: F.struct(
-            c["_lv"].alias("_lv"), c["_cx"].alias("_cx"), c["_cy"].alias("_cy"),
-            vx.alias("_vx"), vy.alias("_vy"), b0.alias("_b")))
+        cells = F.flatten(F.transform(_level_cells(vx, vy, plan, lo, hi), lambda cl: F.transform(
+            times, lambda t: F.struct(
+                cl["_lv"].alias("_lv"), cl["_cx"].alias("_cx"), cl["_cy"].alias("_cy"),
+                vx.alias("_vx"), vy.alias("_vy"), b0.alias("_b0"), t["_tl"].alias("_tl"), t["_b"].alias("_b")))))
         return df.select("id", "minx", "miny", "maxx", "maxy", F.inline(cells))
 
     pyr, hot = count_pyramid(right, plan, need)
@@ -244,7 +294,13 @@ def _bound_hits(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int) ->
         # R rows whose base cell is hot also probe the deep levels
         deep = _with_base_cell(probing, plan).join(hot, ["_hx", "_hy"], "left_semi")
         probes = probes.unionByName(probe_rows(deep, plan.max_level + 1, plan.deep_level))
-    return probes.join(pyr.where(F.col("_n") >= need), ["_lv", "_cx", "_cy", "_b"])
+    keys = ["_lv", "_cx", "_cy", "_tl", "_b"]
+    if not plan.stab_levels:
+        # one key per (row, level): filter before the join output grows
+        return probes.join(pyr.where(F.col("_n") >= need), keys).drop("_tl", "_b")
+    per_level = ["id", "minx", "miny", "maxx", "maxy", "_lv", "_cx", "_cy", "_vx", "_vy", "_b0"]
+    return (probes.join(pyr, keys).groupBy(*per_level).agg(F.sum("_n").alias("_n"))
+            .where(F.col("_n") >= need))
 
 
 def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None = None,
@@ -267,9 +323,9 @@ def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None
     # numeric aggregates only, so the plan keeps a hash aggregate
     agg = hit.groupBy("id").agg(
         F.min(cbound).alias("cbound"), F.max("_lv").alias("_lv"), F.max_by("_n", "_lv").alias("_n"),
-        F.first("_b").alias("_b"), F.first("_vx").alias("_vx"), F.first("_vy").alias("_vy"),
+        F.first("_b0").alias("_b"), F.first("_vx").alias("_vx"), F.first("_vy").alias("_vy"),
         *[F.first(c).alias("_l" + c) for c in ("minx", "miny", "maxx", "maxy")])
-    if not refine:
+    if not refine or not plan.count_bins:
         return agg.select("id", F.col("cbound").alias("bound"))
     g = plan.grid
     home = (agg.where(F.col("_n") <= LOCAL_CAP * need)
@@ -298,7 +354,7 @@ def knn_bound(left: DataFrame, right: DataFrame, plan: KnnPlan, need: int | None
         d = F.sqrt(gx * gx + gy * gy)
     local = home.join(rk, ["_lv", "_cx", "_cy", "_sb"]).select("id", d.alias("_d"))
     kth = local.groupBy("id").agg(
-        F.element_at(F.sort_array(F.collect_list("_d")), need).alias("_kth"))
+        F.try_element_at(F.sort_array(F.collect_list("_d")), F.lit(need)).alias("_kth"))
     tight = F.col("_kth") * (1 + REL_EPS) + plan.abs_eps
     return agg.join(kth, "id", "left").select(
         "id", F.least(F.col("cbound"), F.coalesce(tight, F.col("cbound"))).alias("bound"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STAT_COLUMNS = ["minx", "miny", "maxx", "maxy", "n", "start_us", "end_us", "avg_len", "avg_extent"]
+STAT_COLUMNS = ["minx", "miny", "maxx", "maxy", "n", "start_us", "end_us", "avg_len", "avg_extent", "max_len"]
 
 
 def global_stats(df: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def global_stats(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
         F.avg(F.col("end_us") - F.col("start_us")).alias("avg_len"),
-        F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))).alias("avg_extent"))
+        F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))).alias("avg_extent"),
+        F.max(F.col("end_us") - F.col("start_us")).alias("max_len"))
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,7 @@ class Stats:
     end_us: int | None
     avg_len: float | None
     avg_extent: float | None
+    max_len: int | None = None
 
     @property
     def empty(self) -> bool:
