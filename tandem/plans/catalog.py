@@ -405,6 +405,12 @@ def q_box_knn_join(spark, sf):
     return res.select("l_id", "r_id", "dist", "rank")
 
 
+def q_session_knn_join(spark, sf):
+    """S intervals (user-day sessions, hours long) much longer than delta."""
+    res = KN.st_knn_join(fx.pts_left(spark, sf), fx.sessions(spark, sf), K, HOUR)
+    return res.select("l_id", "r_id", "dist", "rank")
+
+
 def q_vec_knn_join(spark, sf):
     v = fx.vec_pts(spark, sf)
     res = KN.st_knn_join(v, v, K, 0, pair_filter=F.col("l_id") != F.col("r_id"), pair_filter_slack=1)
@@ -486,6 +492,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "home_cell": q_home_cell,
     "st_knn_join_filtered": q_st_knn_join_filtered,
     "box_knn_join": q_box_knn_join,
+    "session_knn_join": q_session_knn_join,
     "vec_knn_join": q_vec_knn_join,
     "geom_knn_join": q_geom_knn_join,
     "result_roundtrip": q_result_roundtrip,

@@ -304,6 +304,10 @@ SQL: dict[str, str] = {
     "box_knn_join": with_base(knn_pairs("box_left", "box_right",
                                         f"r.start_us <= l.end_us + {D} AND r.end_us >= l.start_us - {D}", BOX_DIST, C.K)
                               + " SELECT l_id, r_id, dist, rank FROM top"),
+    "session_knn_join": with_base("""pl2 AS (SELECT id, x AS minx, y AS miny, x AS maxx, y AS maxy, t AS start_us, t AS end_us
+                                  FROM pl), """ + knn_pairs(
+        "pl2", "sessions", f"r.start_us <= l.end_us + {H} AND r.end_us >= l.start_us - {H}", BOX_DIST, C.K)
+        + " SELECT l_id, r_id, dist, rank FROM top"),
     "vec_knn_join": """WITH v AS (SELECT vec_id AS id, CAST(embedding[2] AS DOUBLE) AS x, CAST(embedding[3] AS DOUBLE) AS y
                   FROM embeddings), """ + knn_pairs("v", "v", "l.id <> r.id", PT_DIST, C.K)
                     + " SELECT l_id, r_id, dist, rank FROM top",
