@@ -79,9 +79,16 @@ def time_periods(df: DataFrame, alpha: int, beta: int, k: int, delta_us: int,
             .select("period", "p_start", "p_end", "n"))
 
 
+MAX_PERIODS = 100_000
+
+
 def period_cuts(periods: DataFrame) -> list[int]:
-    """Start instants of the periods, ascending (<= alpha + 1 values)."""
-    return [r["p_start"] for r in periods.orderBy("p_start").select("p_start").collect()]
+    """Start instants of the periods, ascending.  ``time_periods`` makes at
+    most alpha + 1; a larger table is refused rather than collected."""
+    rows = periods.orderBy("p_start").select("p_start").limit(MAX_PERIODS + 1).collect()
+    if len(rows) > MAX_PERIODS:
+        raise ValueError(f"more than {MAX_PERIODS} periods; use fewer (alpha) periods")
+    return [r["p_start"] for r in rows]
 
 
 def period_of(t: Column, cuts: list[int]) -> Column:
