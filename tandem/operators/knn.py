@@ -140,7 +140,7 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
             count_bins = min(count_bins, 2 * delta_us)
     plan = KnnPlan(k, delta_us, grid, max_level, join_max_level, count_bin, count_bins, join_bin_us,
                    abs_eps, rs, deep_level, stab)
-    if auto_depth and max_level < MAX_LEVEL_CAP:
+    if auto_depth and max_level < MAX_LEVEL_CAP and rs.n > LOCAL_CAP * k:
         # small job: the fullest cell of the base level (one number to the
         # driver).  Only when some cell holds more than LOCAL_CAP * k rows in
         # a bin window does the plan add the deeper levels, inside hot cells.
