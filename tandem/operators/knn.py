@@ -443,6 +443,63 @@ def time_match(plan: KnnPlan, lp: str = "l_", rp: str = "r_") -> Column:
                     F.col(rp + "start_us"), F.col(rp + "end_us"))
 
 
+def dyadic_cover(lo: Column, hi: Column, levels: int) -> Column:
+    """Canonical dyadic blocks (segment tree) covering the integer range
+    [lo, hi] exactly, for ranges shorter than 2^levels:
+    ``array<struct<_j, _blk>>`` with block ``_blk`` of level ``_j`` spanning
+    [_blk 2^_j, (_blk + 1) 2^_j).  At most two blocks per level."""
+    def level(j):
+        a, b = ceil_div(lo, 2 ** j), floor_div(hi + 1, 2 ** j) - 1
+        pa, pb = ceil_div(lo, 2 ** (j + 1)), floor_div(hi + 1, 2 ** (j + 1)) - 1
+        keep = (lambda q: (q >= a) & (q <= b) & ((floor_div(q, 2) < pa) | (floor_div(q, 2) > pb)))
+        return F.transform(F.filter(F.array_distinct(F.array(a, b)), keep),
+                           lambda q: F.struct(F.lit(j).alias("_j"), q.alias("_blk")))
+    return F.flatten(F.array(*[level(j) for j in range(levels)]))
+
+
+def _group_keys(df: DataFrame) -> list[str]:
+    keys = ["minx", "miny", "maxx", "maxy"]
+    return keys + (["kind", "pts", "parts"] if has_geometry(df) else [])
+
+
+def _split_heavy(right: DataFrame, right_once: DataFrame, plan: KnnPlan, keep: int):
+    """Rows of cells still hot at the deepest level, instants only, grouped by
+    exact geometry: every member of a group is at the same distance from any
+    R row, so an R row needs only the ``keep`` smallest ids among the members
+    inside its window.  Returns (S without those rows + one representative
+    row per group, block index of the members, group keys, time levels, t0),
+    or None when there are no such cells."""
+    if plan.deep_level <= plan.max_level or plan.right_stats.start_us is None:
+        return None
+    pyr, _ = count_pyramid(right, plan, keep)
+    g = plan.grid
+    heavy_cells = (pyr.where((F.col("_lv") == plan.deep_level) & (F.col("_n") > LOCAL_CAP * keep))
+                   .select(F.col("_cx").alias("_zx"), F.col("_cy").alias("_zy")).distinct())
+    vx, vy = side(right_once).vertex()
+    tagged = (right_once.withColumn("_zx", g.cx(vx, plan.deep_level)).withColumn("_zy", g.cy(vy, plan.deep_level))
+              .join(heavy_cells.withColumn("_hot", F.lit(True)), ["_zx", "_zy"], "left")
+              .withColumn("_hv", F.coalesce(F.col("_hot"), F.lit(False)) & (F.col("start_us") == F.col("end_us")))
+              .drop("_zx", "_zy", "_hot"))
+    members = tagged.where(F.col("_hv")).drop("_hv")
+    normal = tagged.where(~F.col("_hv")).drop("_hv").withColumn("_rep", F.lit(False))
+    keys = _group_keys(right_once)
+    extra = [F.first("segs").alias("segs")] if "segs" in right_once.columns else []
+    reps = (members.groupBy(*keys)
+            .agg(F.min("id").alias("id"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), *extra)
+            .withColumn("_rep", F.lit(True)))
+    t0 = int(plan.right_stats.start_us)
+    span = max(0, int(plan.right_stats.end_us) - t0)
+    levels = span.bit_length() + 1
+    rel = F.col("r_start_us") - F.lit(t0)
+    blocks = F.array(*[F.struct(F.lit(j).alias("_j"), floor_div(rel, 2 ** j).alias("_blk")) for j in range(levels)])
+    mp = prefixed(members, "r_")
+    index = mp.select(*mp.columns, F.inline(blocks))
+    part = [f"r_{c}" for c in keys] + ["_j", "_blk"]
+    index = (index.withColumn("_ord", F.row_number().over(Window.partitionBy(*part).orderBy("r_id")))
+             .where(F.col("_ord") <= keep).drop("_ord"))   # partial limit runs before the shuffle
+    return normal.unionByName(reps, allowMissingColumns=True), index, keys, levels, t0, span
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filter: Column | None = None,
                     need: int | None = None, copies_done: bool = False) -> DataFrame:
     """Rounds 1 and 2: every (r, s) pair that can be among r's k nearest,
@@ -458,13 +515,16 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
         bounds = left.select("id").where(F.lit(False)).withColumn("bound", F.lit(None).cast("double"))
     else:
         bounds = knn_bound(left, right, plan, need=need)
+    heavy = None if need is not None and need < 0 else \
+        _split_heavy(right, right_once, plan, plan.k if need is None else need)
+    right_join = heavy[0] if heavy else right_once
     extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
     lb = (left_seg.join(bounds, "id", "left")
           .withColumn("_lv", _level_for(F.col("bound"), plan, extent)))
     lp = prefixed(lb, "l_").withColumnRenamed("l_bound", "_bound").withColumnRenamed("l__lv", "_lv") \
         .withColumn("_d", F.coalesce(F.col("_bound"), F.lit(0.0)))
     used = lb.select("_lv").distinct()
-    rp = right_cells(prefixed(right_once, "r_"), plan, used)
+    rp = right_cells(prefixed(right_join, "r_"), plan, used)
     lc = left_cells(lp, plan)
     joined = lc.join(rp, KEYS)
     env_d = G.envelope_distance(lside, rside)
@@ -472,9 +532,25 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
     pairs = joined.where(time_match(plan) & bounded & owned_once(plan))
     pairs = pairs.withColumn("dist", G.geometry_distance(lside, rside))
     pairs = pairs.where(F.col("_bound").isNull() | (F.col("dist") <= F.col("_bound")))
+    out_cols = [f"l_{c}" for c in left_seg.columns if c != "segs"] + \
+        [f"r_{c}" for c in right_once.columns if c != "segs"] + ["dist"]
+    if heavy:
+        _, index, keys, levels, t0, span = heavy
+        # a representative stands for its group: expand it to the members
+        # inside the R row's window, block by block (k smallest ids each)
+        reps = pairs.where(F.col("r__rep"))
+        lo = F.greatest(F.col("l_start_us") - plan.delta_us - t0, F.lit(0))
+        hi = F.least(F.col("l_end_us") + plan.delta_us - t0, F.lit(span))
+        gk = [f"r_{c}" for c in keys]
+        reps = reps.select(*[c for c in out_cols if c.startswith("l_")], *gk, "dist",
+                           F.inline(dyadic_cover(lo, hi, levels)))
+        members = reps.join(index.drop("r_segs", "r__rep"), [*gk, "_j", "_blk"]).select(*out_cols)
+        pairs = pairs.where(~F.col("r__rep")).select(*out_cols).unionByName(members)
+    else:
+        pairs = pairs.select(*out_cols)
     if pair_filter is not None:
         pairs = pairs.where(pair_filter)
-    return pairs.drop(*KEYS, "_bound", "_d", "l_segs", "r_segs")
+    return pairs
 
 
 def top_k(pairs: DataFrame, k: int, id_col: str = "l_id", rid_col: str = "r_id",
