@@ -67,14 +67,16 @@ def test_distances(spark):
         (3, "LINESTRING (-3 -3, 3 3)", 0, 0),
         (4, "POLYGON ((10 0, 12 0, 12 2, 10 2, 10 0))", 0, 0),
     ])
-    other = wkt_frame(spark, [(9, "LINESTRING (-3 3, 3 -3)", 0, 0)])  # crosses geometry 3
     pt = geoms.withColumn("p_minx", F.lit(0.0)).withColumn("p_maxx", F.lit(0.0)) \
         .withColumn("p_miny", F.lit(0.0)).withColumn("p_maxy", F.lit(0.0))
     d = dict(pt.select("id", G.geometry_distance(G.Side("", True), G.Side("p_")).alias("d")).collect())
     assert d[1] == 3.0 and d[2] == 0.0 and d[3] == 0.0 and d[4] == 10.0
-    o = other.select(*[F.col(c).alias("o_" + c) for c in other.columns])
-    j = geoms.where(F.col("id") == 3).join(o)
-    assert one(j, G.geometry_distance(G.Side("", True), G.Side("o_", True))) == 0.0
+    # two crossing lines in one row (no vertex of either touches the other)
+    both = wkt_frame(spark, [(3, "LINESTRING (-3 -3, 3 3)", 0, 0)]).join(
+        wkt_frame(spark, [(3, "LINESTRING (-3 3, 3 -3)", 0, 0)]).select(
+            "id", *[F.col(c).alias("o_" + c) for c in ("kind", "pts", "parts", "minx", "miny", "maxx", "maxy")]),
+        "id")
+    assert one(both, G.geometry_distance(G.Side("", True), G.Side("o_", True))) == 0.0
 
 
 def test_centroids(spark):
@@ -121,9 +123,9 @@ def test_grid_cells_clamped(spark):
 
 
 def test_box_predicates(spark):
-    a = frame(spark, [(1, 0, 0, 2, 2, 0, 0)])
-    b = a.select(*[F.col(c).alias("b_" + c) for c in a.columns])
-    j = a.join(b.withColumn("b_minx", F.lit(2.0)).withColumn("b_maxx", F.lit(3.0)))
+    j = spark.createDataFrame([(0.0, 0.0, 2.0, 2.0, 2.0, 0.0, 3.0, 2.0)],
+                              "minx double, miny double, maxx double, maxy double, "
+                              "b_minx double, b_miny double, b_maxx double, b_maxy double")
     assert one(j, G.envelope_intersects(G.Side(), G.Side("b_")))
     ix = j.select(G.envelope_intersection(G.Side(), G.Side("b_")).alias("i")).first()["i"]
     assert (ix["minx"], ix["maxx"]) == (2.0, 2.0)
