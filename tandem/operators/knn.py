@@ -193,24 +193,13 @@ def _level_cells(vx: Column, vy: Column, plan: KnnPlan, lo: int = 0, hi: int | N
 
 def _stab_blocks(start: Column, end: Column, plan: KnnPlan) -> Column:
     """Dyadic decomposition (segment tree) of the count bins lying fully
-    inside ``[start, end]``: ``array<struct<_tl, _b>>``, at most two blocks per
-    time level (block ``_b`` of level ``_tl`` spans bins [_b 2^_tl, (_b+1) 2^_tl)).
-    Blocks are disjoint, so an instant lies in at most one of them."""
-    w, top = plan.count_bin_us, plan.stab_levels - 1
-    b_lo = ceil_div(start, w)                       # first bin inside
-    b_hi = floor_div(end + 1, w) - 1                # last bin inside
-
-    def level(j):
-        lo, hi = ceil_div(b_lo, 2 ** j), floor_div(b_hi + 1, 2 ** j) - 1
-        plo, phi = ceil_div(b_lo, 2 ** (j + 1)), floor_div(b_hi + 1, 2 ** (j + 1)) - 1
-        # only the end blocks can be canonical; at the top level, keeping the
-        # end blocks only undercounts (safe for a lower bound)
-        keep = (lambda q: (q >= lo) & (q <= hi)) if j == top else \
-            (lambda q: (q >= lo) & (q <= hi) & ((floor_div(q, 2) < plo) | (floor_div(q, 2) > phi)))
-        return F.transform(F.filter(F.array_distinct(F.array(lo, hi)), keep),
-                           lambda q: F.struct(F.lit(j).alias("_tl"), q.alias("_b")))
-
-    return F.flatten(F.array(*[level(j) for j in range(plan.stab_levels)]))
+    inside ``[start, end]``: ``array<struct<_tl, _b>>``.  Blocks are disjoint,
+    so an instant lies in at most one of them.  Rows longer than
+    2^stab_levels bins lose their middle blocks: an undercount, which keeps
+    the count a valid lower bound."""
+    w = plan.count_bin_us
+    cover = dyadic_cover(ceil_div(start, w), floor_div(end + 1, w) - 1, plan.stab_levels)
+    return F.transform(cover, lambda blk: F.struct(blk["_j"].alias("_tl"), blk["_blk"].alias("_b")))
 
 
 def _pyramid_keys(right: DataFrame, plan: KnnPlan, lo: int, hi: int) -> DataFrame:
