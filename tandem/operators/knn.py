@@ -5,38 +5,49 @@ least ``(dist(r, s), s.id)`` among those whose interval overlaps r's interval
 widened by ``delta`` on both sides (closed intervals).  Rows of R without
 any candidate are dropped (``how='inner'``) or kept with NULLs (``'left'``).
 
-Plan (all DataFrame operators; Catalyst sees equi-joins and a window):
-
-1. **Statistics** (two 1-row aggregates): R's time range, S's envelope,
-   count, time range, mean interval length.  They fix the grid root, the
-   deepest level and the bin widths.  S is pre-filtered to R's time range
-   widened by ``delta``.
+Plan (all DataFrame operators; Catalyst sees equi-joins, aggregates and
+windows, never a cartesian product):
+
+1. **Statistics** (one job, two 1-row aggregates): R's time range, S's
+   envelope, count, mean/max interval length and extent.  They fix the grid
+   root, the depths and the bin widths.  S is pre-filtered to R's time range
+   widened by ``delta`` (literals).  A second small job finds the fullest cell
+   of the base level; only if some cell holds > LOCAL_CAP * k rows do the
+   deep levels (up to 24, inside such *hot* cells only) enter the plan.
 2. **Count pyramid.**  Every S row counts once per level, at the cell of one
-   of its vertices, in each window of ``M`` consecutive count bins that holds
-   its start: ``groupBy(level, cx, cy, bin).count()`` (map-side partial).
-3. **Bound.**  Every R row probes each level once, at its own cell and the
-   first of ``M`` count bins lying fully inside its widened interval.  Rows
-   counted there certainly overlap it in time, so if there are >= k of them
-   the farthest point of that cell from R's vertex bounds R's k-th distance.
-   Minimum over levels; NULL when no level has k certain rows.
-4. **Cell join.**  Per R row, the deepest level whose cell side >= bound;
-   R explodes to the cells met by its envelope widened by the bound and to
-   the join bins of its widened interval; S explodes to the cells of its
-   envelope and the join bins of its interval at each level some R row
-   uses.  Equi-join on (level, cx, cy, bin), then exact time overlap,
-   envelope distance <= bound, exact distance <= bound.  A pair met in
-   several cells/bins is kept only in the cell of the lower-left corner of
-   (R envelope widened by the bound) ∩ (S envelope) and the bin of the later
-   start: no ``distinct`` shuffle.
+   of its vertices, (a) in each window of M count bins holding its start and
+   (b) in its dyadic blocks of whole count bins (segment tree, long rows
+   only): ``groupBy(level, cx, cy, time level, bin).count()``, map-side
+   partial aggregation.
+3. **Bound.**  Every R row probes its cell at each level: S rows starting in
+   M bins inside its widened window plus S rows containing the window start
+   (stabbing count) certainly overlap it in time, so >= k of them bound R's
+   k-th distance by the farthest point of that cell.  Where the home cell
+   holds <= LOCAL_CAP * k rows, the k-th smallest distance to those rows is
+   a tighter bound.  NULL when no level has k certain rows.
+4. **Cell join.**  Per R row, the deepest level whose cell side is >= the
+   bound (and >= half its extent); R explodes to the cells met by its
+   envelope widened by the bound and to the join bins of its widened
+   interval; S explodes to the cells of its envelope and the join bins of its
+   interval at each level some R row uses.  Equi-join on (level, cx, cy,
+   bin), then exact time overlap, envelope distance <= bound, exact distance
+   <= bound.  A pair met in several cells/bins is kept only in the cell of
+   the lower-left corner of (R envelope widened by the bound) ∩ (S envelope)
+   and the bin of the later start: no ``distinct`` shuffle.
 5. **Top-k.**  ``row_number() over (partition by r.id order by dist, s.id) <= k``
    plans as a partial WindowGroupLimit before the shuffle and a final one
    after it.
 
-Skew: dense places get deep levels (small cells), so the rows behind one
-join key stay bounded by the data's density; exact copies of a right row
-beyond the first k (same geometry and interval) can never be chosen and are
-removed before the join with a partial-limited window.  A hot key that is
-left is split by AQE's skew join (enabled in ``tandem.session``).
+Skew:
+* dense places get deep levels (small cells), so the rows behind one join
+  key stay bounded by density;
+* exact copies of an S row beyond the first k can never be chosen and are
+  removed before round 2 (window with a partial limit before its shuffle);
+* instants at one exact location (cells still hot at level 24) are grouped
+  by geometry and indexed in dyadic time blocks keeping the k smallest ids:
+  one representative joins, then expands over <= 2 blocks per level of the
+  R row's window;
+* AQE's skew join splits what remains.
 """
 
 from __future__ import annotations
