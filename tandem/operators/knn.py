@@ -463,12 +463,16 @@ def _group_keys(df: DataFrame) -> list[str]:
 
 
 def _split_heavy(right: DataFrame, right_once: DataFrame, plan: KnnPlan, keep: int):
-    """Rows of cells still hot at the deepest level, instants only, grouped by
-    exact geometry: every member of a group is at the same distance from any
-    R row, so an R row needs only the ``keep`` smallest ids among the members
-    inside its window.  Returns (S without those rows + one representative
-    row per group, block index of the members, group keys, time levels, t0),
-    or None when there are no such cells."""
+    """Rows of cells still hot at the deepest level, grouped by exact
+    geometry: every member of a group is at the same distance from any R row,
+    so an R row needs only the ``keep`` smallest ids among the members valid
+    for its window [a, c].  A member is valid when its start lies in [a, c]
+    (*start index*: the dyadic block of its start, per level) or when it
+    starts before a and contains a (*stab index*: the canonical dyadic
+    blocks of [start + 1, end]).  The two cases are disjoint, every member of
+    a block found for a window is valid, so keeping ``keep`` ids per block is
+    exact.  Returns (S without the members + one representative per group,
+    the index, group keys, time levels, t0, span), or None."""
     if plan.deep_level <= plan.max_level or plan.right_stats.start_us is None:
         return None
     pyr, _ = count_pyramid(right, plan, keep)
@@ -477,9 +481,9 @@ def _split_heavy(right: DataFrame, right_once: DataFrame, plan: KnnPlan, keep: i
                    .select(F.col("_cx").alias("_zx"), F.col("_cy").alias("_zy")).distinct())
     vx, vy = side(right_once).vertex()
     tagged = (right_once.withColumn("_zx", g.cx(vx, plan.deep_level)).withColumn("_zy", g.cy(vy, plan.deep_level))
-              .join(heavy_cells.withColumn("_hot", F.lit(True)), ["_zx", "_zy"], "left")
-              .withColumn("_hv", F.coalesce(F.col("_hot"), F.lit(False)) & (F.col("start_us") == F.col("end_us")))
-              .drop("_zx", "_zy", "_hot"))
+              .join(heavy_cells.withColumn("_hv", F.lit(True)), ["_zx", "_zy"], "left")
+              .withColumn("_hv", F.coalesce(F.col("_hv"), F.lit(False)))
+              .drop("_zx", "_zy"))
     members = tagged.where(F.col("_hv")).drop("_hv")
     normal = tagged.where(~F.col("_hv")).drop("_hv").withColumn("_rep", F.lit(False))
     keys = _group_keys(right_once)
@@ -490,11 +494,15 @@ def _split_heavy(right: DataFrame, right_once: DataFrame, plan: KnnPlan, keep: i
     t0 = int(plan.right_stats.start_us)
     span = max(0, int(plan.right_stats.end_us) - t0)
     levels = span.bit_length() + 1
-    rel = F.col("r_start_us") - F.lit(t0)
-    blocks = F.array(*[F.struct(F.lit(j).alias("_j"), floor_div(rel, 2 ** j).alias("_blk")) for j in range(levels)])
+    rs = F.col("r_start_us") - F.lit(t0)
+    re = F.col("r_end_us") - F.lit(t0)
+    starts = F.array(*[F.struct(F.lit(0).alias("_kind"), F.lit(j).alias("_j"), floor_div(rs, 2 ** j).alias("_blk"))
+                       for j in range(levels)])
+    stabs = F.transform(dyadic_cover(rs + 1, re, levels), lambda b: F.struct(
+        F.lit(1).alias("_kind"), b["_j"].alias("_j"), b["_blk"].alias("_blk")))
     mp = prefixed(members, "r_")
-    index = mp.select(*mp.columns, F.inline(blocks))
-    part = [f"r_{c}" for c in keys] + ["_j", "_blk"]
+    index = mp.select(*mp.columns, F.inline(F.concat(starts, stabs)))
+    part = [f"r_{c}" for c in keys] + ["_kind", "_j", "_blk"]
     index = (index.withColumn("_ord", F.row_number().over(Window.partitionBy(*part).orderBy("r_id")))
              .where(F.col("_ord") <= keep).drop("_ord"))   # partial limit runs before the shuffle
     return normal.unionByName(reps, allowMissingColumns=True), index, keys, levels, t0, span
@@ -539,12 +547,20 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
         # a representative stands for its group: expand it to the members
         # inside the R row's window, block by block (k smallest ids each)
         reps = pairs.where(F.col("r__rep"))
-        lo = F.greatest(F.col("l_start_us") - plan.delta_us - t0, F.lit(0))
+        a = F.col("l_start_us") - plan.delta_us - t0
+        lo = F.greatest(a, F.lit(0))
         hi = F.least(F.col("l_end_us") + plan.delta_us - t0, F.lit(span))
         gk = [f"r_{c}" for c in keys]
+        # start index: blocks covering [a, c]; stab index: the block holding a per level
+        by_start = F.transform(dyadic_cover(lo, hi, levels), lambda b: F.struct(
+            F.lit(0).alias("_kind"), b["_j"].alias("_j"), b["_blk"].alias("_blk")))
+        holding_a = F.array(*[F.struct(F.lit(1).alias("_kind"), F.lit(j).alias("_j"), floor_div(a, 2 ** j).alias("_blk"))
+                              for j in range(levels)])
+        none = F.array().cast("array<struct<_kind:int,_j:int,_blk:bigint>>")
+        stab = F.when((a >= 0) & (a <= span), holding_a).otherwise(none)
         reps = reps.select(*[c for c in out_cols if c.startswith("l_")], *gk, "dist",
-                           F.inline(dyadic_cover(lo, hi, levels)))
-        members = reps.join(index.drop("r_segs", "r__rep"), [*gk, "_j", "_blk"]).select(*out_cols)
+                           F.inline(F.concat(by_start, stab)))
+        members = reps.join(index.drop("r_segs", "r__rep"), [*gk, "_kind", "_j", "_blk"]).select(*out_cols)
         pairs = pairs.where(~F.col("r__rep")).select(*out_cols).unionByName(members)
     else:
         pairs = pairs.select(*out_cols)
