@@ -43,10 +43,11 @@ Skew:
   key stay bounded by density;
 * exact copies of an S row beyond the first k can never be chosen and are
   removed before round 2 (window with a partial limit before its shuffle);
-* instants at one exact location (cells still hot at level 24) are grouped
-  by geometry and indexed in dyadic time blocks keeping the k smallest ids:
-  one representative joins, then expands over <= 2 blocks per level of the
-  R row's window;
+* rows at one exact location (cells still hot at level 24) are grouped by
+  geometry and indexed in dyadic time blocks keeping the k smallest ids
+  (by start, and by the interval's canonical blocks for rows containing the
+  window start): one representative joins, then expands over <= 3 blocks per
+  level of the R row's window;
 * AQE's skew join splits what remains.
 """
 
