@@ -91,6 +91,7 @@ class KnnPlan:
     right_stats: Stats
     deep_level: int           # pyramid depth inside hot cells (> LOCAL_CAP * k rows at max_level)
     stab_levels: int = 0      # dyadic time levels of the stabbing count (0: S rows are short)
+    left_stats: Stats | None = None
 
 
 def _log4_ceil(v: float) -> int:
@@ -150,8 +151,9 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
         if count_bin == 1:
             # start bins then begin after the window start: one fewer fits
             count_bins = min(count_bins, 2 * delta_us)
+    ls = Stats(**{c: lrow[c] for c in STAT_COLUMNS})
     plan = KnnPlan(k, delta_us, grid, max_level, join_max_level, count_bin, count_bins, join_bin_us,
-                   abs_eps, rs, deep_level, stab)
+                   abs_eps, rs, deep_level, stab, ls)
     if auto_depth and max_level < MAX_LEVEL_CAP and rs.n > LOCAL_CAP * k:
         # small job: the fullest cell of the base level (one number to the
         # driver).  Only when some cell holds more than LOCAL_CAP * k rows in
@@ -640,7 +642,10 @@ def st_distance_join(left: DataFrame, right: DataFrame, max_dist: float, delta_u
     check_frame(right)
     plan, right_f = plan_for(left, right, 1, delta_us, None, join_bin_us)
     g = plan.grid
-    level = _fixed_level(g.side, max_dist, plan.join_max_level)
+    # cells no smaller than half the mean left extent: large boxes meet a few
+    # cells per axis rather than thousands (any level gives the same pairs)
+    half_extent = ((plan.left_stats.avg_extent or 0.0) / 2) if plan.left_stats else 0.0
+    level = _fixed_level(g.side, max(max_dist, half_extent), plan.join_max_level)
     left, right_f = with_segments(left), with_segments(right_f)
     lp = prefixed(left, "l_").withColumn("_lv", F.lit(level)) \
         .withColumn("_d", F.lit(float(max_dist)))
