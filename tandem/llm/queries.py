@@ -1,9 +1,10 @@
 """Registered queries of the subpackage and, where SQL can state the same
 result, their DuckDB SQL."""
 
-from . import line_dedup
+from . import html_extract, line_dedup
 
 QUERIES = {
+    "op2_html_extract": html_extract.op2_html_extract,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
