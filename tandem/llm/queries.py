@@ -1,12 +1,13 @@
 """Registered queries of the subpackage and, where SQL can state the same
 result, their DuckDB SQL."""
 
-from . import html_extract, langid, line_dedup, quality, toxicity
+from . import html_extract, langid, line_dedup, quality, sentencepiece_nbest, toxicity
 
 QUERIES = {
     "op2_html_extract": html_extract.op2_html_extract,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_sentencepiece": sentencepiece_nbest.op8_sentencepiece,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": langid.op10_language_id,
 }
