@@ -1,10 +1,11 @@
 """Registered queries of the subpackage and, where SQL can state the same
 result, their DuckDB SQL."""
 
-from . import html_extract, langid, line_dedup, quality, sentencepiece_nbest, toxicity
+from . import decontam, html_extract, langid, line_dedup, quality, sentencepiece_nbest, toxicity
 
 QUERIES = {
     "op2_html_extract": html_extract.op2_html_extract,
+    "op5_decontamination": decontam.op5_decontamination,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_sentencepiece": sentencepiece_nbest.op8_sentencepiece,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_decontamination": decontam.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
