@@ -1,10 +1,11 @@
 """Registered queries of the subpackage and, where SQL can state the same
 result, their DuckDB SQL."""
 
-from . import decontam, html_extract, langid, line_dedup, quality, sentencepiece_nbest, toxicity
+from . import decontam, html_extract, langid, line_dedup, quality, sentencepiece_nbest, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_html_extract": html_extract.op2_html_extract,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_decontamination": decontam.op5_decontamination,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_suffix_dedup": suffix_dedup.SQL,
     "op5_decontamination": decontam.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
