@@ -1,11 +1,12 @@
 """Registered queries of the subpackage and, where SQL can state the same
 result, their DuckDB SQL."""
 
-from . import decontam, html_extract, langid, line_dedup, minhash, quality, sentencepiece_nbest, suffix_dedup, toxicity
+from . import ann, decontam, html_extract, langid, line_dedup, minhash, quality, sentencepiece_nbest, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_html_extract": html_extract.op2_html_extract,
+    "op3_ann": ann.op3_ann,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_decontamination": decontam.op5_decontamination,
     "op6_quality": quality.op6_quality,
