@@ -114,6 +114,12 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW)
                         F.array_sort(F.array_distinct(spans)).alias("spans"))
 
 
+def drop_contaminated(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``documents`` (all columns) without those that hold a window of an item."""
+    gone = decontaminate(documents, items, window).where("n_hit > 0").select(F.col("doc_id").alias("__gone")).distinct()
+    return documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def proximity_matches(index: DataFrame, items: DataFrame, within: int) -> DataFrame:
     """item, doc_id, near: postings of an item's rarest term that have every other
     term of the item at most ``within`` positions away, in any order.

@@ -259,6 +259,37 @@ def dedup_lines(documents: DataFrame, min_chars: int = 10) -> DataFrame:
         _keep, "doc_id long, text string, n_lines long, n_dropped long, kept_sha256 string")
 
 
+def _rewrite(columns: list[str]):
+    """Rows with their drops last: the text without them, and its new length."""
+    text, length = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1
+
+    def run(batches):
+        for batch in batches:
+            drops, out = batch.column(len(columns)), batch.select(range(len(columns)))
+            if drops.null_count < batch.num_rows:
+                texts = out.column(text).to_pylist()
+                for k in range(batch.num_rows):
+                    if drops[k].is_valid and texts[k] is not None:
+                        gone = set(drops[k].as_py())
+                        texts[k] = "\n".join(x for n, x in enumerate(texts[k].split("\n")) if n not in gone)
+                out = out.set_column(text, out.schema.field(text), pa.array(texts, out.schema.field(text).type))
+                if length >= 0:
+                    sizes = pa.array([None if t is None else len(t) for t in texts], out.schema.field(length).type)
+                    out = out.set_column(length, out.schema.field(length), sizes)
+            yield out
+
+    return run
+
+
+def drop_lines(documents: DataFrame, min_chars: int = 10) -> DataFrame:
+    """``documents`` with all columns, repeated lines gone from ``text``; ``n_chars``,
+    where there is one, follows."""
+    drops = lines_to_drop(key_text(documents), min_chars).groupBy(F.col("doc_id").alias("__doc")) \
+        .agg(F.collect_set("line").alias("__drops"))
+    met = documents.join(drops, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    return met.select(*documents.columns, "__drops").mapInArrow(_rewrite(documents.columns), documents.schema)
+
+
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")

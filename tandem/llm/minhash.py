@@ -323,6 +323,15 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = WORDS,
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def one_of_each(documents: DataFrame, percent: int = 80, words: int = WORDS,
+                bands: int = 38, rows: int = 5) -> DataFrame:
+    """``documents`` (all columns) with one document of each near-duplicate group:
+    the smallest ``doc_id``.  Rows without id or without words stay."""
+    gone = near_duplicates(documents, percent, words, bands, rows).where("not kept").select(
+        F.col("doc_id").alias("__gone"))
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+
+
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "n_shingles", "component_id", "kept")

@@ -27,6 +27,12 @@ def score_quality(documents: DataFrame, labels: DataFrame, config: subword.Confi
     return subword.score_documents(documents, subword.fit(documents, labels, "quality", config))
 
 
+def keep_good(documents: DataFrame, labels: DataFrame, config: subword.Config = CONFIG,
+              least: float = KEEP_AT) -> DataFrame:
+    """The rows of ``documents`` (all columns) whose quality score is ``least`` or more."""
+    return subword.keep_documents(documents, subword.fit(documents, labels, "quality", config), least)
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

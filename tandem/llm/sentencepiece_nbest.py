@@ -30,9 +30,9 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Rolling, ranges, slabs
+from .common import Rolling, key_text, ranges, slabs
 from .lattice import Lattice, Pieces, load_pieces, zipf_log_probs
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -239,10 +239,12 @@ class Codec:
         return b"".join(map(self.piece_of.__getitem__, ids))[1:]
 
 
+NEW = "n_pieces long, score double, nbest_scores array<double>, round_trip boolean, piece_ids array<int>"
+ADDED = [c.split()[0] for c in NEW.split(", ")]
+
+
 def _encode(vocab: Pieces, n_best: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("score", pa.float64()),
-                        ("nbest_scores", pa.list_(pa.float64())), ("round_trip", pa.bool_()),
-                        ("piece_ids", pa.list_(pa.int32()))])
+    """The rows as they are, and the columns of ``NEW`` after them."""
 
     def run(batches):
         codec = Codec(vocab, n_best)
@@ -252,21 +254,26 @@ def _encode(vocab: Pieces, n_best: int):
             same = [codec.decode(ids[at[t]:at[t + 1]]) == data[offsets[t]:offsets[t + 1]].tobytes()
                     for t in range(rows.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(np.diff(at)), pa.array(score), pa.array(scores, pa.list_(pa.float64())),
-                 pa.array(same), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))],
-                schema=schema)
+                [*rows.columns, pa.array(np.diff(at)), pa.array(score),
+                 pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_()),
+                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))],
+                names=[*rows.schema.names, *ADDED])
 
     return run
 
 
-COLUMNS = "doc_id long, n_pieces long, score double, nbest_scores array<double>, round_trip boolean, piece_ids array<int>"
+def encode_columns(documents: DataFrame, model_file: str = VOCABULARY, n_best: int = N_BEST) -> DataFrame:
+    """``documents`` with all columns and the encoding's: n_pieces, score,
+    nbest_scores, round_trip (decoding gives the text back) and piece_ids of the
+    best segmentation.  Columns of those names give way."""
+    rows = documents.drop(*ADDED)
+    schema = T.StructType(rows.schema.fields + T.StructType.fromDDL(NEW).fields)
+    return rows.mapInArrow(_encode(load_pieces(model_file), n_best), schema)
 
 
 def encode_documents(documents: DataFrame, model_file: str = VOCABULARY, n_best: int = N_BEST) -> DataFrame:
-    """doc_id, n_pieces, score, nbest_scores, round_trip (decoding gives the text
-    back), piece_ids of the best segmentation of every whole text."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_encode(load_pieces(model_file), n_best), COLUMNS)
+    """doc_id and the encoding's columns for every whole text."""
+    return encode_columns(key_text(documents), model_file, n_best).drop("text")
 
 
 def _decode(vocab: Pieces):

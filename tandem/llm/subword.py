@@ -241,26 +241,28 @@ def fit(documents: DataFrame, labels: DataFrame, target: str, config: Config) ->
 
 
 def _score(model: Model):
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         for rows, data, offsets in slabs(batches):
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(scores(data, offsets, model))], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores(data, offsets, model))], schema=schema)
 
     return run
 
 
-def _score_only(model: Model):
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+def score_documents(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score of every whole text."""
+    return key_text(documents).mapInArrow(_score(model), "doc_id long, score double")
 
+
+def _keep_rows(model: Model, least: float):
     def run(batches):
         for rows, data, offsets in slabs(batches):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores(data, offsets, model))], schema=schema)
+            yield rows.filter(pa.array(scores(data, offsets, model) >= least))
 
     return run
 
 
-def score_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every whole text."""
-    return key_text(documents).mapInArrow(_score_only(model), "doc_id long, score double")
+def keep_documents(documents: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, that score ``least`` or more."""
+    return documents.mapInArrow(_keep_rows(model, least), documents.schema)
