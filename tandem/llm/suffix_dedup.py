@@ -16,10 +16,12 @@ windows that chose it, about a hundred.
 * Pass 2, digit = the whole reach of the anchor (the bytes of all its windows):
   anchors that share it have all their windows repeated; they stay as one
   representative.
-* Pass 3, depth = 200: for grams with several different reaches, the windows of
-  every representative are told apart by their full 200 bytes.  Windows are
-  grouped where a gram has few reaches; the windows of a gram with many are
-  dealt out by their own hash, so no task holds a frequent gram.
+* Further passes, up to depth = 200, for grams with several different reaches.
+  A group of few representatives is finished in one task: their windows are
+  told apart by all 200 bytes.  A larger group is split by a longer digit: the
+  windows are cut in halves by their offset from the anchor, and the digit is
+  the bytes that all windows of a half have in common (124 bytes, 162, and so
+  on); groups of one are finished, and large groups go on to the next pass.
 
 The repeated windows of one anchor cover one interval of bytes, since windows
 of one anchor overlap.  Intervals go back to their documents and are merged.
@@ -48,7 +50,7 @@ GRAM = 48
 #: window starts handled together
 PIECE = 1 << 20
 PLACE_BITS = 23
-#: a gram with more different reaches has its windows dealt out one by one
+#: a group of more representatives is split by a longer digit
 MANY = 512
 
 
@@ -137,33 +139,68 @@ def _grams(depth: int, gram: int):
 
 
 ANCHOR_TYPE = "gram long, reach long, doc_id long, at long, before short, after short"
-WINDOW_TYPE = "gram long, reach long, offset short, key1 long, key2 long"
-CONTEXT_TYPE = "gram long, reach long, before short, after short, bytes binary"
+CONTEXT_TYPE = "group long, gram long, reach long, before short, after short, bytes binary"
+CONTEXT = pa.schema([("group", pa.int64()), ("gram", pa.int64()), ("reach", pa.int64()), ("before", pa.int16()),
+                     ("after", pa.int16()), ("bytes", pa.binary())])
 
 
 def _contexts(batches):
-    """One row per representative with the bytes of all its windows."""
-    schema = pa.schema([("gram", pa.int64()), ("reach", pa.int64()), ("before", pa.int16()),
-                        ("after", pa.int16()), ("many", pa.bool_()), ("bytes", pa.binary())])
+    """One row per representative with the bytes of all its windows; its group
+    is its gram."""
     for batch in batches:
         data, offsets = buffers(batch.column(0))
         whole = data.tobytes()
         wanted = batch.column(1)
         inner = wanted.flatten()
-        at, before, after, gram, reach, many, depth = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(7))
+        at, before, after, gram, reach, depth = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(6))
         bounds = wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
         text = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
         start = offsets[text] + at - before
         end = offsets[text] + at - after + depth
         yield pa.RecordBatch.from_arrays(
-            [pa.array(gram), pa.array(reach), pa.array(before), pa.array(after), pa.array(many),
-             pa.array([whole[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary())], schema=schema)
+            [pa.array(gram), pa.array(gram), pa.array(reach), pa.array(before), pa.array(after),
+             pa.array([whole[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary())], schema=CONTEXT)
+
+
+def _split(depth: int, gram: int, level: int):
+    """Each context once per offset range of this level that its windows meet,
+    grouped by the bytes that all windows of the range have in common."""
+    width = range_width(depth, gram, level)
+    salt = mix(np.arange(1, 2 + (depth - gram) // width, dtype=np.uint64))
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                rows = batch.slice(first, 2000)
+                before, after = (rows.column(k).to_numpy().astype(np.int64) for k in (3, 4))
+                data, bounds = buffers_of_binary(rows.column(5))
+                count = before // width - after // width + 1
+                row = np.repeat(np.arange(rows.num_rows), count)
+                part = ranges(after // width, count)
+                low = part * width
+                high = np.minimum(low + width - 1, depth - gram)
+                own_high, own_low = np.minimum(before[row], high), np.maximum(after[row], low)
+                zero = bounds[:-1][row] + before[row]  # the anchor
+                group = Rolling(data).span(zero - low, zero - high + depth) ^ salt[part]
+                whole = data.tobytes()
+                pieces = [whole[a:b] for a, b in zip((zero - own_high).tolist(), (zero - own_low + depth).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group.view(np.int64)), rows.column(1).take(pa.array(row)),
+                     rows.column(2).take(pa.array(row)), pa.array(own_high.astype(np.int16)),
+                     pa.array(own_low.astype(np.int16)), pa.array(pieces, pa.binary())], schema=CONTEXT)
+
+    return run
+
+
+def range_width(depth: int, gram: int, level: int) -> int:
+    """Offsets in a range of a level: all at level 0, halved at each next one."""
+    return -(-(depth - gram + 1) // (1 << level))
 
 
 def _window_keys(rows: pa.RecordBatch, depth: int):
     """(row, offset, key1, key2) of every window of the contexts."""
-    before, after = (rows.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-    data, bounds = buffers_of_binary(rows.column(4))
+    before, after = (rows.column(k).to_numpy().astype(np.int64) for k in (3, 4))
+    data, bounds = buffers_of_binary(rows.column(5))
     count = before - after + 1
     row = np.repeat(np.arange(rows.num_rows), count)
     start = ranges(bounds[:-1], count)
@@ -182,10 +219,10 @@ def buffers_of_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(rows: pa.RecordBatch, limit: int = 1 << 20):
-    """Runs of rows of about ``limit`` bytes that do not split a gram."""
-    gram = rows.column(0).to_numpy()
-    _, bounds = buffers_of_binary(rows.column(4))
-    edges = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True])
+    """Runs of rows of about ``limit`` bytes that do not split a group."""
+    group = rows.column(0).to_numpy()
+    _, bounds = buffers_of_binary(rows.column(5))
+    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
     first = 0
     while first < len(edges) - 1:
         last = first + 1
@@ -197,7 +234,7 @@ def _cut(rows: pa.RecordBatch, limit: int = 1 << 20):
 
 def _repeated(rows: pa.RecordBatch, depth: int, schema: pa.Schema) -> pa.RecordBatch:
     """gram, reach, high, low: the largest and smallest offset of the repeated
-    windows of each context; all contexts of a gram are here."""
+    windows of each context; all contexts of a group are here."""
     row, offset, key1, key2 = _window_keys(rows, depth)
     order = np.lexsort((key2, key1))
     a, b = key1[order], key2[order]
@@ -211,7 +248,7 @@ def _repeated(rows: pa.RecordBatch, depth: int, schema: pa.Schema) -> pa.RecordB
     np.minimum.at(low, row, offset)
     hit = np.flatnonzero(high >= 0)
     return pa.RecordBatch.from_arrays(
-        [pa.array(rows.column(0).to_numpy()[hit]), pa.array(rows.column(1).to_numpy()[hit]),
+        [pa.array(rows.column(1).to_numpy()[hit]), pa.array(rows.column(2).to_numpy()[hit]),
          pa.array(high[hit]), pa.array(low[hit])], schema=schema)
 
 
@@ -220,7 +257,7 @@ REACH = pa.schema([("gram", pa.int64()), ("reach", pa.int64()), ("high", pa.int1
 
 
 def _few(depth: int):
-    """Stream of contexts sorted by gram: windows compared within each gram."""
+    """Stream of contexts sorted by group: windows compared within each group."""
 
     def run(batches):
         left = None
@@ -229,8 +266,8 @@ def _few(depth: int):
                 continue
             if left is not None:
                 batch = pa.concat_batches([left, batch])
-            gram = batch.column(0).to_numpy()
-            last = int(np.searchsorted(gram, gram[-1], "left"))  # the last gram may go on
+            group = batch.column(0).to_numpy()
+            last = int(np.searchsorted(group, group[-1], "left"))  # the last group may go on
             left = batch.slice(last)
             for rows in _cut(batch.slice(0, last)):
                 yield _repeated(rows, depth, REACH)
@@ -241,21 +278,27 @@ def _few(depth: int):
     return run
 
 
-def _deal(depth: int):
-    """Rows (gram, reach, offset, key1, key2): every window of the contexts."""
-    schema = pa.schema([("gram", pa.int64()), ("reach", pa.int64()), ("offset", pa.int16()),
-                        ("key1", pa.int64()), ("key2", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                rows = batch.slice(first, 2000)
-                row, offset, key1, key2 = _window_keys(rows, depth)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows.column(0).to_numpy()[row]), pa.array(rows.column(1).to_numpy()[row]),
-                     pa.array(offset), pa.array(key1), pa.array(key2)], schema=schema)
-
-    return run
+def finish(contexts: DataFrame, depth: int, gram: int, many: int) -> DataFrame:
+    """gram, reach, high, low of the contexts (with ``n``, the size of their group)
+    that have repeated windows."""
+    columns = [c.split()[0] for c in CONTEXT_TYPE.split(", ")]
+    few = contexts.where(F.col("n") <= many).select(columns)
+    done = few.repartition("group").sortWithinPartitions("group").mapInArrow(_few(depth), REACH_TYPE)
+    large = contexts.where(F.col("n") > many).select(columns)
+    level = 0
+    while not large.isEmpty():
+        level += 1
+        split = written(large.mapInArrow(_split(depth, gram, level), CONTEXT_TYPE), "digits")
+        sizes = split.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+        alive = written(split.join(sizes, "group"), "groups")
+        if range_width(depth, gram, level) == 1:  # a group is one repeated window
+            return done.unionByName(alive.select("gram", "reach", F.col("before").alias("high"),
+                                                 F.col("after").alias("low")))
+        few = alive.where(F.col("n") <= many).select(columns)
+        done = done.unionByName(few.repartition("group").sortWithinPartitions("group")
+                                .mapInArrow(_few(depth), REACH_TYPE))
+        large = alive.where(F.col("n") > many).select(columns)
+    return done
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
@@ -275,25 +318,19 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, many:
     whole = alive.where("kinds = 1").select(
         "gram", "reach", F.col("first.before").alias("high"), F.col("first.after").alias("low"))
 
-    # pass 3: the windows of the representatives
+    # further passes: the windows of the representatives
     wanted = alive.where("kinds > 1").select(
         F.col("first.doc_id").alias("doc_id"),
-        F.struct("first.at", "first.before", "first.after", "gram", "reach",
-                 (F.col("kinds") > many).alias("many"), F.lit(depth).alias("depth")).alias("w")) \
+        F.struct("first.at", "first.before", "first.after", "gram", "reach", F.lit(depth).alias("depth")).alias("w")) \
         .groupBy("doc_id").agg(F.collect_list("w").alias("w"))
-    contexts = written(docs.join(wanted, "doc_id").select("text", "w").mapInArrow(
-        _contexts, "gram long, reach long, before short, after short, many boolean, bytes binary"), "contexts")
-    columns = ["gram", "reach", "before", "after", "bytes"]
-    few = contexts.where("not many").select(columns).repartition("gram").sortWithinPartitions("gram") \
-        .mapInArrow(_few(depth), REACH_TYPE)
-    dealt = contexts.where("many").select(columns).mapInArrow(_deal(depth), WINDOW_TYPE)
-    dealt = written(dealt, "windows")
-    keys = dealt.groupBy("key1", "key2").agg(F.count("*").alias("n")).where("n > 1").select("key1", "key2")
-    often = dealt.join(keys, ["key1", "key2"], "left_semi").groupBy("gram", "reach").agg(
-        F.max("offset").alias("high"), F.min("offset").alias("low"))
+    contexts = docs.join(wanted, "doc_id").select("text", "w").mapInArrow(_contexts, CONTEXT_TYPE)
+    kinds = reaches.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("gram", "group")
+    contexts = written(contexts.join(kinds, "group"), "contexts")
+    again = finish(contexts, depth, gram, many).groupBy("gram", "reach").agg(
+        F.max("high").alias("high"), F.min("low").alias("low"))
     # a reach met twice has all its windows repeated, whatever the other reaches are
     met = alive.where("kinds > 1").select("gram", "reach", "n", "first.before", "first.after") \
-        .join(few.unionByName(often), ["gram", "reach"], "left") \
+        .join(again, ["gram", "reach"], "left") \
         .select("gram", "reach", F.when(F.col("n") > 1, F.col("before")).otherwise(F.col("high")).alias("high"),
                 F.when(F.col("n") > 1, F.col("after")).otherwise(F.col("low")).alias("low")) \
         .where("high is not null")
