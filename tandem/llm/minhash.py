@@ -9,14 +9,14 @@
 3. Inside a bucket, signatures are compared in blocks and a pair is taken in
    the first band that it shares.  Pairs whose signatures agree less than the
    threshold allows (five standard deviations below it) are out.  Large buckets
-   are dealt out as pairs of blocks, so no task holds one whole.
-4. Candidates are confirmed on their full shingle sets.
+   are dealt out as pairs of blocks, so no task holds one whole.  What leaves
+   this step are the members with a candidate there, not the pairs.
+4. Those members come to their block pair again with their whole text, and the
+   candidates, most similar first, are confirmed on the full shingle sets.  A
+   pair that is joined already by links of its block pair is not looked at, so
+   a block pair gives fewer links than it has members.
 5. Links become components by alternating large-star and small-star steps.
 
-Links that cannot change a component need no confirmation, so candidates are
-confirmed in two rounds: first each class with its most similar candidate, then
-the pairs that still lie in different components.
-
 Defined results: words are runs of non-space after A-Z is lower-cased; a text
 with fewer words than a shingle is one shingle; without words the set is empty
 and links with nothing; rows with null ``doc_id`` are left out of the links and
@@ -36,7 +36,7 @@ from .common import Rolling, key_text, lower_ascii, mix, runs_of, slabs, written
 WORDS = 5
 BANDS, ROWS = 32, 6
 #: classes compared with one another in one task
-BLOCK = 1024
+BLOCK = 512
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -142,128 +142,146 @@ def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return wide.view(np.uint64)[:, :, 0]
 
 
-def _compare(bands: int, rows: int, least_agree: int, least_share: float):
-    """Rows sorted by (bucket, i, j): one block pair after another.  Gives the
-    candidate pairs (a < b) and their number of agreeing minima."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32())])
-    spread = mix(np.arange(1, bands + 1, dtype=np.uint64))
-
-    def pairs(bucket, block, rep, size, sig, i, j):
-        out = []
-        keys = _band_keys(sig, bands, rows)
-        mine = int(np.argmax(mix(keys[0] ^ spread) == np.uint64(bucket & (2**64 - 1))))
+def _block_pairs(batches):
+    """The rows of each (bucket, i, j) of a stream sorted by them."""
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if left is not None:
+            batch = pa.concat_batches([left, batch])
+        key = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+        edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
+        for s, e in zip(edges[:-1], edges[1:]):
+            yield batch.slice(int(s), int(e - s))
+        left = batch.slice(int(edges[-1]))
+    if left is not None:
+        yield left
+
+
+class Comparison:
+    """Candidates of a block pair: members (as row numbers) that take their
+    first common band here, agree in enough minima and are near in size."""
+
+    def __init__(self, bands: int, rows: int, least_agree: int, least_share: float):
+        self.bands, self.rows, self.least_agree, self.least_share = bands, rows, least_agree, least_share
+        self.spread = mix(np.arange(1, bands + 1, dtype=np.uint64))
+
+    def candidates(self, group: pa.RecordBatch):
+        """(x, y, agreeing minima) arrays."""
+        bucket, i, j = (group.column(k)[0].as_py() for k in range(3))
+        block, size = group.column(3).to_numpy(), group.column(5).to_numpy()
+        sig = _matrix(group.column(6), self.bands * self.rows)
+        keys = _band_keys(sig, self.bands, self.rows)
+        here = int(np.argmax(mix(keys[0] ^ self.spread) == np.uint64(bucket & (2**64 - 1))))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for k, x in enumerate(left):
+        out = [(np.zeros(0, np.int64),) * 3]
+        for x in left:
             y = right[right > x] if i == j else right
-            ok = np.minimum(size[x], size[y]) >= least_share * np.maximum(size[x], size[y])
-            y = y[ok]
-            if not len(y):
-                continue
-            # taken in the first band that both share
-            if mine:
-                y = y[~(keys[y, :mine] == keys[x, :mine]).any(1)]
-            agree = (sig[y] == sig[x]).sum(1)
-            good = agree >= least_agree
-            if good.any():
-                out.append((np.minimum(rep[x], rep[y[good]]), np.maximum(rep[x], rep[y[good]]), agree[good]))
-        return out
-
-    def batch_of(found):
-        a, b, agree = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, np.int64),) * 3
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)),
-                                           pa.array(agree.astype(np.int32))], schema=schema)
-
-    def groups(batches):
-        left = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if left is not None:
-                batch = pa.concat_batches([left, batch])
-            key = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-            for s, e in zip(edges[:-1], edges[1:]):
-                yield batch.slice(int(s), int(e - s))
-            left = batch.slice(int(edges[-1]))
-        if left is not None:
-            yield left
+            y = y[np.minimum(size[x], size[y]) >= self.least_share * np.maximum(size[x], size[y])]
+            if here and len(y):
+                y = y[~(keys[y, :here] == keys[x, :here]).any(1)]
+            if len(y):
+                agree = (sig[y] == sig[x]).sum(1)
+                good = agree >= self.least_agree
+                out.append((np.full(int(good.sum()), x), y[good], agree[good]))
+        return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+MEMBER_TYPE = "bucket long, i int, j int, block int, rep long"
+
+
+def _with_candidates(comparison: Comparison):
+    """The members of each block pair that have a candidate there."""
+    schema = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()),
+                        ("rep", pa.int64())])
 
     def run(batches):
-        found, n = [], 0
-        for g in groups(batches):
-            if g.num_rows < 2:
-                continue
-            bucket, i, j = (g.column(k)[0].as_py() for k in range(3))
-            new = pairs(bucket, g.column(3).to_numpy(), g.column(4).to_numpy(), g.column(5).to_numpy(),
-                        _matrix(g.column(6), bands * rows), i, j)
-            found += new
-            n += sum(len(x[0]) for x in new)
-            if n > 100_000:
-                yield batch_of(found)
-                found, n = [], 0
-        yield batch_of(found)
+        found = []
+        for group in _block_pairs(batches):
+            if group.num_rows > 1:
+                x, y, _ = comparison.candidates(group)
+                if len(x):
+                    found.append(group.select(range(5)).take(pa.array(np.union1d(x, y))))
+            if len(found) >= 500:
+                yield pa.concat_batches(found).cast(schema)
+                found = []
+        if found:
+            yield pa.concat_batches(found).cast(schema)
 
     return run
 
 
-def candidates(classes: DataFrame, similarity: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Pairs (a, b, agree) of classes that share a band and may reach the
-    similarity.  ``classes`` has rep, n_shingles, signature."""
-    n = bands * rows
-    spread = (similarity * (1 - similarity) / n) ** 0.5
-    least = max(1, int(np.floor(n * (similarity - 5 * spread))))
-    keyed = classes.select("rep", "signature").mapInArrow(_band_rows(bands, rows), "bucket long, rep long")
-    members = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(members, "bucket"), "bands")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = shared.join(classes, "rep").withColumn("blocks", blocks).withColumn("block", mine)
-    # every pair of blocks (i <= j) that this row's block is part of
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = dealt.withColumn("other", F.explode(other)).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "rep", "n_shingles", "signature")
-    found = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(
-        _compare(bands, rows, least, similarity), "a long, b long, agree int")
-    return found
-
-
-def _confirm(words: int, percent: int):
-    """Rows (a, text_a, b, text_b): the pairs whose full sets reach the percentage."""
+def _links(comparison: Comparison, words: int, percent: int):
+    """Links (a, b) of each block pair that join what was not joined there yet."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            for rows, data, offsets in slabs(iter([batch]), "text_a"):
-                left, lb = shingles(data, offsets, words)
-                keep = []
-                done = 0
-                for part, data_b, offsets_b in slabs(iter([rows]), "text_b"):
-                    right, rb = shingles(data_b, offsets_b, words)
-                    for t in range(part.num_rows):
-                        x = left[lb[done + t]:lb[done + t + 1]]
-                        y = right[rb[t]:rb[t + 1]]
-                        both = len(x) + len(y) - len(np.union1d(x, y))
-                        keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-                    done += part.num_rows
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).filter(keep), rows.column(2).filter(keep)], schema=schema)
+        for group in _block_pairs(batches):
+            if group.num_rows < 2:
+                continue
+            sets = []
+            for _, data, offsets in slabs(iter([group])):
+                hashes, bounds = shingles(data, offsets, words)
+                sets += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            x, y, agree = comparison.candidates(group)
+            rep, parent, a, b = group.column(4).to_numpy(), list(range(group.num_rows)), [], []
+
+            def root(k):
+                while parent[k] != k:
+                    parent[k] = parent[parent[k]]
+                    k = parent[k]
+                return k
+
+            for k in np.argsort(-agree, kind="stable"):
+                p, q = root(int(x[k])), root(int(y[k]))
+                if p == q:
+                    continue
+                one, two = sets[x[k]], sets[y[k]]
+                both = len(one) + len(two) - len(np.union1d(one, two))
+                if both and 100 * both >= percent * (len(one) + len(two) - both):
+                    parent[p] = q
+                    a.append(rep[x[k]])
+                    b.append(rep[y[k]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) among the pairs, by their full sets."""
-    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "text_a", "b", "text_b").mapInArrow(_confirm(words, percent), "a long, b long")
-
-
-def connected_components(links: DataFrame) -> DataFrame:
-    """node, component (the smallest node it reaches) for the nodes of ``links``
-    (a, b), by alternating large-star and small-star until nothing changes."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+def links(docs: DataFrame, classes: DataFrame, percent: int, words: int = WORDS,
+          bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Links (a, b) among the classes, enough to join all that are joined by
+    similarities of ``percent`` and more.  ``classes`` has rep, n_shingles,
+    signature; ``docs`` the texts."""
+    n, similarity = bands * rows, percent / 100
+    spread = (similarity * (1 - similarity) / n) ** 0.5
+    comparison = Comparison(bands, rows, max(1, int(np.floor(n * (similarity - 5 * spread)))), similarity)
+    keyed = classes.select("rep", "signature").mapInArrow(_band_rows(bands, rows), "bucket long, rep long")
+    members = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(keyed.join(members, "bucket"), "bands")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # every pair of blocks with this one
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                         "block", "rep")
+    pair = ["bucket", "i", "j"]
+    described = classes.select("rep", "n_shingles", "signature")
+
+    def met(rows_of_pairs, extra=()):
+        return rows_of_pairs.select(*pair, "block", "rep", "n_shingles", "signature", *extra) \
+            .repartition(*pair).sortWithinPartitions(*pair)
+
+    involved = written(met(dealt.join(described, "rep")).mapInArrow(_with_candidates(comparison), MEMBER_TYPE), "involved")
+    # both sides grow with the documents, so the join is never planned as a broadcast
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
+    with_text = texts.join(involved.join(described, "rep").hint("merge"), "rep")
+    return met(with_text, ["text"]).mapInArrow(_links(comparison, words, percent), "a long, b long")
+
+
+def connected_components(found: DataFrame) -> DataFrame:
+    """node, component (the smallest node it reaches) for the nodes of ``found``
+    (links a, b), by alternating large-star and small-star until nothing changes."""
+    edges = written(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .where("u <> v").distinct(), "edges")
     state = None
     while True:
@@ -297,23 +315,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = WORDS,
     sets = ["set1", "set2", "n_shingles"]
     classes = written(described.where("n_shingles > 0").groupBy(*sets).agg(
         F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    pairs = written(candidates(classes.select("rep", "n_shingles", "signature"), percent / 100, bands, rows), "pairs")
-
-    chosen = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.join(chosen, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    # round 1: each class with its most similar candidate
-    ends = pairs.select(F.col("a").alias("node"), "a", "b", "agree").unionByName(
-        pairs.select(F.col("b").alias("node"), "a", "b", "agree"))
-    best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p"))
-    links = written(confirm(best.select("p.a", "p.b").distinct(), texts, words, percent), "links")
-    found = connected_components(links)
-    # round 2: pairs that lie in different components
-    open_pairs = pairs.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left") \
-        .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left") \
-        .where("ca is null or cb is null or ca <> cb").select("a", "b")
-    open_pairs = open_pairs.join(best.select("p.a", "p.b").distinct(), ["a", "b"], "left_anti")
-    more = written(confirm(open_pairs, texts, words, percent), "links")
-    found = written(connected_components(links.unionByName(more)), "components")
+    found = written(connected_components(links(docs, classes, percent, words, bands, rows)), "components")
 
     named = classes.join(found, classes["rep"] == found["node"], "left").select(
         *sets, F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
