@@ -51,11 +51,12 @@ def load_pieces(model_file: str) -> Pieces:
 def zipf_log_probs(vocab: Pieces, fallback: float = -50.0) -> np.ndarray:
     """Prior log probability by id: pieces are listed by falling frequency, so the
     n-th has probability in proportion to 1 / (n + 10); a fallback byte costs
-    more than any path of pieces."""
+    more than any path of pieces.  Multiples of 2**-20, so that sums are exact
+    and equal paths have equal scores."""
     weight = 1.0 / (np.arange(len(vocab.pieces)) + 10.0)
     out = np.full(vocab.size, fallback)
     out[np.array(vocab.ids)] = np.log(weight / weight.sum())
-    return out
+    return np.round(out * 2.0**20) / 2.0**20
 
 
 class Lattice:

@@ -77,12 +77,13 @@ class Codec:
     def a_star(self, unit: bytes, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, piece ids), best first: backward from the end, a
         partial path's priority is its own score plus the forward Viterbi score
-        of where it stands, which is exactly the best it can still reach."""
+        of where it stands, which is exactly the best it can still reach.  Among
+        equals the path that has come furthest goes first."""
         alpha, into = self.viterbi(unit)
-        heap = [(-alpha[-1], 0, len(unit), 0.0, ())]
+        heap = [(-alpha[-1], len(unit), 0, 0.0, ())]
         out, made = [], 0
         while heap and len(out) < n:
-            _, _, at, own, path = heapq.heappop(heap)
+            _, at, _, own, path = heapq.heappop(heap)
             if at == 0:
                 ids = []
                 while path:
@@ -93,7 +94,7 @@ class Codec:
             for i, k in into[at]:
                 made += 1
                 score = own + self.score[k]
-                heapq.heappush(heap, (-(score + alpha[i]), made, i, score, (k, path)))
+                heapq.heappush(heap, (-(score + alpha[i]), i, made, score, (k, path)))
         return out
 
     def alternatives(self, unit: bytes) -> list[tuple[float, list[int]]]:
