@@ -5,7 +5,9 @@ four doubles ``minx, miny, maxx, maxy``.  A frame *without* geometry columns
 is a box frame: the geometry is the envelope itself, a point when it is
 degenerate.  A frame *with* geometry has ``kind`` (upper-case WKT type),
 ``pts`` (``array<struct<x,y>>`` of all vertices in order) and ``parts``
-(``array<int>``: start offset of each ring / line / point).
+(``array<int>``: start offset of each ring / line / point) and ``shells``
+(``array<int>``: index in ``parts`` of the ring that starts each polygon; the
+rings up to the next one are its holes, whatever their orientation).
 
 Everything is written with built-in functions and higher-order functions
 (``transform``, ``aggregate``, ``exists``) so Catalyst compiles it; no Python
@@ -79,6 +81,12 @@ class Side:
             return self("parts")
         return F.array(F.lit(0))
 
+    @property
+    def shells(self) -> Column:
+        if self.has_geom:
+            return self("shells")
+        return F.array(F.lit(0))
+
     @property
     def segs(self) -> Column:
         if self.has_segs:
@@ -166,11 +174,6 @@ def envelope_intersection(a: Side, b: Side) -> Column:
     return F.when(envelope_intersects(a, b), box)
 
 
-def envelope_union(a: Side, b: Side) -> Column:
-    return F.struct(F.least(a.minx, b.minx).alias("minx"), F.least(a.miny, b.miny).alias("miny"),
-                    F.greatest(a.maxx, b.maxx).alias("maxx"), F.greatest(a.maxy, b.maxy).alias("maxy"))
-
-
 def centre_xy(a: Side) -> tuple[Column, Column]:
     return (a.minx + a.maxx) / 2, (a.miny + a.maxy) / 2
 
@@ -259,10 +262,15 @@ def geometry_distance(a: Side, b: Side) -> Column:
     b_to_a = F.array_min(F.transform(b.pts, lambda p: F.array_min(
         F.transform(seg_a, lambda s: point_segment_distance(p["x"], p["y"], s)))))
     crossing = F.exists(seg_a, lambda s: F.exists(seg_b, lambda t: segments_cross(s, t)))
-    pa, pb = F.get(a.pts, 0), F.get(b.pts, 0)
-    a_in_b = b.kind.isin(*AREA_KINDS) & point_in_rings(pa["x"], pa["y"], seg_b)
-    b_in_a = a.kind.isin(*AREA_KINDS) & point_in_rings(pb["x"], pb["y"], seg_a)
-    general = F.when(crossing | a_in_b | b_in_a, F.lit(0.0)).otherwise(F.least(a_to_b, b_to_a))
+
+    def part_inside(inner, outer, rings):
+        # without a crossing a part lies inside as a whole or not at all
+        def at(i):
+            p = F.get(inner.pts, i)
+            return point_in_rings(p["x"], p["y"], rings)
+        return outer.kind.isin(*AREA_KINDS) & F.exists(inner.parts, at)
+
+    general = F.when(crossing | part_inside(a, b, seg_b) | part_inside(b, a, seg_a), F.lit(0.0)).otherwise(F.least(a_to_b, b_to_a))
     both_points = (a.kind == "POINT") & (b.kind == "POINT")
     return F.when(both_points, point_distance(a.minx, a.miny, b.minx, b.miny)).otherwise(general)
 
@@ -296,8 +304,8 @@ def ring_moments(pts, parts) -> Column:
 
 def centroid(a: Side) -> Column:
     """``struct(x, y)``: points -> mean; lines -> length-weighted segment
-    midpoints; polygons -> area centroid, the first ring of a POLYGON is the
-    shell and later rings are holes whatever their orientation."""
+    midpoints; polygons -> area centroid, shells count for and holes against
+    whatever their orientation."""
     if not a.has_geom:
         return point((a.minx + a.maxx) / 2, (a.miny + a.maxy) / 2)
     pts, kind = a.pts, a.kind
@@ -315,11 +323,9 @@ def centroid(a: Side) -> Column:
         F.aggregate(segs, F.lit(0.0), lambda acc, s: acc + seg_len(s) * (s["ay"] + s["by"]) / 2) / total_len)
 
     rings = ring_moments(pts, a.parts)
-    sign0 = F.signum(F.get(rings, 0)["a2"])
     # +1 for shells, -1 for holes, independent of ring orientation
     weights = F.transform(rings, lambda r, i: F.when(
-        kind == "POLYGON", F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.signum(r["a2"]))
-        .otherwise(sign0))
+        F.array_contains(a.shells, i), F.lit(1.0)).otherwise(F.lit(-1.0)) * F.signum(r["a2"]))
     ring_w = F.arrays_zip(rings.alias("r"), weights.alias("w"))
     area2 = F.aggregate(ring_w, F.lit(0.0), lambda acc, z: acc + z["w"] * z["r"]["a2"])
     mx = F.aggregate(ring_w, F.lit(0.0), lambda acc, z: acc + z["w"] * z["r"]["mx"])
@@ -405,15 +411,6 @@ def geojson_geometry(a: Side) -> Column:
             .when(kind == "LINESTRING", obj("LineString", F.transform(pts, _xy)))
             .when(kind == "MULTILINESTRING", obj("MultiLineString", all_parts))
             .when(kind == "POLYGON", obj("Polygon", all_parts))
-            .when(kind == "MULTIPOLYGON", obj("MultiPolygon", _polygons(pts, parts, all_parts))))
-
-
-def _polygons(pts, parts, rings) -> Column:
-    """Group the rings of a MULTIPOLYGON into polygons: a ring oriented like
-    the first ring starts a new polygon, an opposite ring is a hole."""
-    areas = ring_moments(pts, parts)
-    sign0 = F.signum(F.get(areas, 0)["a2"])
-    shells = F.filter(F.sequence(F.lit(0), F.size(parts) - 1),
-                      lambda r: F.signum(F.get(areas, r)["a2"]) == sign0)
-    return F.transform(shells, lambda s, j: F.slice(
-        rings, s + 1, F.coalesce(F.get(shells, j + 1), F.size(parts)) - s))
+            .when(kind == "MULTIPOLYGON", obj("MultiPolygon", F.transform(a.shells, lambda s, j: F.slice(
+                all_parts, s + 1, F.coalesce(F.get(a.shells, j + 1), F.size(parts)) - s)))))
+

@@ -82,10 +82,11 @@ def centre_t(start, end) -> Column:
 def floor_div(c, w: int) -> Column:
     """Exact integer ``floor(c / w)`` for BIGINT ``c`` and positive ``w``.
 
-    ``c - pmod(c, w)`` is an exact multiple of ``w``; dividing it is exact for
-    |c| < 2^53 (epoch microseconds until the year 2255)."""
+    ``c - pmod(c, w)`` is an exact multiple of ``w``; integral division keeps
+    every BIGINT exact."""
     c = _col(c)
-    return ((c - F.pmod(c, F.lit(int(w)))) / F.lit(int(w))).cast("bigint")
+    w = F.lit(int(w)).cast("bigint")
+    return F.call_function("div", c - F.pmod(c, w), w)
 
 
 def ceil_div(c, w: int) -> Column:
@@ -93,16 +94,6 @@ def ceil_div(c, w: int) -> Column:
     return -floor_div(-_col(c), w)
 
 
-def time_bin(c, width_us: int) -> Column:
-    """Half-open bin ``[b*w, (b+1)*w)`` that holds instant ``c``."""
-    return floor_div(c, width_us)
-
-
-def interval_bins(start, end, width_us: int) -> Column:
-    """Array of every bin an interval ``[start, end]`` touches."""
-    return F.sequence(time_bin(start, width_us), time_bin(end, width_us))
-
-
 def bound_contains_time(t, start, end) -> Column:
     """Half-open period membership ``start <= t < end`` (one owner per instant)."""
     return (_col(t) >= _col(start)) & (_col(t) < _col(end))

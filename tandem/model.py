@@ -8,7 +8,7 @@ Required columns (a *box frame*):
 
 Optional geometry columns (a *geometry frame*; see ``functions.geometry``):
 
-    kind STRING, pts ARRAY<STRUCT<x DOUBLE, y DOUBLE>>, parts ARRAY<INT>
+    kind STRING, pts ARRAY<STRUCT<x DOUBLE, y DOUBLE>>, parts ARRAY<INT>, shells ARRAY<INT>
 
 Any further columns are payload and travel with the row.
 """
@@ -22,7 +22,7 @@ from .functions import geometry as G
 from .functions.time import epoch_us
 
 KEY_COLUMNS = ["id", "minx", "miny", "maxx", "maxy", "start_us", "end_us"]
-GEOM_COLUMNS = ["kind", "pts", "parts"]
+GEOM_COLUMNS = ["kind", "pts", "parts", "shells"]
 
 
 def has_geometry(df: DataFrame) -> bool:
@@ -43,7 +43,8 @@ def with_segments(df: DataFrame) -> DataFrame:
 
 
 def check_frame(df: DataFrame) -> DataFrame:
-    missing = [c for c in KEY_COLUMNS if c not in df.columns]
+    needed = KEY_COLUMNS + (GEOM_COLUMNS if has_geometry(df) else [])
+    missing = [c for c in needed if c not in df.columns]
     if missing:
         raise ValueError(f"not a spatio-temporal frame, missing {missing}")
     return df
@@ -71,13 +72,5 @@ def with_row_id(df: DataFrame, name: str = "id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def with_geometry(df: DataFrame) -> DataFrame:
-    """Box frame -> geometry frame (adds kind / pts / parts)."""
-    if has_geometry(df):
-        return df
-    s = side(df)
-    return df.withColumn("kind", s.kind).withColumn("pts", s.pts).withColumn("parts", s.parts)
-
-
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import time as TM
-from ..model import has_geometry, side
+from ..model import check_frame, has_geometry, side
 
 
 def _box(b) -> G.LitBox:
@@ -66,13 +66,16 @@ def row_problems(df: DataFrame) -> Column:
         (F.col("id").isNull(), "null id"),
         (F.col("start_us").isNull() | F.col("end_us").isNull(), "null time"),
         (F.col("start_us") > F.col("end_us"), "start after end"),
-        (F.isnan("minx") | F.isnan("miny") | F.isnan("maxx") | F.isnan("maxy")
-         | F.col("minx").isNull() | F.col("miny").isNull(), "missing coordinate"),
+        (F.isnan("minx") | F.isnan("miny") | F.isnan("maxx") | F.isnan("maxy") | F.col("minx").isNull()
+         | F.col("miny").isNull() | F.col("maxx").isNull() | F.col("maxy").isNull(), "missing coordinate"),
+        (F.greatest(*[F.abs(F.col(c)) for c in ("minx", "miny", "maxx", "maxy")]) == float("inf"), "infinite coordinate"),
         (F.col("minx") > F.col("maxx"), "empty envelope"),
         (F.col("miny") > F.col("maxy"), "empty envelope"),
     ]
     if has_geometry(df):
-        checks.append((F.coalesce(F.size("pts"), F.lit(0)) <= 0, "empty geometry"))
+        # a malformed text has neither points nor an envelope
+        checks.insert(0, (F.col("kind").isNull(), "malformed geometry"))
+        checks.insert(1, (F.coalesce(F.size("pts"), F.lit(0)) <= 0, "empty geometry"))
     out = F.lit(None).cast("string")
     for cond, msg in reversed(checks):
         out = F.when(cond, F.lit(msg)).otherwise(out)
@@ -95,3 +98,11 @@ def validate_rows(df: DataFrame, mode: str = "flag") -> DataFrame:
             F.lit("invalid row "), F.col("id").cast("string"), F.lit(": "), problem)))
         return df.where(checked.isNull())
     raise ValueError(f"unknown mode {mode}")
+
+
+def valid_rows(df: DataFrame, invalid: str = "drop") -> DataFrame:
+    """The valid rows of a frame; an invalid one is dropped or fails the job."""
+    modes = {"drop": "permissive", "fail": "strict"}
+    if invalid not in modes:
+        raise ValueError("invalid must be 'drop' or 'fail'")
+    return validate_rows(check_frame(df), modes[invalid])

@@ -13,7 +13,7 @@ windows, never a cartesian product):
    root, the depths and the bin widths.  S is pre-filtered to R's time range
    widened by ``delta`` (literals).  A second small job finds the fullest cell
    of the base level; only if some cell holds > LOCAL_CAP * k rows do the
-   deep levels (up to 24, inside such *hot* cells only) enter the plan.
+   deep levels (up to 30, inside such *hot* cells only) enter the plan.
 2. **Count pyramid.**  Every S row counts once per level, at the cell of one
    of its vertices, (a) in each window of M count bins holding its start and
    (b) in its dyadic blocks of whole count bins (segment tree, long rows
@@ -29,7 +29,9 @@ windows, never a cartesian product):
    bound (and >= half its extent); R explodes to the cells met by its
    envelope widened by the bound and to the join bins of its widened
    interval; S explodes to the cells of its envelope and the join bins of its
-   interval at each level some R row uses.  Equi-join on (level, cx, cy,
+   interval at its own level (cells no smaller than its extent) and the
+   coarser levels some R row uses; a pair meets at the coarser of its two
+   levels, so neither a large nor a small row explodes.  Equi-join on (level, cx, cy,
    bin), then exact time overlap, envelope distance <= bound, exact distance
    <= bound.  A pair met in several cells/bins is kept only in the cell of
    the lower-left corner of (R envelope widened by the bound) ∩ (S envelope)
@@ -43,7 +45,7 @@ Skew:
   key stay bounded by density;
 * exact copies of an S row beyond the first k can never be chosen and are
   removed before round 2 (window with a partial limit before its shuffle);
-* rows at one exact location (cells still hot at level 24) are grouped by
+* rows at one exact location (cells still hot at the deepest level) are grouped by
   geometry and indexed in dyadic time blocks keeping the k smallest ids
   (by start, and by the interval's canonical blocks for rows containing the
   window start): one representative joins, then expands over <= 3 blocks per
@@ -61,16 +63,16 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.time import ceil_div, floor_div, overlaps
-from ..model import check_frame, has_geometry, prefixed, side, with_segments
+from ..model import GEOM_COLUMNS, KEY_COLUMNS, check_frame, has_geometry, prefixed, side, with_segments
+from .filters import valid_rows
 from .stats import STAT_COLUMNS, Stats, global_stats
 
 # Fixed values of the plan (tuning only; results do not depend on them).
 COUNT_BINS = 3            # M: consecutive count bins summed per probe
 EXTRA_LEVELS = 3          # levels below the density estimate, for skewed density
-MAX_LEVEL_CAP = 24
+MAX_LEVEL_CAP = 30        # cell numbers are ints
 REL_EPS = 1e-9            # bound inflation against rounding at cell edges
 LOCAL_CAP = 8             # refine the bound where the home cell holds <= 8 k rows
-STAB_LEVELS_CAP = 16      # dyadic time levels for S rows longer than a count bin
 
 KEYS = ["_lv", "_cx", "_cy", "_tb"]
 
@@ -83,7 +85,7 @@ class KnnPlan:
     delta_us: int
     grid: G.Grid
     max_level: int            # pyramid depth for every row
-    join_max_level: int       # deepest level of the cell join (S boxes replicate per cell)
+    join_max_level: int       # deepest level of the cell join
     count_bin_us: int
     count_bins: int
     join_bin_us: int
@@ -100,7 +102,7 @@ def _log4_ceil(v: float) -> int:
 
 def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
              max_level: int | None = None, join_bin_us: int | None = None,
-             count_bins: int = COUNT_BINS) -> tuple[KnnPlan, DataFrame]:
+             count_bins: int = COUNT_BINS, find_hot: bool = True) -> tuple[KnnPlan, DataFrame]:
     """Statistics job: returns the plan scalars and S pre-filtered to R's
     time range widened by delta (F7)."""
     if k < 1:
@@ -133,12 +135,7 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
     if auto_depth:
         max_level = min(MAX_LEVEL_CAP, _log4_ceil(per_window / k) + EXTRA_LEVELS)
     deep_level = max_level              # deepened below when hot cells exist
-    extent_cap = MAX_LEVEL_CAP
-    if rs.avg_extent and rs.avg_extent > 0:
-        # cells of the join no smaller than half the mean S extent: a box
-        # meets ~(extent / side + 1)^2 cells, so replication stays small
-        extent_cap = max(0, int(math.floor(math.log2(side_len / rs.avg_extent))) + 1)
-    join_max_level = min(deep_level, extent_cap)
+    join_max_level = deep_level
     count_bin, count_bins = count_binning(delta_us, count_bins)
     if join_bin_us is None:
         join_bin_us = max(1, delta_us, int(math.ceil(rs.avg_len or 0.0)),
@@ -147,20 +144,20 @@ def plan_for(left: DataFrame, right: DataFrame, k: int, delta_us: int,
     stab = 0
     if rs.max_len is not None and rs.max_len + 1 >= 2 * count_bin:
         # 2^stab > (longest S row in count bins): every row decomposes fully
-        stab = min(STAB_LEVELS_CAP, int(math.ceil(math.log2(rs.max_len / count_bin + 2))))
+        stab = (int(rs.max_len) // count_bin + 2).bit_length()
         if count_bin == 1:
             # start bins then begin after the window start: one fewer fits
             count_bins = min(count_bins, 2 * delta_us)
     ls = Stats(**{c: lrow[c] for c in STAT_COLUMNS})
     plan = KnnPlan(k, delta_us, grid, max_level, join_max_level, count_bin, count_bins, join_bin_us,
                    abs_eps, rs, deep_level, stab, ls)
-    if auto_depth and max_level < MAX_LEVEL_CAP and rs.n > LOCAL_CAP * k:
+    if find_hot and auto_depth and max_level < MAX_LEVEL_CAP and rs.n > LOCAL_CAP * k:
         # small job: the fullest cell of the base level (one number to the
         # driver).  Only when some cell holds more than LOCAL_CAP * k rows in
         # a bin window does the plan add the deeper levels, inside hot cells.
         fullest = _pyramid_keys(right_f, plan, max_level, max_level).agg(F.max("_n")).first()[0]
         if fullest is not None and fullest > LOCAL_CAP * k:
-            plan = replace(plan, deep_level=MAX_LEVEL_CAP, join_max_level=min(MAX_LEVEL_CAP, extent_cap))
+            plan = replace(plan, deep_level=MAX_LEVEL_CAP, join_max_level=MAX_LEVEL_CAP)
     return plan, right_f
 
 
@@ -187,11 +184,12 @@ def explode_levels(df: DataFrame, max_level: int, name: str = "_lv") -> DataFram
 def dedup_copies(right: DataFrame, k: int) -> DataFrame:
     """Keep the k smallest ids of each group of exact copies (same geometry
     and interval): any further copy is beaten by k equal rows with smaller
-    ids for every left row.  Partial WindowGroupLimit runs before the
+    ids for every left row.  With a pair filter, k must include the most rows
+    that the filter can reject.  Partial WindowGroupLimit runs before the
     shuffle, so a hot group sends at most k rows per task."""
     keys = ["minx", "miny", "maxx", "maxy", "start_us", "end_us"]
     if has_geometry(right):
-        keys += ["kind", "pts", "parts"]
+        keys += GEOM_COLUMNS
     w = Window.partitionBy(*keys).orderBy("id")
     return right.withColumn("_copy", F.row_number().over(w)).where(F.col("_copy") <= k).drop("_copy")
 
@@ -208,9 +206,8 @@ def _level_cells(vx: Column, vy: Column, plan: KnnPlan, lo: int = 0, hi: int | N
 def _stab_blocks(start: Column, end: Column, plan: KnnPlan) -> Column:
     """Dyadic decomposition (segment tree) of the count bins lying fully
     inside ``[start, end]``: ``array<struct<_tl, _b>>``.  Blocks are disjoint,
-    so an instant lies in at most one of them.  Rows longer than
-    2^stab_levels bins lose their middle blocks: an undercount, which keeps
-    the count a valid lower bound."""
+    so an instant lies in at most one of them; ``stab_levels`` covers the
+    longest row."""
     w = plan.count_bin_us
     cover = dyadic_cover(ceil_div(start, w), floor_div(end + 1, w) - 1, plan.stab_levels)
     return F.transform(cover, lambda blk: F.struct(blk["_j"].alias("_tl"), blk["_blk"].alias("_b")))
@@ -393,18 +390,31 @@ def _level_for(bound: Column, plan: KnnPlan, extent: Column | None = None) -> Co
             .otherwise(lv)).cast("int")
 
 
-def right_cells(right_p: DataFrame, plan: KnnPlan, levels: DataFrame | None, level: int | None = None,
-                prefix: str = "r_") -> DataFrame:
-    """S rows exploded to (level, cell, join bin) keys: every cell its envelope
-    meets at each level in ``levels`` (or the single ``level``), and every
-    join bin its interval meets."""
-    g = plan.grid
-    if level is None:
-        # equi-join with a table of at most max_level + 1 rows (a proven bound)
-        out = explode_levels(right_p, plan.join_max_level).join(F.broadcast(levels), "_lv")
-    else:
-        out = right_p.withColumn("_lv", F.lit(level))
+def with_own_level(right_p: DataFrame, plan: KnnPlan, prefix: str = "r_") -> DataFrame:
+    """Adds ``_own``: the deepest level whose cells are no smaller than the S
+    row's extent, so the row meets at most 2 x 2 cells there and above."""
     p = prefix
+    extent = F.greatest(F.col(p + "maxx") - F.col(p + "minx"), F.col(p + "maxy") - F.col(p + "miny"))
+    level = F.least(F.greatest(F.floor(F.log2(F.lit(plan.grid.side) / extent)), F.lit(0)),
+                    F.lit(plan.join_max_level))
+    return right_p.withColumn("_own", F.when(extent <= 0, F.lit(plan.join_max_level)).otherwise(level).cast("int"))
+
+
+def right_cells(right_p: DataFrame, plan: KnnPlan, levels: DataFrame, prefix: str = "r_") -> DataFrame:
+    """S rows (with ``_own``) exploded to (level, cell, join bin) keys.
+
+    A pair meets at the coarser of its two levels, so an S row stands at its
+    own level and at the coarser levels that some R row uses (``levels``): a
+    few cells each, whatever its size.  ``_full`` says which R rows a key is
+    for: those of exactly this level (true), or deeper ones, which come down
+    to the S row's own level (false)."""
+    g, p = plan.grid, prefix
+    # tables of at most join_max_level + 1 rows (a proven bound)
+    here = explode_levels(right_p, plan.join_max_level).where(F.col("_lv") <= F.col("_own"))
+    same = here.join(F.broadcast(levels), "_lv").withColumn("_full", F.lit(True))
+    own = right_p.withColumn("_lv", F.col("_own")).withColumn("_full", F.lit(False)) \
+        .where(F.col("_own") < plan.join_max_level)
+    out = same.unionByName(own.select(*same.columns)).drop("_own")
     return (out
             .withColumn("_cx", F.explode(F.sequence(g.cx(F.col(p + "minx"), F.col("_lv")),
                                                     g.cx(F.col(p + "maxx"), F.col("_lv")))))
@@ -414,12 +424,16 @@ def right_cells(right_p: DataFrame, plan: KnnPlan, levels: DataFrame | None, lev
                                                     floor_div(F.col(p + "end_us"), plan.join_bin_us)))))
 
 
-def left_cells(left_p: DataFrame, plan: KnnPlan, prefix: str = "l_") -> DataFrame:
+def left_cells(left_p: DataFrame, plan: KnnPlan, own_levels: DataFrame, prefix: str = "l_") -> DataFrame:
     """R rows (with ``_lv`` and ``_d`` = search radius, 0 when unbounded)
     exploded to the cells met by the envelope widened by ``_d`` and the join
-    bins of the interval widened by delta."""
+    bins of the interval widened by delta, at their own level (``_probe`` true)
+    and at the coarser own levels of S rows (false)."""
     g, p, d = plan.grid, prefix, F.col("_d")
-    return (left_p
+    coarser = left_p.join(F.broadcast(own_levels), F.col("_own") < F.col("_lv")) \
+        .withColumn("_lv", F.col("_own")).withColumn("_probe", F.lit(False)).drop("_own")
+    out = left_p.withColumn("_probe", F.lit(True)).unionByName(coarser)
+    return (out
             .withColumn("_cx", F.explode(F.sequence(g.cx(F.col(p + "minx") - d, F.col("_lv")),
                                                     g.cx(F.col(p + "maxx") + d, F.col("_lv")))))
             .withColumn("_cy", F.explode(F.sequence(g.cy(F.col(p + "miny") - d, F.col("_lv")),
@@ -462,7 +476,7 @@ def dyadic_cover(lo: Column, hi: Column, levels: int) -> Column:
 
 def _group_keys(df: DataFrame) -> list[str]:
     keys = ["minx", "miny", "maxx", "maxy"]
-    return keys + (["kind", "pts", "parts"] if has_geometry(df) else [])
+    return keys + (GEOM_COLUMNS if has_geometry(df) else [])
 
 
 def _split_heavy(right: DataFrame, right_once: DataFrame, plan: KnnPlan, keep: int):
@@ -517,7 +531,10 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
     each pair once, with ``dist``.  Columns ``l_*``, ``r_*``, ``dist``."""
     # counts and the local refinement stay valid with copies (copies are real
     # candidates); only the pair generation of round 2 needs them removed
-    right_once = with_segments(right if copies_done else dedup_copies(right, plan.k))
+    # (k of each, and as many more as a pair filter can reject; all of them when
+    # that number is not known)
+    keep = plan.k if need is None else need
+    right_once = with_segments(right if copies_done or keep < 0 else dedup_copies(right, keep))
     left_seg = with_segments(left)
     lside, rside = side(left_seg, "l_"), side(right_once, "r_")
     if need is None:
@@ -534,10 +551,10 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
           .withColumn("_lv", _level_for(F.col("bound"), plan, extent)))
     lp = prefixed(lb, "l_").withColumnRenamed("l_bound", "_bound").withColumnRenamed("l__lv", "_lv") \
         .withColumn("_d", F.coalesce(F.col("_bound"), F.lit(0.0)))
-    used = lb.select("_lv").distinct()
-    rp = right_cells(prefixed(right_join, "r_"), plan, used)
-    lc = left_cells(lp, plan)
-    joined = lc.join(rp, KEYS)
+    right_p = with_own_level(prefixed(right_join, "r_"), plan)
+    rp = right_cells(right_p, plan, lb.select("_lv").distinct())
+    lc = left_cells(lp, plan, right_p.select("_own").distinct())
+    joined = lc.join(rp, KEYS).where(F.col("_probe") == F.col("_full"))
     env_d = G.envelope_distance(lside, rside)
     bounded = F.col("_bound").isNull() | (env_d <= F.col("_bound"))
     pairs = joined.where(time_match(plan) & bounded & owned_once(plan))
@@ -583,7 +600,7 @@ def st_knn_join(left: DataFrame, right: DataFrame, k: int, delta_us: int, *,
                 pair_filter: Column | None = None, pair_filter_slack: int | None = None,
                 right_filter: Column | None = None, how: str = "inner", nested: bool = False,
                 max_level: int | None = None, join_bin_us: int | None = None,
-                checkpoint_inputs: bool = False) -> DataFrame:
+                checkpoint_inputs: bool = False, invalid: str = "drop") -> DataFrame:
     """Spatio-temporal kNN join (see module doc).
 
     ``right_filter``: predicate on S's own columns, applied before anything
@@ -597,13 +614,16 @@ def st_knn_join(left: DataFrame, right: DataFrame, k: int, delta_us: int, *,
     Long output: ``l_*``, ``r_*``, ``dist``, ``rank``.  ``nested=True``: one row
     per R row with ``neighbours`` = array of structs ordered by rank.
 
+    ``invalid``: rows with a null id, a missing, reversed or non-finite time or
+    place, or malformed geometry are left out (``"drop"``) or fail the job with
+    their id (``"fail"``).
+
     The plan reads each input several times (statistics, counts, cell join).
     For inputs that are expensive to derive (e.g. parsed from text),
     ``checkpoint_inputs=True`` writes them once to the session's checkpoint
     folder (``spark.checkpoint.dir``, shared on a cluster) and reads that.
     """
-    check_frame(left)
-    check_frame(right)
+    left, right = valid_rows(left, invalid), valid_rows(right, invalid)
     if right_filter is not None:
         right = right.where(right_filter)
     if checkpoint_inputs:
@@ -614,8 +634,19 @@ def st_knn_join(left: DataFrame, right: DataFrame, k: int, delta_us: int, *,
     need = None
     if pair_filter is not None:
         need = -1 if pair_filter_slack is None else k + pair_filter_slack
-    pairs = candidate_pairs(left, right_f, plan, pair_filter, need)
-    result = top_k(pairs, k)
+    if pair_filter is None:
+        # only keys and geometry go through the rounds; the rest joins the k best
+        slim = [c for c in KEY_COLUMNS + GEOM_COLUMNS if c in left.columns]
+        slim_r = [c for c in KEY_COLUMNS + GEOM_COLUMNS if c in right.columns]
+        result = top_k(candidate_pairs(left.select(*slim), right_f.select(*slim_r), plan, None, need), k)
+        order = [f"l_{c}" for c in left.columns] + [f"r_{c}" for c in right.columns] + ["dist", "rank"]
+        for frame, kept, p in ((left, slim, "l_"), (right, slim_r, "r_")):
+            rest = [c for c in frame.columns if c not in kept]
+            if rest:
+                result = result.join(prefixed(frame.select("id", *rest), p), p + "id")
+        result = result.select(*order)
+    else:
+        result = top_k(candidate_pairs(left, right_f, plan, pair_filter, need), k)
     if how == "left":
         result = prefixed(left, "l_").join(result.drop(*[f"l_{c}" for c in left.columns if c != "id"]),
                                            "l_id", "left")
@@ -635,34 +666,25 @@ def nest(result: DataFrame, left_columns: list[str]) -> DataFrame:
 
 
 def st_distance_join(left: DataFrame, right: DataFrame, max_dist: float, delta_us: int,
-                     join_bin_us: int | None = None) -> DataFrame:
+                     join_bin_us: int | None = None, invalid: str = "drop") -> DataFrame:
     """Every (r, s) with time overlap within delta and distance <= max_dist,
-    each once.  One cell level with side >= max_dist; no count pyramid."""
-    check_frame(left)
-    check_frame(right)
-    plan, right_f = plan_for(left, right, 1, delta_us, None, join_bin_us)
-    g = plan.grid
-    # cells no smaller than half the mean left extent: large boxes meet a few
-    # cells per axis rather than thousands (any level gives the same pairs)
-    half_extent = ((plan.left_stats.avg_extent or 0.0) / 2) if plan.left_stats else 0.0
-    level = _fixed_level(g.side, max(max_dist, half_extent), plan.join_max_level)
+    each once.  Every row has its own cell level; no count pyramid."""
+    left, right = valid_rows(left, invalid), valid_rows(right, invalid)
+    plan, right_f = plan_for(left, right, 1, delta_us, None, join_bin_us, find_hot=False)
     left, right_f = with_segments(left), with_segments(right_f)
-    lp = prefixed(left, "l_").withColumn("_lv", F.lit(level)) \
-        .withColumn("_d", F.lit(float(max_dist)))
-    rp = right_cells(prefixed(right_f, "r_"), plan, None, level=level)
-    lc = left_cells(lp, plan)
+    # each row's own level: cells no smaller than the distance and half its extent
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    lp = prefixed(left.withColumn("_lv", _level_for(F.lit(float(max_dist)), plan, extent)), "l_") \
+        .withColumnRenamed("l__lv", "_lv").withColumn("_d", F.lit(float(max_dist)))
+    right_p = with_own_level(prefixed(right_f, "r_"), plan)
+    rp = right_cells(right_p, plan, lp.select("_lv").distinct())
+    lc = left_cells(lp, plan, right_p.select("_own").distinct())
     lside, rside = side(left, "l_"), side(right_f, "r_")
     pairs = lc.join(rp, KEYS).where(
-        time_match(plan) & (G.envelope_distance(lside, rside) <= F.lit(float(max_dist))) & owned_once(plan))
+        (F.col("_probe") == F.col("_full")) & time_match(plan) & (G.envelope_distance(lside, rside) <= F.lit(float(max_dist))) & owned_once(plan))
     pairs = pairs.withColumn("dist", G.geometry_distance(lside, rside)) \
         .where(F.col("dist") <= F.lit(float(max_dist)))
-    return pairs.drop(*KEYS, "_d", "l_segs", "r_segs")
-
-
-def _fixed_level(side_len: float, d: float, cap: int) -> int:
-    if d <= 0:
-        return cap
-    return max(0, min(cap, int(math.floor(math.log2(side_len / d))))) if side_len > d else 0
+    return pairs.drop(*KEYS, "_d", "_probe", "_full", "l_segs", "r_segs")
 
 
 def st_knn_query(right: DataFrame, x: float, y: float, start_us: int, end_us: int, k: int,

@@ -59,15 +59,3 @@ def group_envelope(df: DataFrame, *keys: str) -> DataFrame:
         F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"),
         F.count(F.lit(1)).alias("n"))
 
-
-def period_density(df: DataFrame, periods: DataFrame) -> DataFrame:
-    """Rows per microsecond of each period ``[p_start, p_end)`` (rows counted
-    by start instant; NULL density for an empty span)."""
-    from ..functions.time import bound_contains_time
-    joined = df.select("start_us").join(
-        periods, bound_contains_time(F.col("start_us"), F.col("p_start"), F.col("p_end")))
-    counts = joined.groupBy("period").agg(F.count(F.lit(1)).alias("n"))
-    out = periods.join(counts, "period", "left").select(
-        "period", "p_start", "p_end", F.coalesce("n", F.lit(0)).alias("n"))
-    span = F.col("p_end") - F.col("p_start")
-    return out.withColumn("density", F.when(span > 0, F.col("n") / span))

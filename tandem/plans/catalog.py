@@ -85,7 +85,7 @@ def generated_wkt(spark: SparkSession, sf: str) -> DataFrame:
 def geometry_frame(spark, sf) -> DataFrame:
     g = generated_wkt(spark, sf)
     p = with_wkt_geometry(g.select("id", "x", "y", "t", "wkt"), "wkt")
-    return p.select("id", "kind", "pts", "parts", "minx", "miny", "maxx", "maxy",
+    return p.select("id", "kind", "pts", "parts", "shells", "minx", "miny", "maxx", "maxy",
                     F.col("t").alias("start_us"), F.col("t").alias("end_us"), "x", "y")
 
 

@@ -15,7 +15,7 @@ from ..functions.wkt import with_wkt_geometry
 
 
 def parse_lines(lines: DataFrame, text_col: str = "value", fmt: str = TIME_FORMAT) -> DataFrame:
-    """Lines -> ``kind, pts, parts, minx, miny, maxx, maxy, start_us, end_us``
+    """Lines -> ``kind, pts, parts, shells, minx, miny, maxx, maxy, start_us, end_us``
     (other columns of ``lines`` are kept, e.g. an id)."""
     fields = F.split(F.col(text_col), "\t")
     keep = [c for c in lines.columns if c != text_col]
@@ -23,7 +23,7 @@ def parse_lines(lines: DataFrame, text_col: str = "value", fmt: str = TIME_FORMA
                          parse_time(F.trim(F.get(fields, 1)), fmt).alias("start_us"),
                          parse_time(F.trim(F.get(fields, 2)), fmt).alias("end_us"))
     out = with_wkt_geometry(split, "_wkt")
-    return out.select(*keep, "kind", "pts", "parts", "minx", "miny", "maxx", "maxy", "start_us", "end_us")
+    return out.select(*keep, "kind", "pts", "parts", "shells", "minx", "miny", "maxx", "maxy", "start_us", "end_us")
 
 
 def read_wkt_tsv(spark: SparkSession, path: str, fmt: str = TIME_FORMAT,
@@ -46,5 +46,5 @@ def write_wkt_tsv(df: DataFrame, path: str, fmt: str = TIME_FORMAT, mode: str =
     def fmt_time(c):
         return F.date_format(from_epoch_us_ntz(F.col(c)), ts)
 
-    line = F.concat_ws("\t", to_wkt("kind", "pts", "parts"), fmt_time("start_us"), fmt_time("end_us"))
+    line = F.concat_ws("\t", to_wkt("kind", "pts", "parts", "shells"), fmt_time("start_us"), fmt_time("end_us"))
     df.select(line.alias("value")).write.mode(mode).text(path)

@@ -42,5 +42,5 @@ def wkt_frame(spark, rows):
     p = df.select("id", "start_us", "end_us", parse_wkt(F.col("wkt")).alias("g"))
     minx, miny, maxx, maxy = G.envelope(F.col("g.pts"))
     return p.select("id", F.col("g.kind").alias("kind"), F.col("g.pts").alias("pts"),
-                    F.col("g.parts").alias("parts"), minx.alias("minx"), miny.alias("miny"),
+                    F.col("g.parts").alias("parts"), F.col("g.shells").alias("shells"), minx.alias("minx"), miny.alias("miny"),
                     maxx.alias("maxx"), maxy.alias("maxy"), "start_us", "end_us")

@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SEC, frame, wkt_frame
@@ -40,10 +42,60 @@ def test_wkt_roundtrip(spark):
              "POLYGON ((0.0 0.0, 4.0 0.0, 4.0 4.0, 0.0 0.0), (1.0 1.0, 2.0 1.0, 1.0 2.0, 1.0 1.0))",
              "MULTIPOLYGON (((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 0.0)), ((3.0 0.0, 4.0 0.0, 4.0 1.0, 3.0 0.0)))"]
     df = wkt_frame(spark, [(i, t, 0, 0) for i, t in enumerate(texts)]).orderBy("id")
-    back = [r[0] for r in df.select(to_wkt("kind", "pts", "parts")).collect()]
-    assert back[0] == texts[0] and back[1] == texts[1] and back[2] == texts[2]
-    assert back[3].replace("((", "(").replace("))", ")") == texts[3].replace("((", "(").replace("))", ")") \
-        or back[3].startswith("MULTIPOLYGON")
+    back = [r[0] for r in df.select(to_wkt("kind", "pts", "parts", "shells")).collect()]
+    assert back == texts
+
+
+SQUARE = "POLYGON ((-5 -5, 5 -5, 5 5, -5 5, -5 -5))"
+
+
+@pytest.mark.parametrize("text", [
+    "MULTIPOINT ((100 100), (0 0))", "MULTILINESTRING ((90 90, 100 100), (-1 0, 1 0))",
+    "MULTIPOLYGON (((90 90, 91 90, 91 91, 90 90)), ((0 0, 1 0, 1 1, 0 0)))"])
+def test_any_part_inside_is_at_distance_zero(spark, text):
+    df = wkt_frame(spark, [(1, SQUARE, 0, 0)]).select(*[F.col(c).alias("l_" + c) for c in (
+        "kind", "pts", "parts", "shells", "minx", "miny", "maxx", "maxy")])
+    other = wkt_frame(spark, [(2, text, 0, 0)])
+    both = df.join(other, F.lit(1) == F.lit(1))
+    a, b = G.Side("l_", True), G.Side("", True)
+    assert both.select(G.geometry_distance(a, b).alias("x"), G.geometry_distance(b, a).alias("y")).first() == (0.0, 0.0)
+
+
+CLOCKWISE = "((3 0, 3 1, 4 1, 4 0, 3 0))"
+HOLED = "((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))"      # hole drawn like its shell
+
+
+@pytest.mark.parametrize("text, centre, polygons", [
+    (f"MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), {CLOCKWISE})", (2.0, 0.5), [1, 1]),
+    (f"MULTIPOLYGON ({HOLED})", (4.5375, 4.5375), [2]),
+    (f"MULTIPOLYGON ({HOLED}, ((20 20, 21 20, 21 21, 20 20)))", None, [2, 1])])
+def test_multipolygon_shells_and_holes(spark, text, centre, polygons):
+    import json
+    df = wkt_frame(spark, [(1, text, 0, 0)])
+    side = G.Side("", True)
+    row = df.select(G.centroid(side).alias("c"), G.geojson_geometry(side).alias("j"),
+                    to_wkt("kind", "pts", "parts", "shells").alias("w")).first()
+    assert [len(p) for p in json.loads(row["j"])["coordinates"]] == polygons
+    again = wkt_frame(spark, [(1, row["w"], 0, 0)]).select("pts", "parts", "shells").first()
+    assert again == df.select("pts", "parts", "shells").first()
+    if centre:
+        assert (round(row["c"]["x"], 9), round(row["c"]["y"], 9)) == centre
+
+
+def test_malformed_wkt_is_rejected(spark):
+    good = ["POINT(1 2)", " point ( 1   2 ) ", "POINT EMPTY", "LINESTRING (" + ", ".join(f"{i} {i}" for i in range(20000)) + ")",
+            "MULTIPOINT ((1 2), (3 4))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0), (0 0, 1 0, 1 1, 0 0)), ((0 0, 1 0, 1 1, 0 0)))"]
+    bad = ["POINT (abc 2 3)", "SRID=4326;POINT (1 2)", "GEOMETRYCOLLECTION (POINT (1 2))", "POINT (1 2", "POINT (1 2 3)", "",
+           "POINT (1 2, 3 4)", "LINESTRING (1 2,, 3 4)", "POLYGON (1 2, 3 4)", "POINT (1 2) x", "POINT Z (1 2 3)", "CIRCLE (1 2)"]
+    df = wkt_frame(spark, [(i, t, 0, 0) for i, t in enumerate(good + bad)] + [(99, None, 0, 0)])
+    kinds = [r[0] for r in df.orderBy("id").select("kind").collect()]
+    assert all(kinds[:len(good)]) and not any(kinds[len(good):])
+
+
+def test_floor_div_is_exact_for_far_times(spark):
+    values = [2**53 + 1, 2**62 + 7, -2**62 - 7, -1, 0, 253_402_300_799_999_999]
+    got = spark.createDataFrame([(v,) for v in values], "v bigint").select(TM.floor_div("v", 3), TM.ceil_div("v", 3)).collect()
+    assert [tuple(r) for r in got] == [(v // 3, -(-v // 3)) for v in values]
 
 
 def test_envelope_of_union_fixture(spark):
@@ -74,7 +126,7 @@ def test_distances(spark):
     # two crossing lines in one row (no vertex of either touches the other)
     both = wkt_frame(spark, [(3, "LINESTRING (-3 -3, 3 3)", 0, 0)]).join(
         wkt_frame(spark, [(3, "LINESTRING (-3 3, 3 -3)", 0, 0)]).select(
-            "id", *[F.col(c).alias("o_" + c) for c in ("kind", "pts", "parts", "minx", "miny", "maxx", "maxy")]),
+            "id", *[F.col(c).alias("o_" + c) for c in ("kind", "pts", "parts", "shells", "minx", "miny", "maxx", "maxy")]),
         "id")
     assert one(both, G.geometry_distance(G.Side("", True), G.Side("o_", True))) == 0.0
 
