@@ -220,14 +220,17 @@ def segments(pts, parts) -> Column:
 
 
 def point_segment_distance(px, py, s) -> Column:
+    """Distance to a segment: perpendicular where the foot lies between the
+    ends (exact for axis-parallel segments, so touching gives 0), else to the
+    nearer end."""
     dx = s["bx"] - s["ax"]
     dy = s["by"] - s["ay"]
     l2 = dx * dx + dy * dy
-    t = F.when(l2 > 0, F.least(F.lit(1.0), F.greatest(
-        F.lit(0.0), ((px - s["ax"]) * dx + (py - s["ay"]) * dy) / l2))).otherwise(F.lit(0.0))
-    qx = s["ax"] + t * dx
-    qy = s["ay"] + t * dy
-    return point_distance(px, py, qx, qy)
+    along = (px - s["ax"]) * dx + (py - s["ay"]) * dy
+    aside = F.abs(dx * (py - s["ay"]) - dy * (px - s["ax"])) / F.sqrt(l2)
+    return (F.when(along <= 0, point_distance(px, py, s["ax"], s["ay"]))
+            .when(along >= l2, point_distance(px, py, s["bx"], s["by"]))
+            .when(dx == 0, F.abs(px - s["ax"])).when(dy == 0, F.abs(py - s["ay"])).otherwise(aside))
 
 
 def _orient(ax, ay, bx, by, cx, cy) -> Column:

@@ -430,8 +430,9 @@ def left_cells(left_p: DataFrame, plan: KnnPlan, own_levels: DataFrame, prefix:
     bins of the interval widened by delta, at their own level (``_probe`` true)
     and at the coarser own levels of S rows (false)."""
     g, p, d = plan.grid, prefix, F.col("_d")
-    coarser = left_p.join(F.broadcast(own_levels), F.col("_own") < F.col("_lv")) \
-        .withColumn("_lv", F.col("_own")).withColumn("_probe", F.lit(False)).drop("_own")
+    above = explode_levels(left_p, plan.join_max_level, "_own").where(F.col("_own") < F.col("_lv"))
+    coarser = above.join(F.broadcast(own_levels), "_own").withColumn("_lv", F.col("_own")) \
+        .withColumn("_probe", F.lit(False)).drop("_own")
     out = left_p.withColumn("_probe", F.lit(True)).unionByName(coarser)
     return (out
             .withColumn("_cx", F.explode(F.sequence(g.cx(F.col(p + "minx") - d, F.col("_lv")),

@@ -39,10 +39,14 @@ def sample_fraction(size: int, total: int) -> float:
 
 
 def sample_bounds(df: DataFrame, alpha: int, beta: int, seed: int = 42) -> DataFrame:
-    """A Bernoulli sample of the rows' space-time bounds, sized as above."""
+    """A Bernoulli sample of the rows' space-time bounds, sized as above.
+    A row's draw is a hash of its id and the seed, so a retried task and another
+    input split pick the same rows."""
     total = df.count()
     frac = sample_fraction(sample_size(total, alpha, beta), total)
-    return df.sample(False, frac, seed).select("id", "minx", "miny", "maxx", "maxy", "start_us", "end_us")
+    text = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
+    draw = F.conv(F.substring(text, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    return df.where(draw < F.lit(frac)).select("id", "minx", "miny", "maxx", "maxy", "start_us", "end_us")
 
 
 # ------------------------------------------------------------------ D2 / A7
@@ -53,9 +57,9 @@ def time_periods(df: DataFrame, alpha: int, beta: int, k: int, delta_us: int,
 
     min_span = max(2 delta, mean length, range / alpha); min_count =
     max(n // alpha, ceil(rate * beta * k)).  Starts are counted in bins of
-    width min_span (at most alpha + 1 bins).  A bin opens a new period when
-    the number of rows before it, divided by min_count, reaches a new
-    integer.  Periods are half-open ``[p_start, p_end)``; the last ends after
+    width min_span (at most alpha + 1 bins).  A period takes bins until it
+    holds min_count rows, so both minima hold; a last period with fewer joins
+    the one before it.  Periods are half-open ``[p_start, p_end)``; the last ends after
     the last end instant.  Columns: ``period, p_start, p_end, n``.
     """
     st = df.agg(F.min("start_us").alias("s"), F.max("end_us").alias("e"), F.count(F.lit(1)).alias("n"),
@@ -67,16 +71,20 @@ def time_periods(df: DataFrame, alpha: int, beta: int, k: int, delta_us: int,
     min_count = max(n // alpha, int(math.ceil(rate * beta * k)))
     hist = df.groupBy(floor_div(F.col("start_us") - F.lit(t0), span).alias("bin")) \
         .agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.orderBy("bin")  # <= alpha + 1 rows
-    before = F.coalesce(F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    h = hist.withColumn("_grp", F.floor(before / F.lit(min_count)))
-    per = h.groupBy("_grp").agg(F.min("bin").alias("_b0"), F.sum("cnt").alias("n"))
-    wp = Window.orderBy("_grp")
-    p_start = F.when(F.col("_b0") == 0, F.lit(t0)).otherwise(F.lit(t0) + F.col("_b0") * F.lit(span))
-    return (per.withColumn("period", (F.row_number().over(wp) - 1).cast("int"))
-            .withColumn("p_start", p_start.cast("bigint"))
-            .withColumn("p_end", F.coalesce(F.lead("p_start").over(wp), F.lit(t1 + 1)).cast("bigint"))
-            .select("period", "p_start", "p_end", "n"))
+    groups: list[list[int]] = []  # first bin, rows
+    for bin_, cnt in sorted((r["bin"], r["cnt"]) for r in hist.collect()):  # at most alpha + 1 rows
+        if groups and groups[-1][1] < min_count:
+            groups[-1][1] += cnt
+        else:
+            groups.append([bin_, cnt])
+    if len(groups) > 1 and groups[-1][1] < min_count:
+        last = groups.pop()
+        groups[-1][1] += last[1]
+    starts = [t0 + b * span for b, _ in groups]
+    ends = starts[1:] + [t1 + 1]
+    return df.sparkSession.createDataFrame(
+        [(i, s, e, g[1]) for i, (s, e, g) in enumerate(zip(starts, ends, groups))],
+        "period int, p_start bigint, p_end bigint, n bigint")
 
 
 MAX_PERIODS = 100_000

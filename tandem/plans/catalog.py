@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import time as TM
-from ..functions.wkt import with_wkt_geometry
+from ..functions.wkt import to_wkt, with_wkt_geometry
 from ..model import point_frame, with_row_id
 from ..operators import bins as B
 from ..operators import filters as FL
@@ -225,7 +225,9 @@ def q_st_knn_join_nested(spark, sf):
 
 
 def q_with_row_id(spark, sf):
-    return with_row_id(_ev(spark, sf).select("event_id", "event_type"), "row_id")
+    """How many rows share each row's id: one."""
+    rows = with_row_id(_ev(spark, sf).select("event_id", "event_type"), "row_id")
+    return rows.select("event_id", "event_type", F.count("*").over(Window.partitionBy("row_id")).alias("n_same_id"))
 
 
 def q_interval_overlap_filter(spark, sf):
@@ -277,14 +279,17 @@ def q_validate_rows(spark, sf):
 
 
 def q_knn_bound(spark, sf):
-    """Every bound is >= the exact k-th candidate distance (or absent)."""
+    """Which R rows are bounded, and whether each bound is >= the exact k-th
+    candidate distance, taken from the time join alone (no bound, no cells)."""
     left, right = fx.pts_left(spark, sf), fx.pts_right(spark, sf)
     plan, right_f = KN.plan_for(left, right, K, DELTA)
     bounds = KN.knn_bound(left, right_f, plan)
-    kth = KN.kth_distance(KN.top_k(KN.candidate_pairs(left, right_f, plan), K), K)
+    pairs = J.interval_overlap_join(left, right, DELTA).select(
+        "l_id", "r_id", G.envelope_distance(G.Side("l_"), G.Side("r_")).alias("dist"))
+    kth = KN.kth_distance(KN.top_k(pairs, K), K)
     j = kth.join(bounds.withColumnRenamed("id", "l_id"), "l_id", "left")
-    ok = F.col("bound").isNull() | F.col("kth_dist").isNull() | (F.col("bound") >= F.col("kth_dist"))
-    return j.select("l_id", ok.alias("bound_ok"))
+    ok = F.col("bound").isNull() | (F.col("bound") >= F.col("kth_dist"))
+    return j.select("l_id", F.col("bound").isNotNull().alias("bounded"), F.coalesce(ok, F.lit(False)).alias("bound_ok"))
 
 
 def q_st_knn_query(spark, sf):
@@ -400,6 +405,78 @@ def q_st_knn_join_filtered(spark, sf):
     return res.select("l_id", "r_id", "dist", "rank")
 
 
+def _shifted_right(spark, sf, x, y, t):
+    """Views with other coordinates and instants."""
+    pts = fx.pts_right(spark, sf)
+    moved = pts.select("id", x.alias("minx"), y.alias("miny"), t.alias("start_us"))
+    return moved.select("id", "minx", "miny", F.col("minx").alias("maxx"), F.col("miny").alias("maxy"),
+                        "start_us", F.col("start_us").alias("end_us"))
+
+
+def _self_knn(pts):
+    res = KN.st_knn_join(pts, pts, K, DELTA, pair_filter=F.col("l_id") != F.col("r_id"), pair_filter_slack=1)
+    return res.select("l_id", "r_id", "dist", "rank")
+
+
+def q_st_knn_join_copies(spark, sf):
+    """Places and days rounded, so that exact copies abound; self exclusion."""
+    return _self_knn(_shifted_right(spark, sf, F.floor(F.col("minx") / 100) * 100.0, F.floor(F.col("miny") / 50) * 50.0,
+                                    F.floor(F.col("start_us") / DAY).cast("bigint") * DAY))
+
+
+def q_st_knn_join_hot(spark, sf):
+    """A third of the rows in one tiny spot, a ninth at one location: takes the
+    deep levels and the index of heavy locations."""
+    spot, place = F.col("id") % 3 == 0, F.col("id") % 9 == 0
+    def near(c, at, scale):
+        return F.when(place, F.lit(at)).when(spot, F.lit(at) + F.col(c) * F.lit(scale)).otherwise(F.col(c))
+    return _self_knn(_shifted_right(spark, sf, near("minx", 100.0, 1e-7), near("miny", 50.0, 1e-7), F.col("start_us")))
+
+
+def q_validate_wkt(spark, sf):
+    """Generated texts, four of five of them spoiled: the problem found."""
+    raw = _ev(spark, sf)
+    x, y = F.col("value").cast("string"), F.get_json_object("props", "$.k")
+    point = F.concat(F.lit("POINT ("), x, F.lit(" "), y, F.lit(")"))
+    kind = F.col("event_id") % 6
+    text = (F.when(kind == 0, point).when(kind == 1, F.concat(F.lit("POINT (abc "), y, F.lit(")")))
+            .when(kind == 2, F.concat(F.lit("SRID=4326;"), point))
+            .when(kind == 3, F.concat(F.lit("GEOMETRYCOLLECTION ("), point, F.lit(")")))
+            .when(kind == 4, F.lit("POINT EMPTY")).otherwise(F.lit("POINT (1e999 0)")))
+    t = TM.epoch_us(raw, "ts")
+    rows = with_wkt_geometry(raw.select(F.col("event_id").alias("id"), text.alias("wkt"), t.alias("start_us"),
+                                        t.alias("end_us")), "wkt")
+    return FL.validate_rows(rows, "flag").select("id", "problem")
+
+
+def q_multipolygon(spark, sf):
+    """MULTIPOLYGON with a hole and both ring orientations: WKT round trip,
+    polygons and rings, centroid, GeoJSON nesting."""
+    ev = _ev(spark, sf)
+    cx = F.floor(F.col("value")).cast("int")
+    raw = ev.select(F.col("event_id").alias("id"), cx.alias("x"), (F.col("event_id") % 2 == 0).alias("flip"))
+
+    def ring(points, flip=None):
+        def text(ps):
+            return F.concat(F.lit("("), F.concat_ws(", ", *[
+                F.concat((F.col("x") + a).cast("double").cast("string"), F.lit(f" {float(b)}")) for a, b in ps]), F.lit(")"))
+        return text(points) if flip is None else F.when(flip, text(points[::-1])).otherwise(text(points))
+
+    shell = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
+    hole = [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)]
+    other = [(10, 0), (12, 0), (12, 2), (10, 2), (10, 0)]
+    wkt = F.concat(F.lit("MULTIPOLYGON (("), ring(shell), F.lit(", "), ring(hole, F.col("flip")), F.lit("), ("),
+                   ring(other, F.col("flip")), F.lit("))"))
+    g = with_wkt_geometry(raw.withColumn("wkt", wkt).withColumn("t", F.col("wkt")), "wkt")
+    side = G.Side("", True)
+    c = G.centroid(side)
+    nested = F.from_json(F.get_json_object(G.geojson_geometry(side), "$.coordinates"), "array<array<array<array<double>>>>")
+    return g.select("id", (to_wkt("kind", "pts", "parts", "shells") == F.col("t")).alias("same_text"),
+                    F.size("shells").alias("n_polygons"), F.size(F.get(nested, 0)).alias("n_rings_first"),
+                    F.size(F.get(nested, 1)).alias("n_rings_second"), _round(c["x"] - F.col("x")).alias("cx"),
+                    _round(c["y"]).alias("cy"))
+
+
 def q_box_knn_join(spark, sf):
     res = KN.st_knn_join(fx.box_left(spark, sf), fx.box_right(spark, sf), K, DELTA)
     return res.select("l_id", "r_id", "dist", "rank")
@@ -420,7 +497,7 @@ def q_vec_knn_join(spark, sf):
 def q_geom_knn_join(spark, sf):
     g = geometry_frame(spark, sf).drop("x", "y")
     res = KN.st_knn_join(fx.pts_left(spark, sf), g, K, DELTA, checkpoint_inputs=True)
-    return res.select("l_id", "r_id", "r_kind", "dist", "rank")
+    return res.select("l_id", "r_id", "r_kind", _round(F.col("dist")).alias("dist"), "rank")
 
 
 def q_result_roundtrip(spark, sf):
@@ -491,6 +568,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cell_numbering": q_cell_numbering,
     "home_cell": q_home_cell,
     "st_knn_join_filtered": q_st_knn_join_filtered,
+    "st_knn_join_copies": q_st_knn_join_copies,
+    "st_knn_join_hot": q_st_knn_join_hot,
+    "validate_wkt": q_validate_wkt,
+    "multipolygon": q_multipolygon,
     "box_knn_join": q_box_knn_join,
     "session_knn_join": q_session_knn_join,
     "vec_knn_join": q_vec_knn_join,

@@ -41,7 +41,7 @@ def with_base(body: str) -> str:
     """Prefix the shared CTEs; ``body`` is either more CTEs + SELECT or a SELECT."""
     body = body.strip()
     sep = "\n" if body.upper().startswith("SELECT") else ",\n"
-    return "WITH " + BASE.strip() + sep + body
+    return "WITH RECURSIVE " + BASE.strip() + sep + body
 
 
 def knn_pairs(left: str, right: str, cond: str, dist: str, k: int) -> str:
@@ -73,17 +73,22 @@ def _pt_d(px, py, ax, ay):
     return f"sqrt(({ax} - {px}) * ({ax} - {px}) + ({ay} - {py}) * ({ay} - {py}))"
 
 
-# distance of the generated geometry to P = (y, x)
-_P = ("y", "x")
-GEN_DIST = f"""CASE event_type
-  WHEN 'purchase' THEN {_pt_d(*_P, 'x', 'y')}
-  WHEN 'view' THEN least({_box_d(*_P, 'x', 'y', 'x + 2', 'y')}, {_box_d(*_P, 'x + 2', 'y', 'x + 2', 'y + 3')})
+def gen_dist(px: str, py: str, x: str = "x", y: str = "y", kind: str = "event_type") -> str:
+    """Distance of the geometry generated at (x, y) to the point (px, py)."""
+    p = (px, py)
+    return f"""CASE {kind}
+  WHEN 'purchase' THEN {_pt_d(*p, x, y)}
+  WHEN 'view' THEN least({_box_d(*p, x, y, f'{x} + 2', y)}, {_box_d(*p, f'{x} + 2', y, f'{x} + 2', f'{y} + 3')})
   WHEN 'click' THEN CASE
-      WHEN y > x + 1 AND y < x + 2 AND x > y + 1 AND x < y + 2
-        THEN least(y - (x + 1), (x + 2) - y, x - (y + 1), (y + 2) - x)
-      ELSE {_box_d(*_P, 'x', 'y', 'x + 4', 'y + 4')} END
-  WHEN 'signup' THEN least({_pt_d(*_P, 'x', 'y')}, {_pt_d(*_P, 'x + 1', 'y + 1')})
-  ELSE least({_box_d(*_P, 'x', 'y', 'x + 1', 'y + 1')}, {_box_d(*_P, 'x + 3', 'y', 'x + 4', 'y + 1')}) END"""
+      WHEN {px} > {x} + 1 AND {px} < {x} + 2 AND {py} > {y} + 1 AND {py} < {y} + 2
+        THEN least({px} - ({x} + 1), ({x} + 2) - {px}, {py} - ({y} + 1), ({y} + 2) - {py})
+      ELSE {_box_d(*p, x, y, f'{x} + 4', f'{y} + 4')} END
+  WHEN 'signup' THEN least({_pt_d(*p, x, y)}, {_pt_d(*p, f'{x} + 1', f'{y} + 1')})
+  ELSE least({_box_d(*p, x, y, f'{x} + 1', f'{y} + 1')}, {_box_d(*p, f'{x} + 3', y, f'{x} + 4', f'{y} + 1')}) END"""
+
+
+# distance of the generated geometry to P = (y, x)
+GEN_DIST = gen_dist("y", "x")
 
 BOX_PAIRS = f"""bl AS (SELECT *, floor(start_us / {float(4 * DAYUS)}) AS p FROM box_left),
 br AS (SELECT *, floor(start_us / {float(4 * DAYUS)}) AS p FROM box_right),
@@ -112,8 +117,15 @@ PERIODS = f"""pst AS (SELECT min(start_us) AS s0, max(end_us) AS e0, count(*) AS
 pspec AS (SELECT s0, e0, greatest(1, CAST(ceil(greatest({float(2 * H)}, len0, (e0 - s0) / {float(C.ALPHA)})) AS BIGINT)) AS span,
                  greatest(n0 // {C.ALPHA}, {C.BETA * C.TILE_K}) AS mc FROM pst),
 hist AS (SELECT (start_us - s0) // span AS bin, count(*) AS cnt FROM sessions, pspec GROUP BY ALL),
-hb AS (SELECT bin, cnt, floor(CAST(coalesce(sum(cnt) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
-                              / CAST(mc AS DOUBLE)) AS grp FROM hist, pspec),
+ob AS (SELECT bin, cnt, row_number() OVER (ORDER BY bin) AS i FROM hist),
+fold AS (SELECT i, bin, cnt, cnt AS held, 0 AS grp FROM ob WHERE i = 1
+         UNION ALL
+         SELECT ob.i, ob.bin, ob.cnt, CASE WHEN fold.held >= mc THEN ob.cnt ELSE fold.held + ob.cnt END,
+                CASE WHEN fold.held >= mc THEN fold.grp + 1 ELSE fold.grp END
+         FROM fold JOIN ob ON ob.i = fold.i + 1, pspec),
+tail AS (SELECT max(grp) - CASE WHEN max(grp) > 0 AND arg_max(held, i) < (SELECT mc FROM pspec) THEN 1 ELSE 0 END AS top
+         FROM fold),
+hb AS (SELECT bin, cnt, least(grp, top) AS grp FROM fold, tail),
 per AS (SELECT grp, min(bin) AS b0, CAST(sum(cnt) AS BIGINT) AS n FROM hb GROUP BY grp),
 periods AS (SELECT CAST(row_number() OVER (ORDER BY grp) - 1 AS INTEGER) AS period,
                    CAST(CASE WHEN b0 = 0 THEN s0 ELSE s0 + b0 * span END AS BIGINT) AS p_start, n, grp
@@ -222,7 +234,39 @@ SQL: dict[str, str] = {
         epoch_us(l.l_shipdate) AS end_us,
         CASE WHEN epoch_us(o.o_orderdate) > epoch_us(l.l_shipdate) THEN 'start after end' END AS problem
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
-    "knn_bound": with_base(PT_TOP + " SELECT DISTINCT l_id, true AS bound_ok FROM top"),
+    "with_row_id": "SELECT event_id, event_type, CAST(1 AS BIGINT) AS n_same_id FROM events",
+    "sample_bounds": with_base(f"""tot AS (SELECT count(*) AS n FROM sessions),
+        want AS (SELECT n, CASE WHEN n < 1000 THEN n ELSE greatest({2 * C.ALPHA * C.BETA}, n // 100) END / CAST(n AS DOUBLE) AS p,
+                        -ln(1e-4) / n AS gamma FROM tot),
+        frac AS (SELECT least(1.0, greatest(1e-10, p + gamma + sqrt(gamma * gamma + 2 * gamma * p))) AS f FROM want)
+        SELECT id, minx, miny, maxx, maxy, start_us, end_us FROM sessions, frac
+        WHERE CAST('0x' || substr(md5(CAST(id AS VARCHAR) || ':7'), 1, 8) AS UBIGINT) / 4294967296.0 < f"""),
+    "sample_results": with_base(PT_TOP + """, nn AS (SELECT l_id, CAST(count(*) AS INTEGER) AS n_neighbours FROM top GROUP BY l_id)
+        SELECT l_id, n_neighbours FROM nn ORDER BY md5(CAST(l_id AS VARCHAR) || ':7') LIMIT 10"""),
+    # a row is bounded when the count bins inside its window hold k starts
+    "knn_bound": with_base(PT_TOP + f""",
+        sb AS (SELECT pr.t // {WC} AS sb, count(*) AS n FROM pr, (SELECT min(t) AS ls, max(t) AS le FROM pl) b
+               WHERE pr.t <= b.le + {D} AND pr.t >= b.ls - {D} GROUP BY ALL),
+        lq AS (SELECT id, (t - {D} + {WC} - 1) // {WC} AS b0, t FROM pl),
+        enough AS (SELECT lq.id FROM lq JOIN sb ON sb.sb BETWEEN lq.b0 AND lq.b0 + 2
+                   WHERE (lq.b0 + 3) * {WC} - 1 <= lq.t + {D} GROUP BY lq.id HAVING sum(sb.n) >= {C.K})
+        SELECT DISTINCT l_id, l_id IN (SELECT id FROM enough) AS bounded, true AS bound_ok FROM top"""),
+    "st_knn_join_copies": with_base(f"""pc AS (SELECT id, floor(x / 100) * 100.0 AS x, floor(y / 50) * 50.0 AS y,
+                                                   (t // {DAYUS}) * {DAYUS} AS t FROM pr),
+        """ + knn_pairs("pc", "pc", PT_TIME + " AND l.id <> r.id", PT_DIST, C.K) + " SELECT l_id, r_id, dist, rank FROM top"),
+    "st_knn_join_hot": with_base("""ph AS (SELECT id, t,
+            CASE WHEN id % 9 = 0 THEN 100.0 WHEN id % 3 = 0 THEN 100.0 + x * CAST(1e-7 AS DOUBLE) ELSE x END::DOUBLE AS x,
+            CASE WHEN id % 9 = 0 THEN 50.0 WHEN id % 3 = 0 THEN 50.0 + y * CAST(1e-7 AS DOUBLE) ELSE y END::DOUBLE AS y FROM pr),
+        """ + knn_pairs("ph", "ph", PT_TIME + " AND l.id <> r.id", PT_DIST, C.K) + " SELECT l_id, r_id, dist, rank FROM top"),
+    "validate_wkt": """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 4 THEN 'empty geometry'
+        WHEN 5 THEN 'infinite coordinate' ELSE 'malformed geometry' END AS problem FROM events""",
+    # two polygons: 4 x 4 less a unit hole, and 2 x 2; centroid by areas 16 - 1 + 4
+    "multipolygon": """SELECT event_id AS id, true AS same_text, 2 AS n_polygons, 2 AS n_rings_first, 1 AS n_rings_second,
+        round((16 * 2 - 1.5 + 4 * 11) / 19.0, 6) AS cx, round((16 * 2 - 1.5 + 4 * 1) / 19.0, 6) AS cy FROM events""",
+    "geom_knn_join": with_base(f"""p AS (SELECT l.id AS l_id, r.id AS r_id, {KIND.replace("event_type", "r.event_type")} AS r_kind,
+            {gen_dist("l.x", "l.y", "r.x", "r.y", "r.event_type")} AS dist FROM pl l JOIN ev r ON {PT_TIME}),
+        top AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY dist, r_id) AS rank FROM p)
+        SELECT l_id, r_id, r_kind, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= {C.K}"""),
     "st_knn_query": with_base(f"""q AS (SELECT x, y, t FROM pl ORDER BY id LIMIT 1),
         c AS (SELECT r.id AS r_id, sqrt((r.x - q.x) * (r.x - q.x) + (r.y - q.y) * (r.y - q.y)) AS dist
               FROM pr r, q WHERE r.t <= q.t + {12 * H} AND r.t >= q.t - {12 * H})

@@ -33,9 +33,9 @@ def store_and_reload(result: DataFrame, name: str = "knn-results") -> DataFrame:
 
 def sample_results(results: DataFrame, n: int = 10, seed: int | None = None, id_col: str = "l_id") -> DataFrame:
     """N result rows picked at random without replacement.  With a seed
-    the pick is repeatable (rows ranked by a hash of id and seed); each task
+    the pick is repeatable (rows ranked by the MD5 of id and seed); each task
     keeps only its best n (TakeOrderedAndProject), so nothing big moves."""
-    key = F.rand() if seed is None else F.xxhash64(F.col(id_col), F.lit(seed))
+    key = F.rand() if seed is None else F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
     return results.orderBy(key).limit(n)
 
 
