@@ -50,8 +50,9 @@ GRAM = 48
 #: window starts handled together
 PIECE = 1 << 20
 PLACE_BITS = 23
-#: a group of more representatives is split by a longer digit
-MANY = 512
+#: a group of more representatives is split by a longer digit.  A task takes a group of
+#: this size in about 100 MB (153 windows each, 60 bytes a window); more passes cost more
+MANY = 8192
 
 
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
