@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 2 << 20
 #: odd multipliers of the polynomial hashes and their inverses modulo 2**64
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5)
 

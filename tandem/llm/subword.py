@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from .common import Rolling, buffers, held_out, key_text, lower_ascii, mix, runs_of, slabs
 
 
+#: text bytes scored together: a byte has several features of some 30 bytes each
+SCORE_SLAB = 512 << 10
+
+
 @dataclass(frozen=True)
 class Config:
     buckets_log2: int = 17
@@ -244,7 +248,7 @@ def _score(model: Model):
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        for rows, data, offsets in slabs(batches):
+        for rows, data, offsets in slabs(batches, limit=SCORE_SLAB):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores(data, offsets, model))], schema=schema)
 
     return run
@@ -257,7 +261,7 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
 
 def _keep_rows(model: Model, least: float):
     def run(batches):
-        for rows, data, offsets in slabs(batches):
+        for rows, data, offsets in slabs(batches, limit=SCORE_SLAB):
             yield rows.filter(pa.array(scores(data, offsets, model) >= least))
 
     return run
