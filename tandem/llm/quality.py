@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import subword
 from .common import held_out
 
-CONFIG = subword.Config(lower=False, pairs=True)
+CONFIG = subword.Config(lower=False, pairs=True, max_train_per_class=2500)
 KEEP_AT = 0.3
 
 

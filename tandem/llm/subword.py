@@ -126,16 +126,18 @@ def scores(data, offsets, model: Model) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(out, -60, 60)))
 
 
-def _training_bags(texts: list[str | None], config: Config):
+def _training_bags(texts: pa.Array | list[str | None], config: Config):
     """The bags of all training texts, laid end to end: bucket and share of each
     feature (no share: all equal), start of each bag, text of each bag.  Built from a few MB of text
     at a time; equal features of a bag are merged where bags are whole texts."""
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.large_string())
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
     room = buffers(batch.column(0))[1][-1] * (len(config.ngrams) + 2) + 1
     cols = np.empty(room, np.int32)  # pages of it are used only as they are filled
     share = None if config.passage else np.empty(room, np.float32)
     sizes, owners, used, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
-    for rows, data, offsets in slabs(iter([batch]), "text", 1 << 20):
+    for rows, data, offsets in slabs(iter([batch]), "text", 256 << 10):
         bucket, passage, text = bags(data, offsets, config)
         length = np.bincount(passage, minlength=len(text))
         if config.passage:
@@ -163,7 +165,7 @@ def _bag_means(flat: np.ndarray, cols: np.ndarray, starts: np.ndarray, step: int
     return out / np.diff(starts)
 
 
-def train(texts: list[str | None], labels: np.ndarray, config: Config) -> Model:
+def train(texts: pa.Array | list[str | None], labels: np.ndarray, config: Config) -> Model:
     """Stochastic gradient descent on the mean log loss, classes weighted equally."""
     rng = np.random.default_rng(config.seed)
     size = 1 << config.buckets_log2
@@ -234,9 +236,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, target: str, config:
 def fit(documents: DataFrame, labels: DataFrame, target: str, config: Config) -> Model:
     rows = training_rows(documents, labels, target, config).toArrow()
     order = np.lexsort((rows["doc_id"].to_numpy(),))
-    rows = rows.take(pa.array(order))
-    texts = rows["text"].to_pylist()
+    rows = rows.take(pa.array(order)).combine_chunks()
     y = rows["label"].to_numpy()
+    texts = rows["text"].combine_chunks()
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.chunk(0) if texts.num_chunks else pa.array([], pa.string())
+    del rows
     if len(texts) == 0 or len(np.unique(y)) < 2:
         # nothing to learn from: the share of class 1 with one pseudo-count each
         share = (float(y.sum()) + 1) / (len(y) + 2)
