@@ -17,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_minhash": minhash.SQL,
     "op4_suffix_dedup": suffix_dedup.SQL,
     "op5_decontamination": decontam.SQL,
     "op9_line_dedup": line_dedup.SQL,
