@@ -35,32 +35,16 @@ def test_entry_and_registry(spark):
     assert df.count() >= 0
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"with_row_id", "sample_bounds", "sample_results", "geom_knn_join"}
+    from tandem.plans.catalog import QUERIES
+    from tandem.plans.oracle import SQL
+    assert set(QUERIES) == set(SQL) <= set(sql)
 
 
 @pytest.mark.parametrize("name", ["st_knn_join", "box_knn_join", "st_knn_join_filtered", "quad_tiles",
-                                  "time_periods", "interval_overlap_join", "replicated_join_dedup"])
+                                  "time_periods", "interval_overlap_join", "replicated_join_dedup",
+                                  "knn_bound", "multipolygon", "validate_wkt", "geom_knn_join"])
 def test_oracle_subset(spark, name):
     import __spark_entry__ as E
     from tools.compare import compare, duck
     r = compare(name, E.queries()[name](spark, SF01), duck(SF01), E.oracle_sql()[name])
     assert r.get("exact"), r
-
-
-def test_geometry_knn_brute_force(spark):
-    """Rows-only query: check against all pairs (brute force) on sf0.001."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-    from tandem.functions import geometry as G
-    from tandem.model import prefixed
-    from tandem.plans.catalog import geometry_frame
-    left = fx.pts_left(spark, SF001)
-    right = geometry_frame(spark, SF001).drop("x", "y")
-    got = KN.st_knn_join(left, right, 5, 86_400_000_000).select("l_id", "r_id", "rank")
-    lp, rp = prefixed(left, "l_"), prefixed(right, "r_")
-    d = 86_400_000_000
-    pairs = lp.join(rp, (F.col("r_start_us") <= F.col("l_end_us") + d) & (F.col("r_end_us") >= F.col("l_start_us") - d))
-    pairs = pairs.withColumn("dist", G.geometry_distance(G.Side("l_"), G.Side("r_", True)))
-    w = Window.partitionBy("l_id").orderBy("dist", "r_id")
-    want = pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("l_id", "r_id", "rank")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
