@@ -22,9 +22,10 @@ from ..operators import joins as J
 from ..operators import knn as KN
 from ..operators import stats as ST
 from ..operators import tiling as TL
+from ..session import shared_dir
 from ..sources import fixtures as fx
 from ..sources import results as RS
-from ..sources.tsv import parse_lines
+from ..sources.tsv import parse_lines, read_wkt_tsv
 
 # Parameters of the registered queries.
 K = 5
@@ -508,6 +509,19 @@ def q_result_roundtrip(spark, sf):
                 F.col("nb.dist").alias("dist"))
 
 
+def q_load_join_store(spark, sf):
+    """The whole job over files of the session's shared folder: text files of
+    both sides are written, loaded, joined, stored and read again."""
+    base = shared_dir(spark, "wkt-tsv")
+    for name, kind in (("left", fx.LEFT_EVENT), ("right", fx.RIGHT_EVENT)):
+        fx.wkt_lines(spark, sf, kind).select("value").write.text(f"{base}/{name}")
+    left, right = read_wkt_tsv(spark, f"{base}/left"), read_wkt_tsv(spark, f"{base}/right")
+    back = RS.store_and_reload(KN.st_knn_join(left, right, K, DELTA, nested=True, checkpoint_inputs=True))
+    return back.select("l_minx", "l_miny", "l_start_us", F.explode("neighbours").alias("nb")).select(
+        F.col("l_minx").alias("x"), F.col("l_miny").alias("y"), F.col("l_start_us").alias("start_us"),
+        F.col("nb.rank").alias("rank"), F.col("nb.dist").alias("dist"))
+
+
 def q_geojson_export(spark, sf):
     res = KN.st_knn_join(fx.pts_left(spark, sf), fx.pts_right(spark, sf), K, DELTA, nested=True)
     return RS.geojson_collections(res)
@@ -577,6 +591,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vec_knn_join": q_vec_knn_join,
     "geom_knn_join": q_geom_knn_join,
     "result_roundtrip": q_result_roundtrip,
+    "load_join_store": q_load_join_store,
     "geojson_export": q_geojson_export,
     "sample_results": q_sample_results,
 }

@@ -356,6 +356,11 @@ SQL: dict[str, str] = {
                   FROM embeddings), """ + knn_pairs("v", "v", "l.id <> r.id", PT_DIST, C.K)
                     + " SELECT l_id, r_id, dist, rank FROM top",
     "result_roundtrip": with_base(PT_TOP + " SELECT l_id, rank, r_id, dist FROM top"),
+    # the text layout holds whole seconds
+    "load_join_store": with_base("""s AS (SELECT id, x, y, epoch_us(date_trunc('second', ts)) AS t, event_type FROM ev),
+        sl AS (SELECT * FROM s WHERE event_type = 'purchase'), sr AS (SELECT * FROM s WHERE event_type = 'view'),
+        """ + knn_pairs("sl", "sr", PT_TIME, PT_DIST, C.K) + """ SELECT sl.x, sl.y, sl.t AS start_us, rank, dist
+        FROM top JOIN sl ON sl.id = top.l_id"""),
     "geojson_export": with_base(PT_TOP + f""",
         f AS (SELECT top.l_id, top.rank, {_feature(_geojson_point('r.x', 'r.y'))} AS feat
               FROM top JOIN pr r ON r.id = top.r_id),

@@ -104,10 +104,12 @@ def vec_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit(0).cast("bigint").alias("end_us"), F.col("label"))
 
 
-def wkt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wkt_lines(spark: SparkSession, sf_dir: str, event_type: str | None = None) -> DataFrame:
     """Events written in the tab-separated text layout ``WKT \\t start \\t end``
     (column ``value``, as ``spark.read.text`` gives it), plus the event id."""
     ev = table(spark, sf_dir, "events")
+    if event_type is not None:
+        ev = ev.where(F.col("event_type") == event_type)
     y = F.get_json_object("props", "$.k").cast("double")
     wkt = F.format_string("POINT (%s %s)", F.col("value").cast("string"), y.cast("string"))
     t = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
