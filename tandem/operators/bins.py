@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import floor_div
@@ -44,19 +44,18 @@ def _bin(c, spec: BinSpec):
     return F.least(F.greatest(b, F.lit(0)), F.lit(spec.n_bins - 1))
 
 
-def interval_bins(df: DataFrame, spec: BinSpec, group_cols: list[str] | None = None) -> DataFrame:
-    """Columns: group..., ``bin, n_start, n_end, ends_le, starts_ge, total``."""
-    g = list(group_cols or [])
-    starts = df.select(*g, _bin("start_us", spec).alias("bin")).groupBy(*g, "bin") \
-        .agg(F.count(F.lit(1)).alias("n_start"))
-    ends = df.select(*g, _bin("end_us", spec).alias("bin")).groupBy(*g, "bin") \
-        .agg(F.count(F.lit(1)).alias("n_end"))
-    keys = (df.select(*g).distinct() if g else df.sparkSession.range(1).select())
-    dense = keys.select(*g, F.explode(F.sequence(F.lit(0), F.lit(spec.n_bins - 1))).alias("bin"))
-    t = (dense.join(starts, [*g, "bin"], "left").join(ends, [*g, "bin"], "left")
-         .select(*g, "bin", F.coalesce("n_start", F.lit(0)).alias("n_start"),
-                 F.coalesce("n_end", F.lit(0)).alias("n_end")))
-    w = Window.partitionBy(*g).orderBy("bin") if g else Window.orderBy("bin")
+def _counts(df: DataFrame, g: list[str], start_bin: Column, end_bin: Column) -> DataFrame:
+    """Rows starting and ending per group and bin, in one pass and one shuffle."""
+    ends = F.array(F.struct(start_bin.alias("bin"), F.lit(1).alias("s"), F.lit(0).alias("e")),
+                   F.struct(end_bin.alias("bin"), F.lit(0).alias("s"), F.lit(1).alias("e")))
+    return df.select(*g, F.inline(ends)).groupBy(*g, "bin").agg(
+        F.sum("s").alias("n_start"), F.sum("e").alias("n_end"))
+
+
+def _cumulated(dense: DataFrame, counts: DataFrame, g: list[str], keep: list[str]) -> DataFrame:
+    t = dense.join(counts, [*g, "bin"], "left").select(
+        *g, *keep, "bin", F.coalesce("n_start", F.lit(0)).alias("n_start"), F.coalesce("n_end", F.lit(0)).alias("n_end"))
+    w = Window.partitionBy(*g).orderBy("bin")  # n_bins rows a group
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -65,6 +64,29 @@ def interval_bins(df: DataFrame, spec: BinSpec, group_cols: list[str] | None = N
             .withColumn("total", F.sum("n_start").over(whole)))
 
 
+def interval_bins(df: DataFrame, spec: BinSpec, group_cols: list[str] | None = None) -> DataFrame:
+    """Columns: group..., ``bin, n_start, n_end, ends_le, starts_ge, total``."""
+    g = list(group_cols or [])
+    keys = (df.select(*g).distinct() if g else df.sparkSession.range(1).select())
+    dense = keys.select(*g, F.explode(F.sequence(F.lit(0), F.lit(spec.n_bins - 1))).alias("bin"))
+    return _cumulated(dense, _counts(df, g, _bin("start_us", spec), _bin("end_us", spec)), g, [])
+
+
+def grouped_interval_bins(df: DataFrame, group_cols: list[str], n_bins: int) -> DataFrame:
+    """A2 with an origin and a width of each group's own: group...,
+    ``origin_us, width_us, bin, n_start, n_end, ends_le, starts_ge, total``."""
+    g = list(group_cols)
+    span = F.col("_e") - F.col("origin_us") + 1
+    specs = df.groupBy(*g).agg(F.min("start_us").alias("origin_us"), F.max("end_us").alias("_e")) \
+        .withColumn("width_us", F.call_function("div", span + (n_bins - 1), F.lit(n_bins).cast("bigint"))).drop("_e")
+
+    def place(c):
+        return F.call_function("div", F.col(c) - F.col("origin_us"), F.col("width_us")).cast("int")
+
+    dense = specs.select(*g, "origin_us", "width_us", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    return _cumulated(dense, _counts(df.join(specs, g), g, place("start_us"), place("end_us")), g, ["origin_us", "width_us"])
+
+
 def overlap_count_bound(queries: DataFrame, bins: DataFrame, spec: BinSpec, delta_us: int, k: int,
                         group_cols: list[str] | None = None) -> DataFrame:
     """Per query row (``id, start_us, end_us`` widened by delta, plus the

@@ -330,6 +330,10 @@ def q_interval_bins(spark, sf):
     return B.interval_bins(s, spec)
 
 
+def q_grouped_interval_bins(spark, sf):
+    return B.grouped_interval_bins(fx.sessions(spark, sf), ["user_id"], 8)
+
+
 def q_overlap_count_bound(spark, sf):
     s = fx.sessions(spark, sf)
     spec = B.bin_spec(s, N_BINS)
@@ -569,6 +573,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cell_assign_within": q_cell_assign_within,
     "tile_lookup": q_tile_lookup,
     "interval_bins": q_interval_bins,
+    "grouped_interval_bins": q_grouped_interval_bins,
     "overlap_count_bound": q_overlap_count_bound,
     "st_knn_count": q_st_knn_count,
     "time_periods": q_time_periods,

@@ -297,6 +297,15 @@ SQL: dict[str, str] = {
         SELECT pc.id, numbered.tile, pc.level FROM pc JOIN numbered
           ON numbered.level = pc.level AND numbered.cx = pc.cx AND numbered.cy = pc.cy"""),
     "interval_bins": with_base(BINS + " SELECT bin, n_start, n_end, ends_le, starts_ge, total FROM cum"),
+    "grouped_interval_bins": with_base("""gs AS (SELECT user_id, min(start_us) AS o, max(end_us) - min(start_us) + 1 AS span
+                                                 FROM sessions GROUP BY user_id),
+        sp AS (SELECT user_id, o AS origin_us, (span + 7) // 8 AS width_us, CAST(b AS INTEGER) AS bin FROM gs, range(0, 8) t(b))
+        SELECT sp.user_id, origin_us, width_us, bin,
+               count(*) FILTER ((start_us - origin_us) // width_us = bin) AS n_start,
+               count(*) FILTER ((end_us - origin_us) // width_us = bin) AS n_end,
+               count(*) FILTER ((end_us - origin_us) // width_us <= bin) AS ends_le,
+               count(*) FILTER ((start_us - origin_us) // width_us >= bin) AS starts_ge, count(*) AS total
+        FROM sp JOIN sessions s ON s.user_id = sp.user_id GROUP BY ALL"""),
     "overlap_count_bound": with_base(BINS + f""",
         q AS (SELECT id, t - {H} AS a, t + {H} AS c FROM pl),
         qb AS (SELECT id, a, c, least(greatest((a - s0) // w, 0), {C.N_BINS - 1}) AS ba,
