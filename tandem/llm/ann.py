@@ -118,7 +118,6 @@ def build_graph(ids: np.ndarray, vectors: np.ndarray, links: int = LINKS) -> tup
     the lowest has 2 * links places a node, every other links)."""
     unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
     level = levels_of(ids, links)
-    level[np.argmax(level)] = max(level.max(), 0)
     flat = []
     for k in range(int(level.max()) + 1):
         nodes = np.flatnonzero(level >= k)
@@ -194,7 +193,7 @@ def _build(links: int):
         rows = table.sort_by("rep")
         ids = rows["rep"].to_numpy()
         vectors = np.array(rows["v"].combine_chunks().flatten()).reshape(len(ids), -1)
-        members = [m for m in rows["members"].to_pylist()]
+        members = rows["members"].to_pylist()
         width = max(len(m) for m in members)
         grid = np.full((len(ids), width), -1, np.int64)
         for k, m in enumerate(members):
