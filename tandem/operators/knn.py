@@ -408,13 +408,19 @@ def right_cells(right_p: DataFrame, plan: KnnPlan, levels: DataFrame, prefix: st
     few cells each, whatever its size.  ``_full`` says which R rows a key is
     for: those of exactly this level (true), or deeper ones, which come down
     to the S row's own level (false)."""
-    g, p = plan.grid, prefix
+    p = prefix
     # tables of at most join_max_level + 1 rows (a proven bound)
     here = explode_levels(right_p, plan.join_max_level).where(F.col("_lv") <= F.col("_own"))
     same = here.join(F.broadcast(levels), "_lv").withColumn("_full", F.lit(True))
+    if not plan.right_stats.avg_extent:  # only points: no row has a coarser level of its own
+        return _in_cells(same.drop("_own"), plan, p)
     own = right_p.withColumn("_lv", F.col("_own")).withColumn("_full", F.lit(False)) \
         .where(F.col("_own") < plan.join_max_level)
-    out = same.unionByName(own.select(*same.columns)).drop("_own")
+    return _in_cells(same.unionByName(own.select(*same.columns)).drop("_own"), plan, p)
+
+
+def _in_cells(out: DataFrame, plan: KnnPlan, p: str) -> DataFrame:
+    g = plan.grid
     return (out
             .withColumn("_cx", F.explode(F.sequence(g.cx(F.col(p + "minx"), F.col("_lv")),
                                                     g.cx(F.col(p + "maxx"), F.col("_lv")))))
@@ -430,10 +436,12 @@ def left_cells(left_p: DataFrame, plan: KnnPlan, own_levels: DataFrame, prefix:
     bins of the interval widened by delta, at their own level (``_probe`` true)
     and at the coarser own levels of S rows (false)."""
     g, p, d = plan.grid, prefix, F.col("_d")
-    above = explode_levels(left_p, plan.join_max_level, "_own").where(F.col("_own") < F.col("_lv"))
-    coarser = above.join(F.broadcast(own_levels), "_own").withColumn("_lv", F.col("_own")) \
-        .withColumn("_probe", F.lit(False)).drop("_own")
-    out = left_p.withColumn("_probe", F.lit(True)).unionByName(coarser)
+    out = left_p.withColumn("_probe", F.lit(True))
+    if plan.right_stats.avg_extent:
+        above = explode_levels(left_p, plan.join_max_level, "_own").where(F.col("_own") < F.col("_lv"))
+        coarser = above.join(F.broadcast(own_levels), "_own").withColumn("_lv", F.col("_own")) \
+            .withColumn("_probe", F.lit(False)).drop("_own")
+        out = out.unionByName(coarser)
     return (out
             .withColumn("_cx", F.explode(F.sequence(g.cx(F.col(p + "minx") - d, F.col("_lv")),
                                                     g.cx(F.col(p + "maxx") + d, F.col("_lv")))))
