@@ -35,7 +35,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: the best segmentation, the n best scores, and the round trip."""
+    """Operator 8: the n best segmentations, their scores, and the round trip."""
     return sentencepiece_nbest.encode_columns(docs)
 
 

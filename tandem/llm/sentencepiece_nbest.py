@@ -16,11 +16,14 @@ spaces and what follows it).  For every distinct unit:
 A text's n best segmentations change only units among the n - 1 occurrences
 with the smallest such loss.  Those units are searched by A*, backward from
 their end, with the forward Viterbi scores as exact heuristics, and their
-alternatives are combined into the n best of the text.
+alternatives are combined into the n best of the text.  A row holds the piece
+ids of the best segmentation and, for each of the n, the runs of those ids that
+it replaces; ``segmentations`` writes all n out.
 
 Defined results: null or empty text has no pieces, score 0 and itself as its
 only segmentation; a text has fewer than n segmentations if its lattice has.
-Equal scores go to the path whose pieces, read from the end, are longer first.
+The best among equal scores is the path whose pieces, read from the end, are
+longer first; those after it are distinct, and the same in every run.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Rolling, key_text, ranges, slabs
@@ -177,7 +181,10 @@ class Codec:
     # ---------------------------------------------------------------- texts
     def encode(self, data: np.ndarray, offsets: np.ndarray):
         """For texts end to end: (ids, offsets of each text's ids, best scores,
-        n-best scores as a list of lists, n-best changes as a list of lists)."""
+        n-best scores as a list of lists, n-best changes as a list of lists).
+
+        A change is (start, length, ids): the ids put in place of ``length`` ids
+        of the text's best segmentation from ``start``."""
         n = len(offsets) - 1
         size = offsets[1:] - offsets[:-1]
         led_offsets = np.r_[0, np.cumsum(size + (size > 0))]
@@ -202,7 +209,8 @@ class Codec:
         pieces = np.diff(at)[number]
         flat = ids[ranges(at[:-1][number], pieces)]
         unit_start = np.searchsorted(text, np.arange(n + 1))
-        text_at = np.r_[0, np.cumsum(pieces)][unit_start]
+        piece_at = np.r_[0, np.cumsum(pieces)]
+        text_at = piece_at[unit_start]
         score = np.bincount(text, best[number], n)
         scores, changes = [], []
         unit_loss = loss[number]
@@ -211,7 +219,8 @@ class Codec:
             s, c = self._n_best(float(score[t]), unit_loss[a:b],
                                 lambda k, a=a: led[starts[a + k]:starts[a + k] + lengths[a + k]].tobytes())
             scores.append(s)
-            changes.append(c)
+            changes.append([[(int(piece_at[a + k] - text_at[t]), int(pieces[a + k]), new) for k, new in changed]
+                            for changed in c])
         return flat, text_at, score, scores, changes
 
     def _n_best(self, score: float, loss: np.ndarray, unit_at):
@@ -235,29 +244,54 @@ class Codec:
                             key=lambda c: c[0])[:self.n_best]
         return [score - lost for lost, _ in combos], [changed for _, changed in combos]
 
+    def spelled(self, ids) -> bytes:
+        return b"".join(map(self.piece_of.__getitem__, ids))
+
     def decode(self, ids) -> bytes:
         """The text of a list of ids: their pieces without the leading space."""
-        return b"".join(map(self.piece_of.__getitem__, ids))[1:]
+        return self.spelled(ids)[1:]
+
+    def round_trip(self, text: bytes, ids: list[int], changes) -> bool:
+        """Whether every segmentation gives the text back: the best one does, and
+        what the others put in spells what they replace."""
+        return self.decode(ids) == text and all(
+            self.spelled(new) == self.spelled(ids[start:start + length])
+            for changed in changes for start, length, new in changed)
 
 
-NEW = "n_pieces long, score double, nbest_scores array<double>, round_trip boolean, piece_ids array<int>"
+NEW = ("n_pieces long, score double, nbest_scores array<double>, round_trip boolean, piece_ids array<int>, "
+       "nbest_changes array<array<struct<start:int,length:int,ids:array<int>>>>")
 ADDED = [c.split()[0] for c in NEW.split(", ")]
 
 
+def _lists(values: list, inner=None) -> pa.ListArray:
+    """A list array of lists; their values end to end go through ``inner``."""
+    flat = [x for v in values for x in v]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32)),
+                                    inner(flat) if inner else pa.array(flat, pa.int32()))
+
+
+def _changes(flat: list) -> pa.StructArray:
+    start, length, ids = zip(*flat) if flat else ((), (), ())
+    return pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(length, pa.int32()), _lists(ids)],
+                                      names=["start", "length", "ids"])
+
+
 def _encode(vocab: Pieces, n_best: int):
     """The rows as they are, and the columns of ``NEW`` after them."""
 
     def run(batches):
         codec = Codec(vocab, n_best)
         for rows, data, offsets in slabs(batches):
-            flat, at, score, scores, _ = codec.encode(data, offsets)
+            flat, at, score, scores, changes = codec.encode(data, offsets)
             ids = flat.tolist()
-            same = [codec.decode(ids[at[t]:at[t + 1]]) == data[offsets[t]:offsets[t + 1]].tobytes()
+            same = [codec.round_trip(data[offsets[t]:offsets[t + 1]].tobytes(), ids[at[t]:at[t + 1]], changes[t])
                     for t in range(rows.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [*rows.columns, pa.array(np.diff(at)), pa.array(score),
                  pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_()),
-                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))],
+                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat)),
+                 _lists(changes, lambda ranks: _lists(ranks, _changes))],
                 names=[*rows.schema.names, *ADDED])
 
     return run
@@ -265,8 +299,9 @@ def _encode(vocab: Pieces, n_best: int):
 
 def encode_columns(documents: DataFrame, model_file: str = VOCABULARY, n_best: int = N_BEST) -> DataFrame:
     """``documents`` with all columns and the encoding's: n_pieces, score,
-    nbest_scores, round_trip (decoding gives the text back) and piece_ids of the
-    best segmentation.  Columns of those names give way."""
+    nbest_scores, round_trip (decoding any of the n gives the text back), piece_ids
+    of the best segmentation and nbest_changes: for each of the n, which runs
+    of piece_ids it replaces by which ids.  Columns of those names give way."""
     rows = documents.drop(*ADDED)
     schema = T.StructType(rows.schema.fields + T.StructType.fromDDL(NEW).fields)
     return rows.mapInArrow(_encode(load_pieces(model_file), n_best), schema)
@@ -277,6 +312,22 @@ def encode_documents(documents: DataFrame, model_file: str = VOCABULARY, n_best:
     return encode_columns(key_text(documents), model_file, n_best).drop("text")
 
 
+def segmentations(encoded: DataFrame) -> DataFrame:
+    """doc_id, rank (from 1), score, piece_ids: a row per segmentation of frames
+    that ``encode_columns`` gave."""
+
+    def put(ids, c):
+        after = c["start"] + c["length"]
+        return F.concat(F.slice(ids, 1, c["start"]), c["ids"], F.slice(ids, after + 1, F.greatest(
+            F.size(ids) - after, F.lit(0))))
+
+    ranked = encoded.select("doc_id", "piece_ids", F.posexplode(
+        F.arrays_zip("nbest_scores", "nbest_changes")).alias("rank", "one"))
+    # from the last change to the first, so that the starts hold
+    return ranked.select("doc_id", (F.col("rank") + 1).alias("rank"), F.col("one.nbest_scores").alias("score"),
+                         F.aggregate(F.reverse("one.nbest_changes"), F.col("piece_ids"), put).alias("piece_ids"))
+
+
 def _decode(vocab: Pieces):
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 

@@ -223,6 +223,36 @@ def test_round_trip(spark):
     assert back == {r.doc_id: r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
 
 
+def test_all_segmentations(spark, tmp_path):
+    """Ids of every rank: distinct, spelling the text, with the scores of brute force, and its ids where no score ties."""
+    codec = sentencepiece_nbest.Codec(lattice.load_pieces(sentencepiece_nbest.VOCABULARY))
+    texts = [None, "", "a", "hello world", "the then thé  a\n b", "1234 日本 ing", "the the the the the",
+             "unbelievable reconsiderations " * 3, "internationalization " + "y" * 90 + " end"]
+    encoded = QUERIES["op8_sentencepiece"](spark, tables(spark, tmp_path, list(enumerate(texts))))
+    assert all(r.round_trip for r in encoded.collect())
+    ranked = sentencepiece_nbest.segmentations(encoded)
+    assert {(r.doc_id, r.text) for r in sentencepiece_nbest.decode_documents(ranked).collect()} \
+        == {(t, text or "") for t, text in enumerate(texts)}
+    got = {}
+    for r in sorted(ranked.collect(), key=lambda r: (r.doc_id, r.rank)):
+        got.setdefault(r.doc_id, []).append((r.score, tuple(r.piece_ids)))
+    for t, text in enumerate(texts):
+        want = brute_n_best(codec, (text or "").encode(), 5)
+        assert [s for s, _ in got[t]] == [s for s, _ in want[:4]]
+        assert len({ids for _, ids in got[t]}) == len(got[t])
+        assert all(s == sum(codec.score[k] for k in ids) for s, ids in got[t])
+        scores = [s for s, _ in want]
+        assert all(a == b for a, b in zip(got[t], want) if scores.count(a[0]) == 1)
+
+
+def test_round_trip_checks_every_rank():
+    codec = sentencepiece_nbest.Codec(lattice.load_pieces(sentencepiece_nbest.VOCABULARY))
+    flat, _, _, _, changes = codec.encode(*buffers(pa.array(["hello world"])))
+    assert codec.round_trip(b"hello world", flat.tolist(), changes[0])
+    (start, length, ids), = changes[0][1]
+    assert not codec.round_trip(b"hello world", flat.tolist(), [[], [(start, length, ids[:-1])]])
+
+
 @pytest.mark.parametrize("name", ["op2_html_extract", "op8_sentencepiece", "op10_language_id"])
 def test_empty_tables(spark, tmp_path, name):
     assert QUERIES[name](spark, tables(spark, tmp_path)).collect() == []
