@@ -12,9 +12,12 @@
 Everything is DataFrame code.  Joins carry no hint: Catalyst broadcasts the
 test side where its size allows it and shuffles it otherwise.
 
-Defined results: null or empty text has no words; items and rows repeated under
-one id count once; an item without id or words is no item; a document without
-id is searched like any other.
+Rows are numbered and written first: postings and candidates go by the row's
+number, so each row is decided by its own text, whatever its id.
+
+Defined results: null or empty text has no words; items repeated under one id
+count once; an item without id or words is no item; a document without id, or
+with the id of another, is searched like any other.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: what separates words (fixed value of the contract)
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+ROW = "__row"
 #: terms of a window whose lists are intersected before the exact check
 PROBES = 3
 
@@ -38,6 +42,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, BETWEEN_WORDS), "")
 
 
+def numbered(documents: DataFrame) -> DataFrame:
+    """The rows as they are and ``ROW``, written, so that every reader sees the same numbers."""
+    return written(documents.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """win (its words joined by a space), terms, items (ids as strings)."""
     read = items.where("item_id is not null").select(
@@ -77,34 +86,35 @@ def intersect(index: DataFrame, probes: DataFrame, n_probes: int = PROBES) -> Da
         due = starts.join(nxt.select("win", "term", "off"), "win", "left")
         met = due.alias("a").join(
             lists.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("pos").alias("p")),
-            (F.col("term") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))
+            (F.col("term") == F.col("t")) & (F.col("doc_id") == F.col("d"))
             & (F.col("start") + F.col("off") == F.col("p")), "left")
         # a window of fewer terms has no probe of this rank: it passes
         starts = met.where("term is null or p is not null").select("win", "doc_id", "start")
     return starts
 
 
-def find_occurrences(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, w (its words), hits: array of (start, terms, items), confirmed."""
-    docs = key_text(documents)
+def find_occurrences(rows: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``ROW``, doc_id, text, w (its words), n_words, hits: array of (start, terms,
+    items), confirmed, for each row of ``rows`` (of ``numbered``)."""
+    docs = rows.select(F.col(ROW).alias("doc_id"), "text")
     windows = written(item_windows(items, window), "windows")
     vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
     index = written(build_index(docs, vocabulary), "postings")
     probes = written(rarest_terms(windows, index), "probes")
     starts = intersect(index, probes).join(windows, "win").select(
         "doc_id", F.struct("start", "terms", "items").alias("at"))
-    due = starts.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("at").alias("due"))
-    met = docs.join(due, F.col("doc_id").eqNullSafe(F.col("d")), "left") \
-        .select("doc_id", "text", words(F.col("text")).alias("w"), "due")
+    due = starts.groupBy(F.col("doc_id").alias(ROW)).agg(F.collect_set("at").alias("due"))
+    met = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text").join(due, ROW, "left") \
+        .select(ROW, "doc_id", "text", words(F.col("text")).alias("w"), "due")
     same = F.filter("due", lambda c: F.slice("w", c.start + 1, F.size(c.terms)) == c.terms)
-    return met.select("doc_id", "text", "w", F.size("w").alias("n_words"),
+    return met.select(ROW, "doc_id", "text", "w", F.size("w").alias("n_words"),
                       F.coalesce(same, F.expr("array()")).alias("hits"))
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids), spans (start, length): one row
     per document, contaminated or not."""
-    found = find_occurrences(documents, items, window)
+    found = find_occurrences(numbered(key_text(documents)), items, window)
     spans = F.transform("hits", lambda h: F.struct(h.start.alias("start"), F.size(h.terms).alias("length")))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(
         h.start, h.start + F.size(h.terms) - 1))))
@@ -115,9 +125,10 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW)
 
 
 def drop_contaminated(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``documents`` (all columns) without those that hold a window of an item."""
-    gone = decontaminate(documents, items, window).where("n_hit > 0").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """``documents`` (all columns) without the rows that hold a window of an item."""
+    rows = numbered(documents)
+    gone = find_occurrences(rows, items, window).where(F.size("hits") > 0).select(ROW)
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def proximity_matches(index: DataFrame, items: DataFrame, within: int) -> DataFrame:

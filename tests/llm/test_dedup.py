@@ -97,6 +97,32 @@ def test_contamination(spark, folder):
     assert got == {d: (n, h, len(i), sha(",".join(i)), h > 0) for d, (n, h, i) in want.items()}
 
 
+def test_rows_are_dropped_by_their_own_text(spark, tmp_path):
+    """A hit row takes no clean row of its id, null or repeated, along."""
+    leak, clean = prose(9) + " the test item of ten words in all is here ok", "nothing to see " * 20
+    rows = [(None, leak), (None, clean), (None, None), (7, clean), (7, leak), (7, leak), (8, leak), (9, clean)]
+    path = tables(spark, tmp_path, rows, items=[(1, "the test item of ten words in all is here")])
+    docs, items = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "benchmark"))
+    kept = decontam.drop_contaminated(docs, items)
+    assert kept.schema == docs.schema
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted(
+        (str(d), str(t)) for d, t in rows if t != leak)
+    found = decontam.decontaminate(docs, items).collect()
+    assert sorted((str(r.doc_id), r.n_hit) for r in found) == sorted((str(d), 10 if t == leak else 0) for d, t in rows)
+
+
+def test_candidates_of_rows_without_id_stay_apart(spark, tmp_path):
+    """Postings and candidates have a key per row, so rows without id are no hot key and meet only themselves."""
+    item = "the test item of ten words in all is here"
+    path = tables(spark, tmp_path, [(None, item)] * 30, items=[(1, item)])
+    docs, items = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = decontam.numbered(docs)
+    windows = decontam.item_windows(items)
+    index = decontam.build_index(rows.select(rows[decontam.ROW].alias("doc_id"), "text"),
+                                 windows.selectExpr("explode(terms) term"))
+    assert decontam.intersect(index, decontam.rarest_terms(windows, index)).count() == 30
+
+
 def test_contamination_is_native(spark, folder):
     plan = QUERIES["op5_decontamination"](spark, folder[0])._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct"))
