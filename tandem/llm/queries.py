@@ -1,7 +1,8 @@
 """Registered queries of the subpackage and, where SQL can state the same
 result, their DuckDB SQL."""
 
-from . import ann, decontam, html_extract, langid, line_dedup, minhash, quality, sentencepiece_nbest, suffix_dedup, toxicity
+from . import (ann, conversation_repair, decontam, html_extract, langid, line_dedup, minhash, quality,
+               sentencepiece_nbest, suffix_dedup, toxicity)
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_nbest.op8_sentencepiece,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": langid.op10_language_id,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
 }
 
 SQL = {
@@ -21,4 +23,5 @@ SQL = {
     "op4_suffix_dedup": suffix_dedup.SQL,
     "op5_decontamination": decontam.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
 }
