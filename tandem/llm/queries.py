@@ -2,7 +2,7 @@
 result, their DuckDB SQL."""
 
 from . import (ann, conversation_repair, decontam, html_extract, langid, line_dedup, minhash, quality,
-               sentencepiece_nbest, suffix_dedup, toxicity)
+               sentencepiece_nbest, suffix_dedup, toxicity, whitening)
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": langid.op10_language_id,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 SQL = {
