@@ -1,7 +1,7 @@
 """Registered queries of the subpackage and, where SQL can state the same
 result, their DuckDB SQL."""
 
-from . import (ann, conversation_repair, decontam, html_extract, langid, line_dedup, minhash, quality,
+from . import (ann, conversation_repair, decontam, embedding_dedup, html_extract, langid, line_dedup, minhash, quality,
                sentencepiece_nbest, suffix_dedup, toxicity, whitening)
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_whitening": whitening.op12_whitening,
+    "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op5_decontamination": decontam.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op11_conversation_repair": conversation_repair.SQL,
+    "op13_embedding_dedup": embedding_dedup.SQL,
 }
