@@ -197,14 +197,18 @@ def blocked(assigned: DataFrame, block: int = BLOCK) -> DataFrame:
     packed = F.aggregate(
         "lists", F.expr("cast(array() as array<struct<home:int,first:bigint,blocks:bigint,filled:bigint>>)"),
         lambda done, x: F.concat(done, F.array(_placed(done, x, block))))
-    lists = lists.select("label", F.map_from_entries(F.transform(
-        packed, lambda p: F.struct(p["home"], F.struct(p["first"], p["blocks"])))).alias("places"))
+    # places by list number: an array is read at a position, a map is searched; null where a label lacks the list
+    places = F.map_from_entries(F.transform(packed, lambda p: F.struct(p["home"], F.struct(p["first"], p["blocks"]))))
+    lists = lists.withColumn("known", places).select(
+        "label", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("known"))), lambda c: F.col("known")[c]).alias("places"),
+        F.array_max(F.transform(F.map_values("known"), lambda p: p["first"] + p["blocks"] - 1)).alias("last"))
     placed = assigned.join(lists, "label")
-    own = F.col("places")[F.col("home")]
+    own = F.get("places", F.col("home"))
     # a list of several blocks deals its nodes by hash
     place = own["first"] + F.pmod(F.xxhash64("node"), own["blocks"])
-    met = F.flatten(F.transform(F.filter("probes", lambda c: F.map_contains_key("places", c)), lambda c: F.sequence(
-        F.col("places")[c]["first"], F.col("places")[c]["first"] + F.col("places")[c]["blocks"] - 1)))
+    known = F.filter(F.transform("probes", lambda c: F.get("places", c)), lambda p: p.isNotNull())
+    met = F.flatten(F.transform(known, lambda p: F.sequence(p["first"], p["first"] + p["blocks"] - 1)))
+    met = F.when(F.col("place") < F.col("last"), met).otherwise(F.array().cast("array<bigint>"))
     targets = F.array_union(F.array(F.col("place")), F.filter(met, lambda b: b > F.col("place")))
     return placed.withColumn("place", place).select("label", "node", "many", "v", "home", "place", F.explode(targets).alias("block")) \
         .select("label", "block", (F.col("block") != F.col("place")).alias("guest"), "node", "many", "v", "home")
