@@ -63,6 +63,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.time import ceil_div, floor_div, overlaps
+from ..session import spread, stored
 from ..model import GEOM_COLUMNS, KEY_COLUMNS, check_frame, has_geometry, prefixed, side, with_segments
 from .filters import valid_rows
 from .stats import STAT_COLUMNS, Stats, global_stats
@@ -72,6 +73,7 @@ COUNT_BINS = 3            # M: consecutive count bins summed per probe
 EXTRA_LEVELS = 3          # levels below the density estimate, for skewed density
 MAX_LEVEL_CAP = 30        # cell numbers are ints
 REL_EPS = 1e-9            # bound inflation against rounding at cell edges
+ROLL_LEVELS = 6           # pyramid levels added up per shuffle
 LOCAL_CAP = 8             # refine the bound where the home cell holds <= 8 k rows
 
 KEYS = ["_lv", "_cx", "_cy", "_tb"]
@@ -214,6 +216,8 @@ def _stab_blocks(start: Column, end: Column, plan: KnnPlan) -> Column:
 
 
 def _pyramid_keys(right: DataFrame, plan: KnnPlan, lo: int, hi: int) -> DataFrame:
+    """(_lv, _cx, _cy, _tl, _b, _n) for levels lo..hi.  S rows are counted once, at
+    the deepest level; coarser levels are sums of those counts (``roll_up``)."""
     s = side(right)
     vx, vy = s.vertex()
     sb = floor_div(F.col("start_us"), plan.count_bin_us)
@@ -225,11 +229,40 @@ def _pyramid_keys(right: DataFrame, plan: KnnPlan, lo: int, hi: int) -> DataFram
         parts.append(_stab_blocks(F.col("start_us"), F.col("end_us"), plan))
     times = parts[0] if len(parts) == 1 else F.concat(*parts)
     # one generator over keys computed from the row (never a literal array)
-    keys = F.flatten(F.transform(_level_cells(vx, vy, plan, lo, hi), lambda c: F.transform(
-        times, lambda t: F.struct(c["_lv"].alias("_lv"), c["_cx"].alias("_cx"), c["_cy"].alias("_cy"),
-                                  t["_tl"].alias("_tl"), t["_b"].alias("_b")))))
-    return (right.select(F.inline(keys))
-            .groupBy("_lv", "_cx", "_cy", "_tl", "_b").agg(F.count(F.lit(1)).alias("_n")))
+    deepest = (right.select(plan.grid.cx(vx, hi).alias("_cx"), plan.grid.cy(vy, hi).alias("_cy"), F.inline(times))
+               .groupBy("_cx", "_cy", "_tl", "_b").agg(F.count(F.lit(1)).alias("_n")))
+    return roll_up(deepest, lo, hi)
+
+
+def roll_up(deepest: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Counts per cell of level ``hi`` -> counts per cell of levels lo..hi.
+
+    ``ROLL_LEVELS`` levels at a time: counts are dealt by their cell at the
+    coarsest of these levels, so each task holds whole subtrees (at most
+    4^ROLL_LEVELS cells per key) and adds them up without a further shuffle; the
+    coarsest level, a fraction of the rows, feeds the next step.  The rows added
+    up do not grow with the depth, as they would if every S row were exploded
+    to every level."""
+    out, top, counts = None, hi, deepest
+    while True:
+        coarsest = max(lo, top - ROLL_LEVELS)
+        far = top - coarsest
+        placed = counts.select("*", F.shiftright("_cx", far).alias("_ax"), F.shiftright("_cy", far).alias("_ay")) \
+            .repartition("_ax", "_ay", "_tl", "_b")
+        # distance above ``top``, computed from the row so that it is not a literal array
+        levels = F.sequence(F.col("_ax") * 0, F.col("_ax") * 0 + far)
+        sums = (placed.select("_ax", "_ay", "_tl", "_b", "_cx", "_cy", "_n", F.explode(levels).alias("_up"))
+                .select("_ax", "_ay", "_tl", "_b", (F.lit(top) - F.col("_up")).alias("_lv"),
+                        F.call_function("shiftright", "_cx", "_up").alias("_cx"),
+                        F.call_function("shiftright", "_cy", "_up").alias("_cy"), "_n")
+                .groupBy("_ax", "_ay", "_tl", "_b", "_lv", "_cx", "_cy").agg(F.sum("_n").alias("_n"))
+                .select("_lv", "_cx", "_cy", "_tl", "_b", "_n"))
+        fresh = sums if out is None else sums.where(F.col("_lv") < top)
+        out = fresh if out is None else out.unionByName(fresh)
+        if coarsest == lo:
+            return out
+        counts = sums.where(F.col("_lv") == coarsest).drop("_lv")
+        top = coarsest
 
 
 def _with_base_cell(df: DataFrame, plan: KnnPlan) -> DataFrame:
@@ -535,29 +568,25 @@ def _split_heavy(right: DataFrame, right_once: DataFrame, plan: KnnPlan, keep: i
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filter: Column | None = None,
-                    need: int | None = None, copies_done: bool = False) -> DataFrame:
+                    need: int | None = None, copies_done: bool = False, store: bool = False) -> DataFrame:
     """Rounds 1 and 2: every (r, s) pair that can be among r's k nearest,
-    each pair once, with ``dist``.  Columns ``l_*``, ``r_*``, ``dist``."""
+    each pair once, with ``dist``.  Columns ``l_*``, ``r_*``, ``dist``.
+
+    ``store``: R with its bounds is written once (shared folder) and read for the
+    cells and the list of levels, instead of running round 1 for each."""
     # counts and the local refinement stay valid with copies (copies are real
     # candidates); only the pair generation of round 2 needs them removed
-    # (k of each, and as many more as a pair filter can reject; all of them when
-    # that number is not known)
+    # (k of each, and as many more as a pair filter can reject)
     keep = plan.k if need is None else need
-    right_once = with_segments(right if copies_done or keep < 0 else dedup_copies(right, keep))
-    left_seg = with_segments(left)
-    lside, rside = side(left_seg, "l_"), side(right_once, "r_")
-    if need is None:
-        bounds = knn_bound(left, right, plan)
-    elif need < 0:  # no count can be trusted: every row unbounded
-        bounds = left.select("id").where(F.lit(False)).withColumn("bound", F.lit(None).cast("double"))
-    else:
-        bounds = knn_bound(left, right, plan, need=need)
-    heavy = None if need is not None and need < 0 else \
-        _split_heavy(right, right_once, plan, plan.k if need is None else need)
+    right_once = with_segments(right if copies_done else dedup_copies(right, keep))
+    bounds = knn_bound(left, right, plan, need=need)
+    heavy = _split_heavy(right, right_once, plan, keep)
     right_join = heavy[0] if heavy else right_once
     extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    lb = (left_seg.join(bounds, "id", "left")
+    lb = (left.join(bounds, "id", "left")
           .withColumn("_lv", _level_for(F.col("bound"), plan, extent)))
+    lb = with_segments(stored(lb, "bounds") if store else lb)
+    lside, rside = side(lb, "l_"), side(right_once, "r_")
     lp = prefixed(lb, "l_").withColumnRenamed("l_bound", "_bound").withColumnRenamed("l__lv", "_lv") \
         .withColumn("_d", F.coalesce(F.col("_bound"), F.lit(0.0)))
     right_p = with_own_level(prefixed(right_join, "r_"), plan)
@@ -569,7 +598,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
     pairs = joined.where(time_match(plan) & bounded & owned_once(plan))
     pairs = pairs.withColumn("dist", G.geometry_distance(lside, rside))
     pairs = pairs.where(F.col("_bound").isNull() | (F.col("dist") <= F.col("_bound")))
-    out_cols = [f"l_{c}" for c in left_seg.columns if c != "segs"] + \
+    out_cols = [f"l_{c}" for c in left.columns] + \
         [f"r_{c}" for c in right_once.columns if c != "segs"] + ["dist"]
     if heavy:
         _, index, keys, levels, t0, span = heavy
@@ -615,10 +644,10 @@ def st_knn_join(left: DataFrame, right: DataFrame, k: int, delta_us: int, *,
     ``right_filter``: predicate on S's own columns, applied before anything
     (it shrinks the counts too).  ``pair_filter``: predicate over ``l_*`` /
     ``r_*`` columns applied to candidates before the top-k (e.g. self
-    exclusion ``l_id != r_id``).  Counts cannot see it, so pass
+    exclusion ``l_id != r_id``).  Counts cannot see it: with
     ``pair_filter_slack`` = the most S rows it can reject per R row (1 for
-    self exclusion) to keep the bound; without it every R row is unbounded
-    (exact, slower).
+    self exclusion) one round does; without it, R rows short of k survivors
+    come again with more neighbours (``operators.widening``; exact).
 
     Long output: ``l_*``, ``r_*``, ``dist``, ``rank``.  ``nested=True``: one row
     per R row with ``neighbours`` = array of structs ordered by rank.
@@ -627,35 +656,32 @@ def st_knn_join(left: DataFrame, right: DataFrame, k: int, delta_us: int, *,
     place, or malformed geometry are left out (``"drop"``) or fail the job with
     their id (``"fail"``).
 
-    The plan reads each input several times (statistics, counts, cell join).
-    For inputs that are expensive to derive (e.g. parsed from text),
-    ``checkpoint_inputs=True`` writes them once to the session's checkpoint
-    folder (``spark.checkpoint.dir``, shared on a cluster) and reads that.
+    The plan reads each input several times (statistics, counts, cell join), so
+    keys, envelopes, intervals and geometry are written once to the session's checkpoint
+    folder (``spark.checkpoint.dir``, shared on a cluster) and read from there.
+    ``checkpoint_inputs=True`` writes the other columns as well, for inputs that
+    are expensive to derive (e.g. parsed from text).
     """
     left, right = valid_rows(left, invalid), valid_rows(right, invalid)
     if right_filter is not None:
         right = right.where(right_filter)
     if checkpoint_inputs:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(left.sparkSession)
-        left, right = left.checkpoint(eager=True), right.checkpoint(eager=True)
-    plan, right_f = plan_for(left, right, k, delta_us, max_level, join_bin_us)
-    need = None
-    if pair_filter is not None:
-        need = -1 if pair_filter_slack is None else k + pair_filter_slack
+        left, right = stored(left, "left"), stored(right, "right")
+    # only keys and geometry go through the rounds; the rest joins the k best
+    slim, slim_r = ([c for c in KEY_COLUMNS + GEOM_COLUMNS if c in f.columns] for f in (left, right))
+    slim_left = stored(spread(left.select(*slim), "id"), "left")
+    slim_right = stored(spread(right.select(*slim_r), "id"), "right")
+    plan, right_f = plan_for(slim_left, slim_right, k, delta_us, max_level, join_bin_us)
     if pair_filter is None:
-        # only keys and geometry go through the rounds; the rest joins the k best
-        slim = [c for c in KEY_COLUMNS + GEOM_COLUMNS if c in left.columns]
-        slim_r = [c for c in KEY_COLUMNS + GEOM_COLUMNS if c in right.columns]
-        result = top_k(candidate_pairs(left.select(*slim), right_f.select(*slim_r), plan, None, need), k)
-        order = [f"l_{c}" for c in left.columns] + [f"r_{c}" for c in right.columns] + ["dist", "rank"]
-        for frame, kept, p in ((left, slim, "l_"), (right, slim_r, "r_")):
-            rest = [c for c in frame.columns if c not in kept]
-            if rest:
-                result = result.join(prefixed(frame.select("id", *rest), p), p + "id")
-        result = result.select(*order)
+        result = top_k(candidate_pairs(slim_left, right_f, plan, store=True), k)
     else:
-        result = top_k(candidate_pairs(left, right_f, plan, pair_filter, need), k)
+        result = _filtered(left, right, slim_left, right_f, plan, pair_filter, pair_filter_slack)
+    order = [f"l_{c}" for c in left.columns] + [f"r_{c}" for c in right.columns] + ["dist", "rank"]
+    for frame, p in ((left, "l_"), (right, "r_")):
+        rest = [c for c in frame.columns if p + c not in result.columns]
+        if rest:
+            result = result.join(prefixed(frame.select("id", *rest), p), p + "id")
+    result = result.select(*order)
     if how == "left":
         result = prefixed(left, "l_").join(result.drop(*[f"l_{c}" for c in left.columns if c != "id"]),
                                            "l_id", "left")
@@ -664,6 +690,18 @@ def st_knn_join(left: DataFrame, right: DataFrame, k: int, delta_us: int, *,
     return nest(result, left.columns) if nested else result
 
 
+def _filtered(left, right, slim_left, slim_right, plan: KnnPlan, pair_filter: Column, slack: int | None) -> DataFrame:
+    from . import widening as WD
+    k = plan.k
+    if slack is None:
+        return WD.filtered_nearest(left, right, slim_left, slim_right, plan, k, pair_filter)
+    met = candidate_pairs(slim_left, slim_right, plan, None, k + slack, store=True)
+    if WD.resolves(pair_filter, met):
+        return top_k(met.where(pair_filter), k)
+    # at most the slack is rejected: k of the k + slack nearest remain
+    return top_k(WD.judged(top_k(met, k + slack), left, right, pair_filter).where("ok").drop("ok"), k)
+
+
 def nest(result: DataFrame, left_columns: list[str]) -> DataFrame:
     """One row per left row, neighbours ordered by rank."""
     lcols = [f"l_{c}" for c in left_columns if c != "id"]

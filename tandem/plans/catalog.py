@@ -410,6 +410,13 @@ def q_st_knn_join_filtered(spark, sf):
     return res.select("l_id", "r_id", "dist", "rank")
 
 
+def q_st_knn_join_widening(spark, sf):
+    """A predicate over payload columns that rejects six of seven candidates, no slack given."""
+    same = F.pmod("l_user_id", F.lit(7)) == F.pmod("r_user_id", F.lit(7))
+    res = KN.st_knn_join(fx.pts_left(spark, sf), fx.pts_right(spark, sf), K, DELTA, pair_filter=same)
+    return res.select("l_id", "r_id", "dist", "rank")
+
+
 def _shifted_right(spark, sf, x, y, t):
     """Views with other coordinates and instants."""
     pts = fx.pts_right(spark, sf)
@@ -587,6 +594,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cell_numbering": q_cell_numbering,
     "home_cell": q_home_cell,
     "st_knn_join_filtered": q_st_knn_join_filtered,
+    "st_knn_join_widening": q_st_knn_join_widening,
     "st_knn_join_copies": q_st_knn_join_copies,
     "st_knn_join_hot": q_st_knn_join_hot,
     "validate_wkt": q_validate_wkt,

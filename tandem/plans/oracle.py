@@ -354,6 +354,8 @@ SQL: dict[str, str] = {
         WHERE rn = 1"""),
     "st_knn_join_filtered": with_base(knn_pairs("pr", "pr", PT_TIME + " AND l.id <> r.id", PT_DIST, C.K)
                                       + " SELECT l_id, r_id, dist, rank FROM top"),
+    "st_knn_join_widening": with_base(knn_pairs("pl", "pr", PT_TIME + " AND l.user_id % 7 = r.user_id % 7", PT_DIST, C.K)
+                                      + " SELECT l_id, r_id, dist, rank FROM top"),
     "box_knn_join": with_base(knn_pairs("box_left", "box_right",
                                         f"r.start_us <= l.end_us + {D} AND r.end_us >= l.start_us - {D}", BOX_DIST, C.K)
                               + " SELECT l_id, r_id, dist, rank FROM top"),
