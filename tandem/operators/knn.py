@@ -673,7 +673,12 @@ def st_knn_join(left: DataFrame, right: DataFrame, k: int, delta_us: int, *,
     slim_right = stored(spread(right.select(*slim_r), "id"), "right")
     plan, right_f = plan_for(slim_left, slim_right, k, delta_us, max_level, join_bin_us)
     if pair_filter is None:
-        result = top_k(candidate_pairs(slim_left, right_f, plan, store=True), k)
+        from .containment import nearest_inside
+        settled, rest = nearest_inside(slim_left, right_f, plan)
+        result = top_k(candidate_pairs(rest, right_f, plan, store=True), k)
+        if settled is not None:
+            settled = settled.join(prefixed(slim_left, "l_"), "l_id").join(prefixed(right_f, "r_"), "r_id")
+            result = result.unionByName(settled.select(*result.columns))
     else:
         result = _filtered(left, right, slim_left, right_f, plan, pair_filter, pair_filter_slack)
     order = [f"l_{c}" for c in left.columns] + [f"r_{c}" for c in right.columns] + ["dist", "rank"]

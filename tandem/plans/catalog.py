@@ -494,6 +494,11 @@ def q_box_knn_join(spark, sf):
     return res.select("l_id", "r_id", "dist", "rank")
 
 
+def q_box_knn_join_overlapping(spark, sf):
+    """Boxes of whole user months: every purchase lies inside many of them."""
+    return KN.st_knn_join(fx.pts_left(spark, sf), fx.wide_boxes(spark, sf), K, DELTA).select("l_id", "r_id", "dist", "rank")
+
+
 def q_session_knn_join(spark, sf):
     """S intervals (user-day sessions, hours long) much longer than delta."""
     res = KN.st_knn_join(fx.pts_left(spark, sf), fx.sessions(spark, sf), K, HOUR)
@@ -600,6 +605,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_wkt": q_validate_wkt,
     "multipolygon": q_multipolygon,
     "box_knn_join": q_box_knn_join,
+    "box_knn_join_overlapping": q_box_knn_join_overlapping,
     "session_knn_join": q_session_knn_join,
     "vec_knn_join": q_vec_knn_join,
     "geom_knn_join": q_geom_knn_join,

@@ -359,6 +359,11 @@ SQL: dict[str, str] = {
     "box_knn_join": with_base(knn_pairs("box_left", "box_right",
                                         f"r.start_us <= l.end_us + {D} AND r.end_us >= l.start_us - {D}", BOX_DIST, C.K)
                               + " SELECT l_id, r_id, dist, rank FROM top"),
+    "box_knn_join_overlapping": with_base(f"""wide AS (SELECT min(id) AS id, min(x) AS minx, min(y) AS miny, max(x) AS maxx,
+            max(y) AS maxy, min(t) AS start_us, max(t) AS end_us FROM pr GROUP BY user_id, floor(t / {float(16 * DAYUS)})),
+        pb AS (SELECT id, x AS minx, y AS miny, x AS maxx, y AS maxy, t AS start_us, t AS end_us FROM pl), """
+        + knn_pairs("pb", "wide", f"r.start_us <= l.end_us + {D} AND r.end_us >= l.start_us - {D}", BOX_DIST, C.K)
+        + " SELECT l_id, r_id, dist, rank FROM top"),
     "session_knn_join": with_base("""pl2 AS (SELECT id, x AS minx, y AS miny, x AS maxx, y AS maxy, t AS start_us, t AS end_us
                                   FROM pl), """ + knn_pairs(
         "pl2", "sessions", f"r.start_us <= l.end_us + {H} AND r.end_us >= l.start_us - {H}", BOX_DIST, C.K)

@@ -70,6 +70,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(all_points(spark, sf_dir), MICROS_PER_DAY)
 
 
+def wide_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views per user over 16 days: boxes that overlap heavily."""
+    return _boxes(pts_right(spark, sf_dir), 16 * MICROS_PER_DAY)
+
+
 def long_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as intervals [first ship date, last ship date], no geometry
     (x = y = 0), id = l_orderkey."""
