@@ -87,40 +87,45 @@ def time_periods(df: DataFrame, alpha: int, beta: int, k: int, delta_us: int,
         "period int, p_start bigint, p_end bigint, n bigint")
 
 
-MAX_PERIODS = 100_000
-
-
-def period_cuts(periods: DataFrame) -> list[int]:
-    """Start instants of the periods, ascending.  ``time_periods`` makes at
-    most alpha + 1; a larger table is refused rather than collected."""
-    rows = periods.orderBy("p_start").select("p_start").limit(MAX_PERIODS + 1).collect()
-    if len(rows) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} periods; use fewer (alpha) periods")
-    return [r["p_start"] for r in rows]
-
-
-def period_of(t: Column, cuts: list[int]) -> Column:
-    """Index of the period holding instant t (clamped to the first/last)."""
-    arr = F.array(*[F.lit(int(c)) for c in cuts])
-    return F.greatest(F.size(F.filter(arr, lambda c: c <= t)) - 1, F.lit(0))
+def in_periods(df: DataFrame, periods: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Each row of ``df`` once per period ``[p_start, p_end)`` that its closed range
+    ``[start, end]`` meets, with ``period`` added: a binned range join, for a periods
+    table of any size (periods may leave gaps).
+
+    The bins have the periods' mean length, so the periods stand in at most two bins
+    each on average, and a row in about as many bins as periods it meets.  A pair that
+    shares several bins counts in the bin of its later start."""
+    spec = periods.agg(F.min("p_start").alias("lo"), F.max("p_end").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if spec["n"] == 0:
+        return df.withColumn("period", F.lit(None).cast(periods.schema["period"].dataType)).where(F.lit(False))
+    lo, hi = spec["lo"], spec["hi"]
+    width = max(1, (hi - lo) // spec["n"])
+
+    def bins(first, last):
+        return F.sequence(floor_div(first - F.lit(lo), width), floor_div(last - F.lit(lo), width))
+
+    p = periods.where("p_start < p_end").select(
+        F.col("period").alias("_period"), F.col("p_start").alias("_ps"), F.col("p_end").alias("_pe"),
+        F.explode(bins(F.col("p_start"), F.col("p_end") - 1)).alias("_bin"))
+    rows = df.withColumn("_a", start).withColumn("_c", end).where((F.col("_c") >= lo) & (F.col("_a") < hi))
+    rows = rows.withColumn("_bin", F.explode(bins(F.greatest("_a", F.lit(lo)), F.least("_c", F.lit(hi - 1)))))
+    met = rows.join(p, "_bin").where((F.col("_ps") <= F.col("_c")) & (F.col("_pe") > F.col("_a"))
+                                     & (floor_div(F.greatest("_a", "_ps") - F.lit(lo), width) == F.col("_bin")))
+    return met.select(*df.columns, F.col("_period").alias("period"))
 
 
 def periods_for_range(df: DataFrame, periods: DataFrame, delta_us: int = 0) -> DataFrame:
     """Every period ``[p_start, p_end)`` that a row's interval (widened by
-    delta) meets -> rows ``(id, period)``.  The cut list is a literal array."""
-    cuts = period_cuts(periods)
-    last_end = periods.agg(F.max("p_end")).first()[0]
-    a = F.col("start_us") - delta_us
-    c = F.col("end_us") + delta_us
-    meets = (c >= F.lit(cuts[0])) & (a < F.lit(last_end))
-    return (df.where(meets)
-            .select("id", F.explode(F.sequence(period_of(a, cuts), period_of(c, cuts))).alias("period")))
+    delta) meets -> rows ``(id, period)``."""
+    return in_periods(df.select("id", "start_us", "end_us"), periods, F.col("start_us") - delta_us,
+                      F.col("end_us") + delta_us).select("id", "period")
 
 
 def period_density(df: DataFrame, periods: DataFrame) -> DataFrame:
-    """Rows (by start) per microsecond of each period."""
-    cuts = period_cuts(periods)
-    counts = df.groupBy(period_of(F.col("start_us"), cuts).alias("period")).agg(F.count(F.lit(1)).alias("cnt"))
+    """Rows (by start) per microsecond of each period; rows that start in no
+    period do not count."""
+    counts = in_periods(df.select("start_us"), periods, F.col("start_us"), F.col("start_us")) \
+        .groupBy("period").agg(F.count(F.lit(1)).alias("cnt"))
     span = F.col("p_end") - F.col("p_start")
     return (periods.join(counts, "period", "left")
             .select("period", "p_start", "p_end", F.coalesce("cnt", F.lit(0)).alias("n"))
@@ -188,17 +193,12 @@ def quadrant_envelopes(cells: DataFrame, grid: G.Grid) -> DataFrame:
 
 def period_cell_assign(df: DataFrame, periods: DataFrame, grid: G.Grid, level: int) -> DataFrame:
     """D4 over adaptive periods: every (period, cell) a row's interval and
-    envelope meet -> ``(id, period, cx, cy)``.  The period cuts (<= alpha + 1)
-    are a literal array; rows outside all periods are dropped."""
-    cuts = period_cuts(periods)
-    last_end = periods.agg(F.max("p_end")).first()[0]
-    a, c = F.col("start_us"), F.col("end_us")
-    meets = (c >= F.lit(cuts[0])) & (a < F.lit(last_end))
-    return (df.where(meets)
-            .select("id", F.sequence(period_of(a, cuts), period_of(c, cuts)).alias("_ps"),
-                    F.sequence(grid.cx(F.col("minx"), level), grid.cx(F.col("maxx"), level)).alias("_xs"),
-                    F.sequence(grid.cy(F.col("miny"), level), grid.cy(F.col("maxy"), level)).alias("_ys"))
-            .select("id", F.explode("_ps").alias("period"), "_xs", "_ys")
+    envelope meet -> ``(id, period, cx, cy)``; rows outside all periods are dropped."""
+    met = in_periods(df.select("id", "minx", "miny", "maxx", "maxy", "start_us", "end_us"), periods,
+                     F.col("start_us"), F.col("end_us"))
+    return (met.select("id", "period",
+                       F.sequence(grid.cx(F.col("minx"), level), grid.cx(F.col("maxx"), level)).alias("_xs"),
+                       F.sequence(grid.cy(F.col("miny"), level), grid.cy(F.col("maxy"), level)).alias("_ys"))
             .select("id", "period", F.explode("_xs").alias("cx"), "_ys")
             .select("id", "period", "cx", F.explode("_ys").alias("cy")))
 

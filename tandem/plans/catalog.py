@@ -362,6 +362,16 @@ def q_periods_for_range(spark, sf):
     return TL.periods_for_range(fx.sessions(spark, sf), _periods(spark, sf))
 
 
+def q_periods_many(spark, sf):
+    """Events met by each period of 20 seconds over the table's time range (some 130 000 periods a
+    month); an event lasts 45 seconds."""
+    pts = fx.all_points(spark, sf)
+    span = pts.agg(F.min("start_us").alias("lo"), F.max("start_us").alias("hi"))
+    periods = span.select("lo", F.posexplode(F.sequence(F.col("lo"), F.col("hi"), F.lit(20_000_000)))).select(
+        F.col("pos").alias("period"), F.col("col").alias("p_start"), (F.col("col") + 20_000_000).alias("p_end"))
+    return TL.periods_for_range(pts.withColumn("end_us", F.col("start_us") + 45_000_000), periods)
+
+
 def q_group_envelope(spark, sf):
     pts = fx.all_points(spark, sf)
     grid = TL.grid_for(pts)
@@ -591,6 +601,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "time_periods": q_time_periods,
     "period_density": q_period_density,
     "periods_for_range": q_periods_for_range,
+    "periods_many": q_periods_many,
     "period_cell_assign": q_period_cell_assign,
     "group_envelope": q_group_envelope,
     "kth_distance": q_kth_distance,

@@ -321,6 +321,9 @@ SQL: dict[str, str] = {
         n / CAST(p_end - p_start AS DOUBLE) AS density FROM periods2"""),
     "periods_for_range": with_base(PERIODS + """ SELECT s.id, p.period FROM sessions s JOIN periods2 p
         ON s.start_us < p.p_end AND s.end_us >= p.p_start"""),
+    "periods_many": with_base("""lim AS (SELECT min(t) AS lo, max(t) AS hi FROM ev),
+        met AS (SELECT id, (t - lo) // 20000000 AS p0, least((t + 45000000 - lo) // 20000000, (hi - lo) // 20000000) AS p1 FROM ev, lim)
+        SELECT id, CAST(p AS INTEGER) AS period FROM met, generate_series(p0, p1) s(p)"""),
     "period_cell_assign": with_base(PERIODS + f""",
         sg AS (SELECT min(minx) AS x0, min(miny) AS y0,
                CASE WHEN greatest(max(maxx) - min(minx), max(maxy) - min(miny)) > 0

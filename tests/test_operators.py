@@ -123,3 +123,22 @@ def test_tsv_roundtrip_and_results(spark):
     geo = RS.geojson_collections(stored, right_has_geom=True).first()["geojson"]
     assert geo.startswith('{"type": "FeatureCollection"') and '"LineString"' in geo
     assert RS.sample_results(stored, 5, seed=3).count() == 1
+
+
+def test_periods_of_any_size_with_gaps_and_hot_spots(spark):
+    """Uneven periods (long, short, gaps) against brute force; rows outside all of them meet none."""
+    import numpy as np
+    rng = np.random.default_rng(12)
+    cuts = np.unique(np.concatenate([rng.integers(0, 10_000, 60), rng.integers(5000, 5050, 40)])).tolist()
+    periods = [(10 * i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if i % 9]
+    rows = [(i, 0.0, 0.0, 0.0, 0.0, int(s), int(s + w)) for i, (s, w) in enumerate(
+        zip(rng.integers(-500, 11_000, 300), rng.integers(0, 800, 300) * (rng.random(300) < .5)))]
+    P = spark.createDataFrame(periods, "period int, p_start bigint, p_end bigint")
+    R = spark.createDataFrame(rows, "id bigint, minx double, miny double, maxx double, maxy double, start_us bigint, end_us bigint")
+    for delta in (0, 25):
+        want = sorted((r[0], p[0]) for r in rows for p in periods if r[5] - delta < p[2] and r[6] + delta >= p[1])
+        assert sorted((x.id, x.period) for x in TL.periods_for_range(R, P, delta).collect()) == want
+    n = {p[0]: sum(p[1] <= r[5] < p[2] for r in rows) for p in periods}
+    assert {x.period: x.n for x in TL.period_density(R, P).collect()} == n
+    none = P.where("period < 0")
+    assert TL.periods_for_range(R, none).count() == TL.period_density(R, none).count() == 0
