@@ -66,6 +66,7 @@ from ..functions.time import ceil_div, floor_div, overlaps
 from ..session import spread, stored
 from ..model import GEOM_COLUMNS, KEY_COLUMNS, check_frame, has_geometry, prefixed, side, with_segments
 from .filters import valid_rows
+from .segments import SEGMENT_PAIRS, largest_pair, with_distance
 from .stats import STAT_COLUMNS, Stats, global_stats
 
 # Fixed values of the plan (tuning only; results do not depend on them).
@@ -596,7 +597,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, plan: KnnPlan, pair_filte
     env_d = G.envelope_distance(lside, rside)
     bounded = F.col("_bound").isNull() | (env_d <= F.col("_bound"))
     pairs = joined.where(time_match(plan) & bounded & owned_once(plan))
-    pairs = pairs.withColumn("dist", G.geometry_distance(lside, rside))
+    pairs = with_distance(pairs, lside, rside, largest_pair(left, right_once) if store else 0)
     pairs = pairs.where(F.col("_bound").isNull() | (F.col("dist") <= F.col("_bound")))
     out_cols = [f"l_{c}" for c in left.columns] + \
         [f"r_{c}" for c in right_once.columns if c != "segs"] + ["dist"]
@@ -718,9 +719,12 @@ def nest(result: DataFrame, left_columns: list[str]) -> DataFrame:
 
 
 def st_distance_join(left: DataFrame, right: DataFrame, max_dist: float, delta_us: int,
-                     join_bin_us: int | None = None, invalid: str = "drop") -> DataFrame:
+                     join_bin_us: int | None = None, invalid: str = "drop",
+                     segment_pairs: int = SEGMENT_PAIRS) -> DataFrame:
     """Every (r, s) with time overlap within delta and distance <= max_dist,
-    each once.  Every row has its own cell level; no count pyramid."""
+    each once.  Every row has its own cell level; no count pyramid.  Pairs of
+    geometries with more than ``segment_pairs`` segment pairs are compared by
+    ``operators.segments``."""
     left, right = valid_rows(left, invalid), valid_rows(right, invalid)
     plan, right_f = plan_for(left, right, 1, delta_us, None, join_bin_us, find_hot=False)
     left, right_f = with_segments(left), with_segments(right_f)
@@ -734,7 +738,7 @@ def st_distance_join(left: DataFrame, right: DataFrame, max_dist: float, delta_u
     lside, rside = side(left, "l_"), side(right_f, "r_")
     pairs = lc.join(rp, KEYS).where(
         (F.col("_probe") == F.col("_full")) & time_match(plan) & (G.envelope_distance(lside, rside) <= F.lit(float(max_dist))) & owned_once(plan))
-    pairs = pairs.withColumn("dist", G.geometry_distance(lside, rside)) \
+    pairs = with_distance(pairs, lside, rside, largest_pair(left, right_f), segment_pairs) \
         .where(F.col("dist") <= F.lit(float(max_dist)))
     return pairs.drop(*KEYS, "_d", "_probe", "_full", "l_segs", "r_segs")
 

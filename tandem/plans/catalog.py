@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import time as TM
 from ..functions.wkt import to_wkt, with_wkt_geometry
-from ..model import point_frame, with_row_id
+from ..model import point_frame, prefixed, with_row_id
 from ..operators import bins as B
 from ..operators import filters as FL
 from ..operators import joins as J
 from ..operators import knn as KN
+from ..operators import segments as SG
 from ..operators import stats as ST
 from ..operators import tiling as TL
 from ..session import shared_dir
@@ -372,6 +373,26 @@ def q_periods_many(spark, sf):
     return TL.periods_for_range(pts.withColumn("end_us", F.col("start_us") + 45_000_000), periods)
 
 
+def _shapes(spark, sf, event_type):
+    return geometry_frame(spark, sf).join(_ev(spark, sf).where(F.col("event_type") == event_type)
+                                          .select(F.col("event_id").alias("id")), "id").drop("x", "y")
+
+
+def q_area_distance_join(spark, sf):
+    """Polygons with a hole against multipolygons, through the join of segments."""
+    res = KN.st_distance_join(_shapes(spark, sf, "click"), _shapes(spark, sf, "error"), 6.0, 2 * HOUR, segment_pairs=0)
+    return res.select("l_id", "r_id", _round(F.col("dist")).alias("dist"))
+
+
+def q_trajectory_distance(spark, sf):
+    """Each user's line of purchases against the line of views, in time order."""
+    p, v = fx.user_lines(spark, sf, fx.LEFT_EVENT), fx.user_lines(spark, sf, fx.RIGHT_EVENT)
+    lp, rp = prefixed(p, "l_"), prefixed(v, "r_")
+    pairs = lp.join(rp, F.col("l_id") == F.col("r_id"))
+    found = SG.exact_distances(pairs, G.Side("l_", True), G.Side("r_", True))
+    return found.select(F.col("l_id").alias("user_id"), _round(F.col("dist")).alias("dist"))
+
+
 def q_group_envelope(spark, sf):
     pts = fx.all_points(spark, sf)
     grid = TL.grid_for(pts)
@@ -602,6 +623,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "period_density": q_period_density,
     "periods_for_range": q_periods_for_range,
     "periods_many": q_periods_many,
+    "area_distance_join": q_area_distance_join,
+    "trajectory_distance": q_trajectory_distance,
     "period_cell_assign": q_period_cell_assign,
     "group_envelope": q_group_envelope,
     "kth_distance": q_kth_distance,

@@ -73,6 +73,20 @@ def _pt_d(px, py, ax, ay):
     return f"sqrt(({ax} - {px}) * ({ax} - {px}) + ({ay} - {py}) * ({ay} - {py}))"
 
 
+def _boxes_d(ax, ay, a, bx, by, b):
+    """Distance of the squares of side a at (ax, ay) and side b at (bx, by)."""
+    gx = f"greatest(0.0, {bx} - ({ax} + {a}), {ax} - ({bx} + {b}))"
+    gy = f"greatest(0.0, {by} - ({ay} + {a}), {ay} - ({by} + {b}))"
+    return f"sqrt({gx} * {gx} + {gy} * {gy})"
+
+
+def _pt_seg_d(px, py, ax, ay, bx, by):
+    """Distance of a point to a segment."""
+    l2 = f"(({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}))"
+    u = f"least(1.0, greatest(0.0, CASE WHEN {l2} = 0 THEN 0.0 ELSE (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / {l2} END))"
+    return f"sqrt(power({ax} + {u} * ({bx} - {ax}) - {px}, 2) + power({ay} + {u} * ({by} - {ay}) - {py}, 2))"
+
+
 def gen_dist(px: str, py: str, x: str = "x", y: str = "y", kind: str = "event_type") -> str:
     """Distance of the geometry generated at (x, y) to the point (px, py)."""
     p = (px, py)
@@ -324,6 +338,26 @@ SQL: dict[str, str] = {
     "periods_many": with_base("""lim AS (SELECT min(t) AS lo, max(t) AS hi FROM ev),
         met AS (SELECT id, (t - lo) // 20000000 AS p0, least((t + 45000000 - lo) // 20000000, (hi - lo) // 20000000) AS p1 FROM ev, lim)
         SELECT id, CAST(p AS INTEGER) AS period FROM met, generate_series(p0, p1) s(p)"""),
+    "area_distance_join": with_base(f"""a AS (SELECT id, x, y, t FROM ev WHERE event_type = 'click'),
+        b AS (SELECT id, x, y, t FROM ev WHERE event_type = 'error'),
+        d AS (SELECT a.id AS l_id, b.id AS r_id, least({_boxes_d('a.x', 'a.y', 4, 'b.x', 'b.y', 1)},
+                     {_boxes_d('a.x', 'a.y', 4, 'b.x + 3', 'b.y', 1)}) AS dist
+              FROM a JOIN b ON abs(a.t - b.t) <= {2 * C.HOUR})
+        SELECT l_id, r_id, round(dist, 6) AS dist FROM d WHERE dist <= 6"""),
+    "trajectory_distance": with_base("""pts AS (SELECT user_id, event_type, x, y, row_number() OVER (
+            PARTITION BY user_id, event_type ORDER BY t, id) AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n
+          FROM ev WHERE event_type IN ('purchase', 'view')),
+        seg AS (SELECT a.user_id, a.event_type, a.x AS ax, a.y AS ay, coalesce(b.x, a.x) AS ex, coalesce(b.y, a.y) AS ey
+                FROM pts a LEFT JOIN pts b ON b.user_id = a.user_id AND b.event_type = a.event_type AND b.i = a.i + 1
+                WHERE b.i IS NOT NULL OR a.n = 1),
+        pair AS (SELECT s.user_id, s.ax, s.ay, s.ex, s.ey, t.ax AS cx, t.ay AS cy, t.ex AS dx, t.ey AS dy
+                 FROM seg s JOIN seg t ON s.user_id = t.user_id AND s.event_type = 'purchase' AND t.event_type = 'view'),
+        side AS (SELECT *, sign((ex - ax) * (cy - ay) - (ey - ay) * (cx - ax)) * sign((ex - ax) * (dy - ay) - (ey - ay) * (dx - ax)) AS o1,
+                 sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (ey - cy) - (dy - cy) * (ex - cx)) AS o2 FROM pair)
+        SELECT user_id, round(min(CASE WHEN o1 < 0 AND o2 < 0 THEN 0.0 ELSE least("""
+        + ", ".join(_pt_seg_d(*a) for a in (("ax", "ay", "cx", "cy", "dx", "dy"), ("ex", "ey", "cx", "cy", "dx", "dy"),
+                                            ("cx", "cy", "ax", "ay", "ex", "ey"), ("dx", "dy", "ax", "ay", "ex", "ey")))
+        + """) END), 6) AS dist FROM side GROUP BY user_id"""),
     "period_cell_assign": with_base(PERIODS + f""",
         sg AS (SELECT min(minx) AS x0, min(miny) AS y0,
                CASE WHEN greatest(max(maxx) - min(minx), max(maxy) - min(miny)) > 0

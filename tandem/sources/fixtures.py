@@ -75,6 +75,20 @@ def wide_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(pts_right(spark, sf_dir), 16 * MICROS_PER_DAY)
 
 
+def user_lines(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
+    """Each user's events of one type as a line in time order (id = user; a point
+    for a single event)."""
+    pts = _event_points(spark, sf_dir, event_type)
+    step = F.struct("start_us", "id", F.struct(F.col("minx").alias("x"), F.col("miny").alias("y")).alias("p"))
+    path = F.transform(F.array_sort(F.collect_list(step)), lambda s: s["p"])
+    lines = pts.groupBy(F.col("user_id").alias("id")).agg(
+        path.alias("pts"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"),
+        F.max("maxy").alias("maxy"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    return lines.select("id", F.when(F.size("pts") > 1, "LINESTRING").otherwise("POINT").alias("kind"), "pts",
+                        F.array(F.lit(0)).alias("parts"), F.array().cast("array<int>").alias("shells"),
+                        "minx", "miny", "maxx", "maxy", "start_us", "end_us")
+
+
 def long_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as intervals [first ship date, last ship date], no geometry
     (x = y = 0), id = l_orderkey."""
