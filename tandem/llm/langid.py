@@ -11,8 +11,10 @@ every word of every training document.  All training documents count; what
 reaches the driver is one row per language and vocabulary piece.
 
 Words are maximal runs of letters (ASCII letters and every character beyond
-ASCII), lower-cased, with a leading space mark; a word of more than
-``MAX_WORD`` bytes is taken in spans of that size.  Defined results: null text
+ASCII), lower-cased, with a leading space mark.  Scoring sums over all segmentations of
+the whole word, whatever its length, scaling the forward sums before they underflow;
+training counts words of more than ``MAX_TRAINING_WORD`` bytes in parts, cut between
+characters.  Defined results: null text
 or text without a letter is ``und`` with score 0, and so is every text when
 there is nothing to learn from; equal posteriors go to the smaller name.
 """
@@ -29,7 +31,12 @@ from .common import Rolling, buffers, held_out, runs_of, slabs
 from .lattice import Lattice, Pieces, load_pieces, with_lead, zipf_log_probs
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_WORD = 32
+#: training counts the pieces of longer words in parts of whole characters; scoring takes words whole
+MAX_TRAINING_WORD = 32
+#: words of more bytes are scored one by one
+LONG_WORD = 256
+#: forward values are scaled up when the largest in reach falls below SMALL, looked at every so many bytes
+SMALL, RESCALE_EVERY = 1e-60, 8
 UND = "und"
 #: text bytes taken together: distinct words are scored once in each
 SLAB = 8 << 20
@@ -37,19 +44,29 @@ SLAB = 8 << 20
 PRIOR_PIECES = 1000.0
 
 
-def _words(texts: pa.Array):
+def _words(texts: pa.Array, longest: int | None = None):
     """(bytes with leads, rolling hash, offsets of the distinct words, text of
-    each word, distinct number of each word)."""
+    each word, distinct number of each word).  With ``longest``, longer words are
+    cut between characters into parts of at most that many bytes."""
     data, offsets = buffers(pc.utf8_lower(texts))
     letter = ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90)) | (data >= 128)
     a, b = runs_of(letter, offsets)
     text = np.searchsorted(offsets, a, "right") - 1
-    if len(a) and (b - a).max() > MAX_WORD:
-        parts = -(-(b - a) // MAX_WORD)
+    if longest and len(a) and (b - a).max() > longest:
+        step = longest - 3  # a part may take up to three bytes more, the rest of its last character
+        parts = -(-(b - a) // step)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        a = np.repeat(a, parts) + nth * MAX_WORD
-        b = np.minimum(np.repeat(b, parts), a + MAX_WORD)
-        text = np.repeat(text, parts)
+        stop = np.repeat(b, parts)
+        a, text = np.repeat(a, parts) + nth * step, np.repeat(text, parts)
+        b = np.minimum(a + step, stop)
+        for ends, moving in ((a, nth > 0), (b, b < stop)):  # on to the next character
+            inner = np.flatnonzero(moving)
+            for _ in range(3):
+                inner = inner[ends[inner] < stop[inner]]
+                inner = inner[data[ends[inner]] & 0xC0 == 0x80]
+                ends[inner] += 1
+        some = b > a
+        a, b, text = a[some], b[some], text[some]
     led, starts = with_lead(data, a, b)
     rolling = Rolling(led)
     if not len(a):
@@ -58,13 +75,51 @@ def _words(texts: pa.Array):
     return led, rolling, starts[first], starts[first + 1] - starts[first], text, number
 
 
-def _forward(arcs, size: int, n: int, prob: np.ndarray) -> np.ndarray:
-    """alpha[position][language, row]; prob[language, id]."""
+def _forward(arcs, size: int, n: int, prob: np.ndarray, longest: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha[position][language, row], log[language, row] to add to their logarithms);
+    prob[language, id].  With ``longest`` (bytes of the longest piece) the values that later
+    positions can still use are scaled up before they underflow."""
     alpha = np.zeros((size + 1, prob.shape[0], n))
     alpha[0] = 1.0
+    scale = np.zeros((prob.shape[0], n))
+    at = 0
     for (i, j), (rows, ids) in sorted(arcs.items()):
+        if longest and i >= at + RESCALE_EVERY:
+            at = i
+            live = alpha[i:i + longest + 1]
+            top = live.max(0)
+            small = (top > 0) & (top < SMALL)
+            if small.any():
+                top = np.where(small, top, 1.0)
+                live /= top
+                scale += np.log(top)
         alpha[j][:, rows] += alpha[i][:, rows] * prob[:, ids]
-    return alpha
+    return alpha, scale
+
+
+def _long_forward(lattice: Lattice, data: np.ndarray, rolling: Rolling, start: int, size: int, prob: np.ndarray) -> np.ndarray:
+    """Log likelihood of one long word in each language; all spans of one length are looked up at once."""
+    prefix, inverse = rolling.prefix[start:start + size + 1], rolling.inverse[start:start + size]
+    arcs: list[list[tuple[int, int]]] = [[] for _ in range(size)]  # by start: (end, piece)
+    for length in range(1, min(lattice.longest, size) + 1):
+        at, ids = lattice.find((prefix[length:] - prefix[:size + 1 - length]) * inverse[:size + 1 - length])
+        if length == 1:
+            every = lattice.byte_ids[data[start:start + size]].copy()
+            every[at] = ids
+            at, ids = np.arange(size), every
+        for i, piece in zip(at.tolist(), ids.tolist()):
+            arcs[i].append((i + length, piece))
+    alpha, scale = np.zeros((size + 1, prob.shape[0])), np.zeros(prob.shape[0])
+    alpha[0] = 1.0
+    for i in range(size):
+        if i % RESCALE_EVERY == 0:  # what later positions can still use
+            live = alpha[i:i + lattice.longest + 1]
+            top = live.max(0)
+            live /= top
+            scale += np.log(top)
+        for end, piece in arcs[i]:
+            alpha[end] += alpha[i] * prob[:, piece]
+    return np.log(alpha[size]) + scale
 
 
 def _expected_counts(vocab: Pieces, langs: list[str]):
@@ -78,11 +133,11 @@ def _expected_counts(vocab: Pieces, langs: list[str]):
         code = {x: k for k, x in enumerate(langs)}
         for rows, _, _ in slabs(batches, limit=SLAB):
             lang = np.array([code.get(x, -1) for x in rows.column(2).to_pylist()])
-            data, rolling, starts, lengths, text, number = _words(rows.column(1))
+            data, rolling, starts, lengths, text, number = _words(rows.column(1), MAX_TRAINING_WORD)
             use = np.zeros((len(langs), len(starts)))
             np.add.at(use, (lang[text], number), 1.0)
             for which, size, arcs in lattice.blocks(data, rolling, starts, lengths):
-                alpha = _forward(arcs, size, len(which), prob)[:, 0]
+                alpha = _forward(arcs, size, len(which), prob)[0][:, 0]
                 beta = np.zeros((size + 1, len(which)))
                 beta[size] = 1.0
                 for (i, j), (r, ids) in sorted(arcs.items(), reverse=True):
@@ -134,8 +189,12 @@ def _predict(vocab: Pieces, langs: list[str], prob: np.ndarray):
             n = rows.num_rows
             data, rolling, starts, lengths, text, number = _words(rows.column(1))
             like = np.zeros((len(langs), len(starts)))
-            for which, size, arcs in lattice.blocks(data, rolling, starts, lengths):
-                like[:, which] = np.log(_forward(arcs, size, len(which), prob)[size])
+            short = np.flatnonzero(lengths <= LONG_WORD)
+            for which, size, arcs in lattice.blocks(data, rolling, starts[short], lengths[short]):
+                alpha, scale = _forward(arcs, size, len(which), prob, lattice.longest)
+                like[:, short[which]] = np.log(alpha[size]) + scale
+            for word in np.flatnonzero(lengths > LONG_WORD):
+                like[:, word] = _long_forward(lattice, data, rolling, int(starts[word]), int(lengths[word]), prob)
             total = np.stack([np.bincount(text, x[number], n) for x in like])
             share = np.exp(total - total.max(0))
             share /= share.sum(0)

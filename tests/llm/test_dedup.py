@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import (brute_components, brute_contamination, brute_lines, brute_repeats, sha, tables)
 from tandem.llm import decontam, line_dedup, minhash, suffix_dedup
@@ -157,6 +158,44 @@ def test_null_ids_and_repeated_rows(spark, tmp_path, name):
     if name == "op9_line_dedup":
         assert {r.doc_id: r.n_dropped for r in rows} == {None: 0, 7: 0, 8: 2}
     if name == "op1_minhash":
-        assert {(r.doc_id, r.component_id) for r in rows if r.doc_id} == {(7, 7), (8, 7)}
+        n = len(set(zip(*[text.split()[i:] for i in range(5)])))
+        assert sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in rows) == [
+            (0, n, None, None), (7, n, 7, True), (8, n, 7, False)]
     if name == "op5_decontamination":
         assert all(r.n_hit == 60 for r in rows)
+
+
+def test_rows_of_one_id_keep_their_own_text(spark, tmp_path):
+    """Different texts under one id: what goes from one row never goes from another."""
+    line, block = "A very common line, met by all.", prose(80)
+    rows = [(1, f"{line}\nfirst own line of it"), (2, f"beta\n{line}"), (2, "gamma own line\ndelta own line number two\nepsilon own line"),
+            (3, block), (4, f"{prose(9)} {block}"), (4, prose(90))]
+    docs = spark.read.parquet(tables(spark, tmp_path, rows) + "/documents.parquet")
+    lines = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect())
+    assert lines == sorted([*rows[:1], (2, "beta"), *rows[2:]])
+    assert sorted((r.doc_id, r.text) for r in line_dedup.drop_lines(docs).collect()) == lines
+    kept = sorted((r.doc_id, r.n_bytes - r.n_removed, r.kept.decode()) for r in suffix_dedup.remove_repeats(docs).collect())
+    left = {t for _, _, t in kept}
+    assert rows[5][1] in left and all(t in left for _, t in rows[:3]) and (3, 0, "") in kept
+
+
+def test_keys_that_share_64_bits_stay_apart():
+    import pyarrow as pa
+    h1 = np.array([5, 5, 9, 5], np.int64)
+    h2 = np.array([1, 2, 3, 4], np.int64)
+    shard = line_dedup._build_shard([pa.scalar(0, pa.int32())], pa.table({
+        "h1": h1, "h2": h2, "n_docs": np.full(4, 2), "first_doc": np.array([10, 20, 30, 40])})).to_pylist()[0]
+    seed, sizes = np.frombuffer(shard["sizes"], np.int64)[0], np.frombuffer(shard["sizes"], np.int64)[1:]
+    bits = np.unpackbits(np.frombuffer(shard["bits"], np.uint8), count=int(sizes.sum())).astype(bool)
+    at = line_dedup.mph_index(line_dedup.seeded(h1, h2, int(seed)), sizes, bits, np.cumsum(bits) - 1)
+    assert np.frombuffer(shard["first_doc"], np.int64)[at].tolist() == [10, 20, 30, 40]
+    assert np.frombuffer(shard["prints"], np.int64)[at].tolist() == h2.tolist()
+
+
+def test_copies_of_the_arrays_follow_the_probes(spark):
+    """Twice the lines and shards, one hot key: copies grow with the lines, not with lines x shards."""
+    def copies(lines, shards, hot):
+        hits = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.when(F.col("id") == 0, hot).otherwise(10).alias("hits"))
+        return line_dedup.with_salts(hits, lines, shards).agg(F.sum("salts")).first()[0]
+    small, large = copies(10 ** 9, 1000, 4 * 10 ** 8), copies(2 * 10 ** 9, 2000, 8 * 10 ** 8)
+    assert large <= 2.1 * small and large <= 2.8 * 10 ** 9 / line_dedup.PROBES_PER_TASK + 2000

@@ -1,6 +1,8 @@
 """HTML extraction, search, classifiers, language ID and segmentation: brute
 force, round trips, held-out accuracy and awkward rows."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -177,7 +179,7 @@ def test_forward_sums_all_segmentations():
     data, rolling, starts, lengths, _, _ = langid._words(pa.array(["ab"]))
     (which, size, arcs), = lattice.Lattice(vocab).blocks(data, rolling, starts, lengths)
     want = .3 * .2 * .1 + .3 * .05 + .15 * .1 + .2
-    assert abs(langid._forward(arcs, size, 1, prob)[size][0, 0] - want) < 1e-12
+    assert abs(langid._forward(arcs, size, 1, prob)[0][size][0, 0] - want) < 1e-12
 
 
 # ----------------------------------------------------------------- segmentation
@@ -264,3 +266,58 @@ def test_clashing_columns_and_awkward_rows(spark, tmp_path):
     rows = QUERIES["op8_sentencepiece"](spark, path).collect()
     assert len(rows) == 6 and all(r.round_trip for r in rows)
     assert sorted(r.text for r in QUERIES["op2_html_extract"](spark, path).collect()) == ["", "", "", "x"]
+
+
+def slow_log_likelihood(vocab, word, prob):
+    """log of the sum over all segmentations of one word (with its leading space), per language."""
+    piece = dict(zip(vocab.pieces, vocab.ids))
+    longest = max(map(len, vocab.pieces))
+    total = [np.zeros(len(prob))]
+    for end in range(1, len(word) + 1):
+        terms = [total[end - n] + np.log(prob[:, piece[word[end - n:end]]]) for n in range(1, min(longest, end) + 1)
+                 if word[end - n:end] in piece]
+        if word[end - 1:end] not in piece:
+            terms.append(total[end - 1] + np.log(prob[:, vocab.byte_ids[word[end - 1]]]))
+        total.append(np.logaddexp.reduce(terms, axis=0))
+    return total[-1]
+
+
+TEXTS = ["plain words of one kind", "\u6f22\u5b57\u306e\u9577\u3044\u5217 and more", "\u12a0\u121b\u122d\u129b" * 30, "z" * 700, "\u00e9t\u00e9 " * 40,
+         "a" * 33 + " " + "\u00df" * 70, "\u6f22" * 400, "x", "123 456", "", None]
+
+
+def test_language_scores_are_finite_and_sum_all_segmentations():
+    """Fallback bytes as rare as in a corpus of 4e9 pieces, words of every length: equal to a plain
+    recursion in logarithms, finite, and between 0 and 1."""
+    vocab = langid.load_pieces(langid.VOCABULARY)
+    rng = np.random.default_rng(1)
+    prob = rng.dirichlet(np.full(vocab.size, .1), 3) + 1e-3 / 4e9
+    prob[:, vocab.byte_ids] = 1e-3 / 4e9 * rng.uniform(1, 3, (3, len(vocab.byte_ids)))
+    run = langid._predict(vocab, ["aa", "bb", "cc"], prob)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(TEXTS)), pa.int64()), "text": pa.array(TEXTS, pa.string())})
+    got = [r for out in run([batch]) for r in out.to_pylist()]
+    for text, r in zip(TEXTS, got):
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        words = re.findall(rb"[a-zA-Z\x80-\xff]+", text.lower().encode())
+        total = sum(slow_log_likelihood(vocab, b" " + w, prob) for w in words)
+        share = np.exp(total - np.logaddexp.reduce(total))
+        assert np.isfinite(total).all() and 0 <= r["score"] <= 1
+        assert r["lang_pred"] == ["aa", "bb", "cc"][int(share.argmax())]
+        assert r["score"] == pytest.approx(share.max(), rel=1e-6)
+
+
+def test_training_cuts_long_words_between_characters():
+    texts = ["\u6f22" * 50, "\u00e9" * 90, "a" * 100, "\U00010400" * 21]
+    led, _, starts, lengths, _, _ = langid._words(pa.array(texts), langid.MAX_TRAINING_WORD)
+    parts = [led[a + 1:a + n].tobytes() for a, n in zip(starts, lengths)]
+    assert all(len(p) <= langid.MAX_TRAINING_WORD for p in parts) and all(p.decode() for p in parts)
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<article><p title=it's>one two three</p><p>four five</p><p>don't stop</p></article>", "one two three\nfour five\ndon't stop"),
+    ("<article><!-- c --!><p>one two three</p><!--><p>four</p><!---><p>five six</p></article>", "one two three\nfour\nfive six"),
+    ("<article><p title=\"a > b\" id='x>y'>one two three</p><p data-x=5\">four</p></article>", "one two three\nfour")])
+def test_quotes_and_comments_as_browsers_read_them(html, text):
+    assert "\n".join(html_extract.block_texts(html, html_extract.train(html_extract.LABELLED))) == text
