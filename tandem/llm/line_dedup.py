@@ -15,7 +15,8 @@
 
 Defined results: null or empty text is one empty line; a key shorter than
 ``min_chars`` is never dropped; a row with null ``doc_id`` is kept whole and
-takes no part; repeated rows with one ``doc_id`` count as one document.
+takes no part; rows with one ``doc_id`` count as one document when documents are
+counted, but each row loses its own lines only.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, key_text, parts_for, written
+from .common import buffers, key_text, mix, parts_for, written
 
 #: white space stripped from both ends of a line (fixed values of the contract)
 SPACE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 50_000
-PROBES_PER_TASK = 2_000_000
+PROBES_PER_TASK = 250_000
 GAMMA = 1.6
 
 
@@ -55,16 +56,18 @@ def _lines_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, list[bytes],
 
 
 def _hash_lines(every_line: bool, min_chars: int):
-    """Rows (h1, h2, doc_id[, line]): each distinct key once, or each line."""
+    """Rows (h1, h2, doc_id) with each distinct key once, or (h1, h2, doc_id, line, row) with
+    each line; documents come as doc_id, text, row."""
     fields = [("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())]
     if every_line:
-        fields.append(("line", pa.int32()))
+        fields += [("line", pa.int32()), ("row", pa.int64())]
     schema = pa.schema(fields)
 
     def run(batches):
         for batch in batches:
-            digests, docs, numbers = [], [], []
-            for doc, lines, _ in _lines_of(batch):
+            digests, docs, numbers, rows = [], [], [], []
+            row_of = batch.column(2).to_pylist()
+            for at, (doc, lines, _) in enumerate(_lines_of(batch)):
                 if doc is None:
                     continue
                 seen = set()
@@ -77,20 +80,21 @@ def _hash_lines(every_line: bool, min_chars: int):
                     digests.append(xxhash.xxh3_128_digest(key))
                     docs.append(doc)
                     numbers.append(n)
+                    rows.append(row_of[at])
                 if len(docs) >= 200_000:
-                    yield _probe_batch(schema, digests, docs, numbers)
-                    digests, docs, numbers = [], [], []
-            yield _probe_batch(schema, digests, docs, numbers)
+                    yield _probe_batch(schema, digests, docs, numbers, rows)
+                    digests, docs, numbers, rows = [], [], [], []
+            yield _probe_batch(schema, digests, docs, numbers, rows)
 
     return run
 
 
-def _probe_batch(schema, digests, docs, numbers) -> pa.RecordBatch:
+def _probe_batch(schema, digests, docs, numbers, rows) -> pa.RecordBatch:
     halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     cols = [pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])),
             pa.array(docs, pa.int64())]
-    if len(schema) == 4:
-        cols.append(pa.array(numbers, pa.int32()))
+    if len(schema) == 5:
+        cols += [pa.array(numbers, pa.int32()), pa.array(rows, pa.int64())]
     return pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
@@ -132,22 +136,25 @@ def mph_index(h1: np.ndarray, sizes: np.ndarray, bits: np.ndarray, rank: np.ndar
     return out
 
 
+def seeded(h1: np.ndarray, h2: np.ndarray, seed: int) -> np.ndarray:
+    """One 64-bit value of both halves of a key; seed 0 is the first half."""
+    return (h1.view(np.uint64) + np.uint64(seed) * mix(h2.view(np.uint64))).view(np.int64)
+
+
 SHARD_TYPE = "shard int, sizes binary, bits binary, prints binary, n_docs binary, first_doc binary"
 
 
 def _build_shard(key, table):
     """One shard: at most a few times SHARD_KEYS distinct keys."""
-    h1 = table["h1"].to_numpy()
-    # two keys with one h1 and different h2 cannot both be placed: keep them apart by h2
-    order = np.lexsort((table["h2"].to_numpy(), h1))
-    h1 = h1[order]
-    h2, n, first = (table[c].to_numpy()[order] for c in ("h2", "n_docs", "first_doc"))
-    new = np.r_[True, h1[1:] != h1[:-1]] if len(h1) else np.zeros(0, bool)
-    if not new.all():
-        raise ValueError("two line keys share their first 64 hash bits; use another hash seed")
-    sizes, bits = build_mph(h1)
+    order = np.lexsort((table["h2"].to_numpy(), table["h1"].to_numpy()))
+    h1, h2, n, first = (table[c].to_numpy()[order] for c in ("h1", "h2", "n_docs", "first_doc"))
+    # keys are told apart by all 128 bits: the next seed where two get one 64-bit value
+    seed = next(k for k in range(64) if len(np.unique(seeded(h1, h2, k))) == len(h1))
+    keys = seeded(h1, h2, seed)
+    sizes, bits = build_mph(keys)
     rank = np.cumsum(bits) - 1
-    at = mph_index(h1, sizes, bits, rank)
+    at = mph_index(keys, sizes, bits, rank)
+    sizes = np.r_[np.int64(seed), sizes]  # stored in front of the level sizes
     place = np.empty(len(h1), np.int64)
     place[at] = np.arange(len(h1))
     return pa.table({
@@ -159,7 +166,7 @@ def _build_shard(key, table):
 def _probe(batches):
     """Stream of rows sorted by (shard, salt, arrays first): a shard's arrays,
     then its probes.  Gives the lines to drop."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32())])
+    schema = pa.schema([("row", pa.int64()), ("line", pa.int32())])
     at, arrays = None, None
     for batch in batches:
         shard = batch.column(0).to_numpy()
@@ -172,19 +179,20 @@ def _probe(batches):
                 at, arrays = group[a], None
             if rows.column(5)[0].is_valid:
                 sizes, bits, prints, first = (rows.column(k)[0].as_py() for k in (6, 7, 8, 9))
-                sizes = np.frombuffer(sizes, np.int64)
+                seed, sizes = np.frombuffer(sizes, np.int64)[0], np.frombuffer(sizes, np.int64)[1:]
                 bits = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(sizes.sum())).astype(bool)
-                arrays = (sizes, bits, np.cumsum(bits) - 1, np.frombuffer(prints, np.int64),
+                arrays = (int(seed), sizes, bits, np.cumsum(bits) - 1, np.frombuffer(prints, np.int64),
                           np.frombuffer(first, np.int64))
                 rows = rows.slice(1)
             if arrays is None or not rows.num_rows:
                 continue
-            sizes, bits, rank, prints, first = arrays
+            seed, sizes, bits, rank, prints, first = arrays
             h1, h2, doc = (rows.column(k).to_numpy() for k in (2, 3, 4))
-            idx = mph_index(h1, sizes, bits, rank)
+            idx = mph_index(seeded(h1, h2, seed), sizes, bits, rank)
             hit = (idx >= 0) & (prints[idx] == h2) & (first[idx] != doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[hit]), pa.array(rows.column(10).to_numpy(zero_copy_only=False)[hit].astype(np.int32))],
+                [pa.array(rows.column(11).to_numpy()[hit]),
+                 pa.array(rows.column(10).to_numpy(zero_copy_only=False)[hit].astype(np.int32))],
                 schema=schema)
 
 
@@ -197,34 +205,42 @@ def repeated_keys(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             .where("first_doc <> last_doc").drop("last_doc"))
 
 
-def line_index(docs: DataFrame, min_chars: int = 10) -> tuple[DataFrame, int]:
+def line_index(keys: DataFrame) -> tuple[DataFrame, int]:
     """The sharded arrays (one row a shard) and the number of shards."""
-    keys = written(repeated_keys(docs, min_chars), "line-keys")
     shards = parts_for(keys.count(), SHARD_KEYS)
     dealt = keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(_build_shard, SHARD_TYPE), shards
 
 
+def with_salts(index: DataFrame, lines: int, shards: int) -> DataFrame:
+    """shard, salts: parts of about ``PROBES_PER_TASK`` probes.  Probes of repeated keys are counted by
+    the index; all other lines fall evenly on the shards.  So the copies of a shard's arrays
+    follow its own probes, and all copies together the number of lines."""
+    probes = F.col("hits") + F.lit(lines / shards)
+    return index.select("shard", "hits").withColumn("salts", F.ceil(probes / PROBES_PER_TASK).cast("int")).drop("hits")
+
+
 def lines_to_drop(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """(doc_id, line): every line that the contract removes."""
-    index, shards = line_index(docs, min_chars)
+    """(row, line): every line that the contract removes.  ``docs`` has doc_id, text, row."""
+    keys = written(repeated_keys(docs, min_chars), "line-keys")
+    index, shards = line_index(keys)
     index = written(index, "line-index")
-    probes = docs.mapInArrow(_hash_lines(True, min_chars), "h1 long, h2 long, doc_id long, line int")
-    keys_rows = docs.count()
-    salts = max(4, parts_for(20 * keys_rows, PROBES_PER_TASK))
+    probes = docs.mapInArrow(_hash_lines(True, min_chars), "h1 long, h2 long, doc_id long, line int, row long")
+    lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    hits = keys.groupBy(F.pmod("h1", F.lit(shards)).cast("int").alias("shard")).agg(F.sum("n_docs").alias("hits"))
+    salts = written(with_salts(hits, lines, shards), "salts")
     none = [F.lit(None).cast("binary").alias(c) for c in ("sizes", "bits", "prints", "first_doc")]
-    left = probes.select(
-        F.pmod("h1", F.lit(shards)).cast("int").alias("shard"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), "h1", "h2", "doc_id",
-        F.lit(None).cast("int").alias("arrays"), *none, "line")
-    right = index.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+    left = probes.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).join(salts, "shard").select(
+        "shard", F.pmod(F.xxhash64("row", "line"), F.col("salts")).cast("int").alias("salt"), "h1", "h2", "doc_id",
+        F.lit(None).cast("int").alias("arrays"), *none, "line", "row")
+    right = index.join(salts, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
         F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"),
         F.lit(0).cast("long").alias("doc_id"), F.lit(1).alias("arrays"),
-        "sizes", "bits", "prints", "first_doc", F.lit(0).alias("line"))
+        "sizes", "bits", "prints", "first_doc", F.lit(0).alias("line"), F.lit(0).cast("long").alias("row"))
     met = right.unionByName(left).repartition("shard", "salt") \
         .sortWithinPartitions("shard", "salt", F.col("arrays").desc_nulls_last())
-    return met.mapInArrow(_probe, "doc_id long, line int")
+    return met.mapInArrow(_probe, "row long, line int")
 
 
 def _keep(batches):
@@ -251,11 +267,16 @@ def _keep(batches):
              pa.array(sha)], schema=schema)
 
 
+def numbered(documents: DataFrame) -> DataFrame:
+    """The rows with a ``row`` number each, written once: lines go from a row, whatever its id."""
+    return written(documents.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def dedup_lines(documents: DataFrame, min_chars: int = 10) -> DataFrame:
     """doc_id, text (kept lines), n_lines, n_dropped, kept_sha256 per document."""
-    docs = key_text(documents)
-    drops = lines_to_drop(docs, min_chars).groupBy("doc_id").agg(F.collect_set("line").alias("drops"))
-    return docs.join(drops, "doc_id", "left").select("doc_id", "text", "drops").mapInArrow(
+    docs = numbered(key_text(documents))
+    drops = lines_to_drop(docs, min_chars).groupBy("row").agg(F.collect_set("line").alias("drops"))
+    return docs.join(drops, "row", "left").select("doc_id", "text", "drops").mapInArrow(
         _keep, "doc_id long, text string, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -284,9 +305,10 @@ def _rewrite(columns: list[str]):
 def drop_lines(documents: DataFrame, min_chars: int = 10) -> DataFrame:
     """``documents`` with all columns, repeated lines gone from ``text``; ``n_chars``,
     where there is one, follows."""
-    drops = lines_to_drop(key_text(documents), min_chars).groupBy(F.col("doc_id").alias("__doc")) \
-        .agg(F.collect_set("line").alias("__drops"))
-    met = documents.join(drops, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    rows = written(documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    docs = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("__row").alias("row"))
+    drops = lines_to_drop(docs, min_chars).groupBy(F.col("row").alias("__row")).agg(F.collect_set("line").alias("__drops"))
+    met = rows.join(drops, "__row", "left")
     return met.select(*documents.columns, "__drops").mapInArrow(_rewrite(documents.columns), documents.schema)
 
 
