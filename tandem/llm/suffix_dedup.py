@@ -377,9 +377,11 @@ def _remove(batches):
 
 def remove_repeats(documents: DataFrame, depth: int = DEPTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """doc_id, kept (remaining bytes), n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = key_text(documents)
-    spans = merge_spans(repeated_spans(docs, depth, gram, many))
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    # spans belong to a row, whatever its id: rows are numbered once, in a written table
+    docs = written(key_text(documents).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    numbered = docs.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text")
+    spans = merge_spans(repeated_spans(numbered, depth, gram, many)).withColumnRenamed("doc_id", "row")
+    return docs.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(
         _remove, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
