@@ -19,8 +19,9 @@
 
 Defined results: words are runs of non-space after A-Z is lower-cased; a text
 with fewer words than a shingle is one shingle; without words the set is empty
-and links with nothing; rows with null ``doc_id`` are left out of the links and
-keep a null component; rows repeated under one ``doc_id`` are one document.
+and links with nothing; rows with null ``doc_id`` are left out of the links, each
+returned with a null component and null ``kept``; rows repeated under one ``doc_id`` are one
+document, described by the text whose set has the least hash.
 """
 
 from __future__ import annotations
@@ -294,7 +295,7 @@ def connected_components(found: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == state:
             break
         state = now
@@ -308,10 +309,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = WORDS,
     component_id (smallest document reachable over links of ``percent`` and
     more), kept (the component's representative)."""
     docs = key_text(documents)
-    described = docs.where("doc_id is not null").mapInArrow(
+    everything = written(docs.mapInArrow(
         _describe(words, bands * rows),
-        "doc_id long, n_shingles long, set1 long, set2 long, signature binary")
-    described = written(described, "sets")
+        "doc_id long, n_shingles long, set1 long, set2 long, signature binary"), "sets")
+    described = everything.where("doc_id is not null")
     sets = ["set1", "set2", "n_shingles"]
     classes = written(described.where("n_shingles > 0").groupBy(*sets).agg(
         F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
@@ -319,9 +320,14 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = WORDS,
 
     named = classes.join(found, classes["rep"] == found["node"], "left").select(
         *sets, F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    out = described.dropDuplicates(["doc_id"]).join(named, sets, "left").select(
+    # one row per id; of different texts under one id the one with the least set hash
+    one = described.groupBy("doc_id").agg(F.min(F.struct(*sets)).alias("s")).select("doc_id", "s.*")
+    out = one.join(named, sets, "left").select(
         "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("component_id", "doc_id").alias("component_id"))
+    none = F.lit(None).cast("long")
+    out = out.unionByName(everything.where("doc_id is null").select(
+        "doc_id", "n_shingles", none.alias("class_id"), none.alias("component_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
