@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 AREA_KINDS = ("POLYGON", "MULTIPOLYGON")
 POINT_KINDS = ("POINT", "MULTIPOINT")
+#: parts before the first shell are points (one vertex) and lines, the others rings
+COLLECTION = "GEOMETRYCOLLECTION"
 
 
 def _c(c) -> Column:
@@ -254,6 +256,24 @@ def point_in_rings(px, py, segs) -> Column:
     return (crossings % 2) == 1
 
 
+def has_area(a: Side) -> Column:
+    return a.kind.isin(*AREA_KINDS) | ((a.kind == COLLECTION) & (F.size(a.shells) > 0))
+
+
+def area_segments(a: Side) -> Column:
+    """The segments whose even-odd rule decides what lies inside, as an array of arrays: all in one
+    for the plain kinds, one per polygon of a collection (its polygons may overlap)."""
+    if not a.has_geom:
+        return F.array(a.segs)
+
+    def polygon(shell, j):
+        first = F.get(a.parts, shell)
+        stop = F.coalesce(F.get(a.parts, F.get(a.shells, j + 1)), F.size(a.pts))
+        return F.slice(a.segs, first + 1, stop - first)
+
+    return F.when(a.kind == COLLECTION, F.transform(a.shells, polygon)).otherwise(F.array(a.segs))
+
+
 def geometry_distance(a: Side, b: Side) -> Column:
     """Exact planar distance between two geometries; 0 when they touch,
     cross or one contains the other.  Points take a closed-form path."""
@@ -266,14 +286,16 @@ def geometry_distance(a: Side, b: Side) -> Column:
         F.transform(seg_a, lambda s: point_segment_distance(p["x"], p["y"], s)))))
     crossing = F.exists(seg_a, lambda s: F.exists(seg_b, lambda t: segments_cross(s, t)))
 
-    def part_inside(inner, outer, rings):
+    def part_inside(inner, outer):
         # without a crossing a part lies inside as a whole or not at all
-        def at(i):
-            p = F.get(inner.pts, i)
-            return point_in_rings(p["x"], p["y"], rings)
-        return outer.kind.isin(*AREA_KINDS) & F.exists(inner.parts, at)
-
-    general = F.when(crossing | part_inside(a, b, seg_b) | part_inside(b, a, seg_a), F.lit(0.0)).otherwise(F.least(a_to_b, b_to_a))
+        def inside(rings):
+            def at(i):
+                p = F.get(inner.pts, i)
+                return point_in_rings(p["x"], p["y"], rings)
+            return F.exists(inner.parts, at)
+        return has_area(outer) & F.exists(area_segments(outer), inside)
+
+    general = F.when(crossing | part_inside(a, b) | part_inside(b, a), F.lit(0.0)).otherwise(F.least(a_to_b, b_to_a))
     both_points = (a.kind == "POINT") & (b.kind == "POINT")
     return F.when(both_points, point_distance(a.minx, a.miny, b.minx, b.miny)).otherwise(general)
 
@@ -308,7 +330,7 @@ def ring_moments(pts, parts) -> Column:
 def centroid(a: Side) -> Column:
     """``struct(x, y)``: points -> mean; lines -> length-weighted segment
     midpoints; polygons -> area centroid, shells count for and holes against
-    whatever their orientation."""
+    whatever their orientation; a collection -> that of its members of the highest dimension."""
     if not a.has_geom:
         return point((a.minx + a.maxx) / 2, (a.miny + a.maxy) / 2)
     pts, kind = a.pts, a.kind
@@ -327,8 +349,10 @@ def centroid(a: Side) -> Column:
 
     rings = ring_moments(pts, a.parts)
     # +1 for shells, -1 for holes, independent of ring orientation
-    weights = F.transform(rings, lambda r, i: F.when(
-        F.array_contains(a.shells, i), F.lit(1.0)).otherwise(F.lit(-1.0)) * F.signum(r["a2"]))
+    first_shell = F.get(a.shells, 0)    # before it stand the points and lines of a collection
+    weights = F.transform(rings, lambda r, i: F.when(F.array_contains(a.shells, i), F.lit(1.0))
+                          .when((kind == COLLECTION) & (i < F.coalesce(first_shell, n)), F.lit(0.0))
+                          .otherwise(F.lit(-1.0)) * F.signum(r["a2"]))
     ring_w = F.arrays_zip(rings.alias("r"), weights.alias("w"))
     area2 = F.aggregate(ring_w, F.lit(0.0), lambda acc, z: acc + z["w"] * z["r"]["a2"])
     mx = F.aggregate(ring_w, F.lit(0.0), lambda acc, z: acc + z["w"] * z["r"]["mx"])
@@ -340,6 +364,8 @@ def centroid(a: Side) -> Column:
             .when(kind.isin("LINESTRING", "MULTILINESTRING"),
                   F.when(total_len > 0, line).otherwise(mean))
             .when(kind.isin(*AREA_KINDS), F.when(area2 != 0, poly).otherwise(mean))
+            .when(kind == COLLECTION, F.when((F.size(a.shells) > 0) & (area2 != 0), poly)
+                  .when(total_len > 0, line).otherwise(mean))
             .otherwise(mean))
 
 
@@ -409,11 +435,19 @@ def geojson_geometry(a: Side) -> Column:
 
     all_parts = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), part_coords)
     kind = a.kind
+
+    def polygon(first, j):
+        return F.slice(all_parts, first + 1, F.coalesce(F.get(a.shells, j + 1), F.size(parts)) - first)
+
+    singles = F.transform(F.slice(all_parts, 1, F.coalesce(F.get(a.shells, 0), F.size(parts))),
+                          lambda p: F.when(F.size(p) == 1, obj("Point", F.get(p, 0))).otherwise(obj("LineString", p)))
+    members = F.concat(singles, F.transform(a.shells, lambda s, j: obj("Polygon", polygon(s, j))))
+    collection = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(members, ","), F.lit("]}"))
     return (F.when(kind == "POINT", obj("Point", _xy(F.get(pts, 0))))
             .when(kind == "MULTIPOINT", obj("MultiPoint", F.transform(pts, _xy)))
             .when(kind == "LINESTRING", obj("LineString", F.transform(pts, _xy)))
             .when(kind == "MULTILINESTRING", obj("MultiLineString", all_parts))
             .when(kind == "POLYGON", obj("Polygon", all_parts))
-            .when(kind == "MULTIPOLYGON", obj("MultiPolygon", F.transform(a.shells, lambda s, j: F.slice(
-                all_parts, s + 1, F.coalesce(F.get(a.shells, j + 1), F.size(parts)) - s)))))
+            .when(kind == "MULTIPOLYGON", obj("MultiPolygon", F.transform(a.shells, polygon)))
+            .when(kind == COLLECTION, collection))
 

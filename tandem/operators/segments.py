@@ -53,6 +53,7 @@ def bounded_pairs(pairs: DataFrame, left: G.Side, right: G.Side) -> DataFrame:
     """One row per pair: kinds, parts, segments, an upper bound ``_ub`` and the cell width ``_w``."""
     shape = pairs.select(*PAIR, left.kind.alias("l_kind"), right.kind.alias("r_kind"), left.pts.alias("l_pts"),
                          right.pts.alias("r_pts"), left.parts.alias("l_parts"), right.parts.alias("r_parts"),
+                         left.shells.alias("l_shells"), right.shells.alias("r_shells"),
                          left.segs.alias("l_segs"), right.segs.alias("r_segs"))
     first = F.get("l_pts", 0)
     near = shape.withColumn("_r", _nearest_vertex(F.col("r_pts"), first["x"], first["y"]))
@@ -95,8 +96,10 @@ def near_segments(shape: DataFrame) -> DataFrame:
 
 
 def _inside(shape: DataFrame, inner: str, outer: str) -> DataFrame:
-    """Pairs of which some part of ``inner`` starts inside the areas of ``outer`` (even-odd)."""
-    areas = shape.where(F.col(f"{outer}kind").isin(*G.AREA_KINDS))
+    """Pairs of which some part of ``inner`` starts inside the areas of ``outer`` (even-odd,
+    for each polygon of a collection)."""
+    area = G.Side(outer, True, has_segs=True)
+    areas = shape.where(G.has_area(area))
     segs = F.col(f"{outer}segs")
     low = F.array_min(F.transform(segs, lambda s: F.least(s["ay"], s["by"])))
     high = F.array_max(F.transform(segs, lambda s: F.greatest(s["ay"], s["by"])))
@@ -110,11 +113,12 @@ def _inside(shape: DataFrame, inner: str, outer: str) -> DataFrame:
     starts = areas.select(*PAIR, "_low", "_h", F.inline(F.transform(f"{inner}parts", lambda i: F.struct(
         i.alias("part"), F.get(f"{inner}pts", i)["x"].alias("x"), F.get(f"{inner}pts", i)["y"].alias("y"))))) \
         .select(*PAIR, "part", "x", "y", strip(F.col("y")).alias("_strip"))
-    rings = areas.select(*PAIR, "_low", "_h", F.inline(segs)).select(*PAIR, *ENDS, F.explode(F.sequence(
+    polygons = areas.select(*PAIR, "_low", "_h", F.posexplode(G.area_segments(area)).alias("_poly", "_rings"))
+    rings = polygons.select(*PAIR, "_low", "_h", "_poly", F.inline("_rings")).select(*PAIR, "_poly", *ENDS, F.explode(F.sequence(
         strip(F.least("ay", "by")), strip(F.greatest("ay", "by")))).alias("_strip"))
     s, y = {c: F.col(c) for c in ENDS}, F.col("y")
     hit = ((s["ay"] > y) != (s["by"] > y)) & (F.col("x") < (s["bx"] - s["ax"]) * (y - s["ay"]) / (s["by"] - s["ay"]) + s["ax"])
-    return starts.join(rings, [*PAIR, "_strip"]).where(hit).groupBy(*PAIR, "part").agg(F.count(F.lit(1)).alias("n")) \
+    return starts.join(rings, [*PAIR, "_strip"]).where(hit).groupBy(*PAIR, "part", "_poly").agg(F.count(F.lit(1)).alias("n")) \
         .where(F.col("n") % 2 == 1).select(*PAIR)
 
 

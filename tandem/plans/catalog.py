@@ -477,7 +477,7 @@ def q_st_knn_join_hot(spark, sf):
 
 
 def q_validate_wkt(spark, sf):
-    """Generated texts, four of five of them spoiled: the problem found."""
+    """Generated texts, four of six of them spoiled: the problem found."""
     raw = _ev(spark, sf)
     x, y = F.col("value").cast("string"), F.get_json_object("props", "$.k")
     point = F.concat(F.lit("POINT ("), x, F.lit(" "), y, F.lit(")"))
@@ -520,6 +520,47 @@ def q_multipolygon(spark, sf):
                     _round(c["y"]).alias("cy"))
 
 
+def generated_collections(spark, sf) -> DataFrame:
+    """One nested collection per event at (x, y): a point, a line 3 up at x + 1 and a 2 x 2 square at
+    x + 4, with Z and M coordinates, EMPTY members and the areas first; ``plain`` is its flat text."""
+    raw = _ev(spark, sf)
+    at = raw.select(F.col("event_id").alias("id"), F.col("value").cast("double").alias("x"),
+                    F.get_json_object("props", "$.k").cast("double").alias("y"), TM.epoch_us(raw, "ts").alias("t"))
+
+    def coords(points, rest=""):
+        return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", F.col("x") + a, F.col("y") + b, *[F.lit(v) for v in rest.split()])
+                                                        for a, b in points]), F.lit(")"))
+
+    line, square = [(1, 0), (1, 3)], [(4, 0), (6, 0), (6, 2), (4, 2), (4, 0)]
+    nested = F.concat(F.lit("GEOMETRYCOLLECTION Z (MULTIPOLYGON Z (EMPTY, ("), coords(square, "7"),
+                      F.lit(")), GeometryCollection (POINT EMPTY, POINT ZM "), coords([(0, 0)], "7 8"),
+                      F.lit(", GEOMETRYCOLLECTION (MULTILINESTRING M (EMPTY, "), coords(line, "9"), F.lit("), LINESTRING EMPTY)))"))
+    plain = F.concat(F.lit("GEOMETRYCOLLECTION (POINT "), coords([(0, 0)]), F.lit(", LINESTRING "), coords(line),
+                     F.lit(", POLYGON ("), coords(square), F.lit("))"))
+    parsed = with_wkt_geometry(at.select("id", "x", "y", "t", nested.alias("wkt"), plain.alias("plain")), "wkt")
+    return parsed.withColumn("start_us", F.col("t")).withColumn("end_us", F.col("t")).drop("t")
+
+
+def q_wkt_collections(spark, sf):
+    """Nested collections: members, envelope, centroid, distance to (y, x), GeoJSON and written text."""
+    g = generated_collections(spark, sf)
+    side = G.Side("", True)
+    p = g.withColumn("p_minx", F.col("y")).withColumn("p_maxx", F.col("y")) \
+        .withColumn("p_miny", F.col("x")).withColumn("p_maxy", F.col("x"))
+    c, json = G.centroid(side), G.geojson_geometry(side)
+    types = [F.get_json_object(json, f"$.geometries[{i}].type") for i in range(3)]
+    return p.select("id", "kind", F.size("pts").alias("n_pts"), F.size("parts").alias("n_parts"), F.size("shells").alias("n_shells"),
+                    "minx", "miny", "maxx", "maxy", _round(c["x"]).alias("cx"), _round(c["y"]).alias("cy"),
+                    _round(G.geometry_distance(side, G.Side("p_"))).alias("dist"), F.concat_ws(",", *types).alias("members"),
+                    (to_wkt("kind", "pts", "parts", "shells") == F.col("plain")).alias("same_text"))
+
+
+def q_collection_knn_join(spark, sf):
+    g = generated_collections(spark, sf).drop("x", "y", "plain")
+    res = KN.st_knn_join(fx.pts_left(spark, sf), g, K, DELTA, checkpoint_inputs=True)
+    return res.select("l_id", "r_id", _round(F.col("dist")).alias("dist"), "rank")
+
+
 def q_box_knn_join(spark, sf):
     res = KN.st_knn_join(fx.box_left(spark, sf), fx.box_right(spark, sf), K, DELTA)
     return res.select("l_id", "r_id", "dist", "rank")
@@ -638,6 +679,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "st_knn_join_hot": q_st_knn_join_hot,
     "validate_wkt": q_validate_wkt,
     "multipolygon": q_multipolygon,
+    "wkt_collections": q_wkt_collections,
+    "collection_knn_join": q_collection_knn_join,
     "box_knn_join": q_box_knn_join,
     "box_knn_join_overlapping": q_box_knn_join_overlapping,
     "session_knn_join": q_session_knn_join,

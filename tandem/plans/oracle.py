@@ -101,6 +101,13 @@ def gen_dist(px: str, py: str, x: str = "x", y: str = "y", kind: str = "event_ty
   ELSE least({_box_d(*p, x, y, f'{x} + 1', f'{y} + 1')}, {_box_d(*p, f'{x} + 3', y, f'{x} + 4', f'{y} + 1')}) END"""
 
 
+def collection_dist(px: str, py: str, x: str, y: str) -> str:
+    """Distance of the collection generated at (x, y) to the point (px, py)."""
+    p = (px, py)
+    return (f"least({_pt_d(*p, x, y)}, {_box_d(*p, f'{x} + 1', y, f'{x} + 1', f'{y} + 3')}, "
+            f"{_box_d(*p, f'{x} + 4', y, f'{x} + 6', f'{y} + 2')})")
+
+
 # distance of the generated geometry to P = (y, x)
 GEN_DIST = gen_dist("y", "x")
 
@@ -272,11 +279,18 @@ SQL: dict[str, str] = {
             CASE WHEN id % 9 = 0 THEN 100.0 WHEN id % 3 = 0 THEN 100.0 + x * CAST(1e-7 AS DOUBLE) ELSE x END::DOUBLE AS x,
             CASE WHEN id % 9 = 0 THEN 50.0 WHEN id % 3 = 0 THEN 50.0 + y * CAST(1e-7 AS DOUBLE) ELSE y END::DOUBLE AS y FROM pr),
         """ + knn_pairs("ph", "ph", PT_TIME + " AND l.id <> r.id", PT_DIST, C.K) + " SELECT l_id, r_id, dist, rank FROM top"),
-    "validate_wkt": """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 4 THEN 'empty geometry'
+    "validate_wkt": """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 'empty geometry'
         WHEN 5 THEN 'infinite coordinate' ELSE 'malformed geometry' END AS problem FROM events""",
     # two polygons: 4 x 4 less a unit hole, and 2 x 2; centroid by areas 16 - 1 + 4
     "multipolygon": """SELECT event_id AS id, true AS same_text, 2 AS n_polygons, 2 AS n_rings_first, 1 AS n_rings_second,
         round((16 * 2 - 1.5 + 4 * 11) / 19.0, 6) AS cx, round((16 * 2 - 1.5 + 4 * 1) / 19.0, 6) AS cy FROM events""",
+    "wkt_collections": with_base(f"""SELECT id, 'GEOMETRYCOLLECTION' AS kind, 8 AS n_pts, 3 AS n_parts, 1 AS n_shells,
+        x AS minx, y AS miny, x + 6 AS maxx, y + 3 AS maxy, round(x + 5, 6) AS cx, round(y + 1, 6) AS cy,
+        round({collection_dist('y', 'x', 'x', 'y')}, 6) AS dist, 'Point,LineString,Polygon' AS members, true AS same_text FROM ev"""),
+    "collection_knn_join": with_base(f"""p AS (SELECT l.id AS l_id, r.id AS r_id,
+            {collection_dist("l.x", "l.y", "r.x", "r.y")} AS dist FROM pl l JOIN ev r ON {PT_TIME}),
+        top AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY dist, r_id) AS rank FROM p)
+        SELECT l_id, r_id, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= {C.K}"""),
     "geom_knn_join": with_base(f"""p AS (SELECT l.id AS l_id, r.id AS r_id, {KIND.replace("event_type", "r.event_type")} AS r_kind,
             {gen_dist("l.x", "l.y", "r.x", "r.y", "r.event_type")} AS dist FROM pl l JOIN ev r ON {PT_TIME}),
         top AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY dist, r_id) AS rank FROM p)

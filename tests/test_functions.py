@@ -84,9 +84,10 @@ def test_multipolygon_shells_and_holes(spark, text, centre, polygons):
 
 def test_malformed_wkt_is_rejected(spark):
     good = ["POINT(1 2)", " point ( 1   2 ) ", "POINT EMPTY", "LINESTRING (" + ", ".join(f"{i} {i}" for i in range(20000)) + ")",
-            "MULTIPOINT ((1 2), (3 4))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0), (0 0, 1 0, 1 1, 0 0)), ((0 0, 1 0, 1 1, 0 0)))"]
-    bad = ["POINT (abc 2 3)", "SRID=4326;POINT (1 2)", "GEOMETRYCOLLECTION (POINT (1 2))", "POINT (1 2", "POINT (1 2 3)", "",
-           "POINT (1 2, 3 4)", "LINESTRING (1 2,, 3 4)", "POLYGON (1 2, 3 4)", "POINT (1 2) x", "POINT Z (1 2 3)", "CIRCLE (1 2)"]
+            "MULTIPOINT ((1 2), (3 4))", "GEOMETRYCOLLECTION (POINT (1 2))", "POINT (1 2 3)", "POINT Z (1 2 3)",
+            "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0), (0 0, 1 0, 1 1, 0 0)), ((0 0, 1 0, 1 1, 0 0)))"]
+    bad = ["POINT (abc 2 3)", "SRID=4326;POINT (1 2)", "GEOMETRYCOLLECTION (POINT (1 2)", "POINT (1 2", "",
+           "POINT (1 2, 3 4)", "LINESTRING (1 2,, 3 4)", "POLYGON (1 2, 3 4)", "POINT (1 2) x", "POINT Z (1 2)", "CIRCLE (1 2)"]
     df = wkt_frame(spark, [(i, t, 0, 0) for i, t in enumerate(good + bad)] + [(99, None, 0, 0)])
     kinds = [r[0] for r in df.orderBy("id").select("kind").collect()]
     assert all(kinds[:len(good)]) and not any(kinds[len(good):])
