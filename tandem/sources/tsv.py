@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import TIME_FORMAT, from_epoch_us_ntz, parse_time
 from ..functions.wkt import with_wkt_geometry
+from ..session import stored
 
 
 def parse_lines(lines: DataFrame, text_col: str = "value", fmt: str = TIME_FORMAT) -> DataFrame:
@@ -28,14 +29,14 @@ def parse_lines(lines: DataFrame, text_col: str = "value", fmt: str = TIME_FORMA
 
 def read_wkt_tsv(spark: SparkSession, path: str, fmt: str = TIME_FORMAT,
                  id_col: str | None = "id") -> DataFrame:
-    """Read text files and parse them.  With ``id_col`` an id is attached by
-    ``monotonically_increasing_id`` (stable only for an unchanged input
-    split); supply ids in the data where retries must see the same ids."""
+    """Read text files and parse them.  With ``id_col`` the lines have no id of their own: they
+    are numbered, parsed and written once to the session's shared folder, and the frame
+    reads what was written.  So a retried task or a changed input split sees the same
+    ids, and no text is parsed twice."""
     lines = spark.read.text(path)
-    df = parse_lines(lines, "value", fmt)
-    if id_col:
-        df = df.withColumn(id_col, F.monotonically_increasing_id())
-    return df
+    if not id_col:
+        return parse_lines(lines, "value", fmt)
+    return stored(parse_lines(lines.withColumn(id_col, F.monotonically_increasing_id()), "value", fmt), "wkt-tsv-rows")
 
 
 def write_wkt_tsv(df: DataFrame, path: str, fmt: str = TIME_FORMAT, mode: str = "error") -> None:

@@ -214,6 +214,7 @@ def test_rejected(spark):
              "MULTIPOINT (,EMPTY)", "MULTILINESTRING (1 2, EMPTY)", "MULTILINESTRING ((1 2, 3 4)(5 6, 7 8))", "GEOMETRYCOLLECTION ()",
              "GEOMETRYCOLLECTION (POINT (1 2)", "GEOMETRYCOLLECTION (POINT (1 2) POINT (3 4))", "GEOMETRYCOLLECTION (POINT (1 2),)",
              "GEOMETRYCOLLECTION ((POINT (1 2)))", "GEOMETRYCOLLECTION (1 2)", "GEOMETRYCOLLECTION (POINT Z (1 2))", "POINT (1 2), POINT (3 4)",
+             "GEOMETRYCOLLECTION (POINT (1 2)), POINT (3 4)", "POINT (1 2), POINT (3 4), POINT EMPTY",
              "SRID=4326;GEOMETRYCOLLECTION (POINT (1 2))", "POLYGON (((0 0, 1 0, 1 1, 0 0)))", "MULTIPOLYGON ((0 0, 1 0, 1 1, 0 0))", "g", "G"]
     kinds = wkt_frame(spark, [(i, t, 0, 0) for i, t in enumerate(texts)]).orderBy("id").select("kind").collect()
     assert [t for t, k in zip(texts, kinds) if k["kind"] is not None] == []

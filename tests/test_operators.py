@@ -142,3 +142,20 @@ def test_periods_of_any_size_with_gaps_and_hot_spots(spark):
     assert {x.period: x.n for x in TL.period_density(R, P).collect()} == n
     none = P.where("period < 0")
     assert TL.periods_for_range(R, none).count() == TL.period_density(R, none).count() == 0
+
+
+def test_loaded_ids_do_not_follow_the_input_split(spark, tmp_path):
+    """Ids are written once: another split size, or other files later, changes nothing."""
+    path = str(tmp_path / "lines")
+    text = spark.range(3000).selectExpr("concat('POINT (', id, ' 1)\t2024-01-01 00:00:00\t2024-01-01 00:00:01') AS value")
+    text.repartition(3).write.text(path)
+    rows = read_wkt_tsv(spark, path)
+    first = {r["id"]: r["minx"] for r in rows.select("id", "minx").collect()}
+    assert sorted(first.values()) == [float(i) for i in range(3000)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        text.limit(10).write.mode("append").text(path)
+        assert {r["id"]: r["minx"] for r in rows.select("id", "minx").collect()} == first
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
