@@ -59,6 +59,12 @@ def parse_time(c, fmt: str = TIME_FORMAT) -> Column:
     return epoch_us_ntz(F.to_timestamp_ntz(_col(c), F.lit(fmt)))
 
 
+def try_parse_time(c, fmt: str = TIME_FORMAT) -> Column:
+    """``parse_time`` with NULL for text that is no time in ``fmt`` (read at offset
+    zero, so the session zone plays no part)."""
+    return F.unix_micros(F.try_to_timestamp(F.concat(_col(c), F.lit(" +0000")), F.lit(fmt + " xx")))
+
+
 def expand_time(start, end, delta_us: int) -> tuple[Column, Column]:
     """Widen ``[start, end]`` by ``delta_us`` on both sides."""
     return _col(start) - F.lit(delta_us), _col(end) + F.lit(delta_us)

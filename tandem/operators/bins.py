@@ -10,6 +10,10 @@ whatever the data size; its cumulative sums are windows per group.
 rows overlapping a query interval ``[a, c]``:
 ``total - ends_le(bin(a)) - starts_ge(bin(c))`` (bins partly inside the
 query are counted as outside, so the bound is safe), and ``has_k``.
+
+``equi_depth_bins`` cuts each group's starts and ends at their own quantiles instead, so that
+every bin holds about as many rows whatever the skew, and a query loses about two bins' rows
+wherever it lies.
 """
 
 from __future__ import annotations
@@ -55,6 +59,10 @@ def _counts(df: DataFrame, g: list[str], start_bin: Column, end_bin: Column) ->
 def _cumulated(dense: DataFrame, counts: DataFrame, g: list[str], keep: list[str]) -> DataFrame:
     t = dense.join(counts, [*g, "bin"], "left").select(
         *g, *keep, "bin", F.coalesce("n_start", F.lit(0)).alias("n_start"), F.coalesce("n_end", F.lit(0)).alias("n_end"))
+    return _running(t, g)
+
+
+def _running(t: DataFrame, g: list[str]) -> DataFrame:
     w = Window.partitionBy(*g).orderBy("bin")  # n_bins rows a group
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -106,3 +114,66 @@ def overlap_count_bound(queries: DataFrame, bins: DataFrame, spec: BinSpec, delt
     bound = F.when(disjoint, F.lit(0)).otherwise(
         F.greatest(F.lit(0), F.col("total") - before - after)).cast("bigint")
     return j.select("id", *g, bound.alias("lower_bound"), (bound >= k).alias("has_k"))
+
+
+def equi_depth_cuts(df: DataFrame, group_cols: list[str], n_bins: int, accuracy: int = 10_000) -> DataFrame:
+    """Per group: ``start_cuts, end_cuts`` (at most ``n_bins - 1`` rising values each), ``min_end, max_start``.
+    The quantiles come from a mergeable sketch (rank error 1 / accuracy), so a group of any size is
+    summed up before the shuffle.  Rows with a null start or end take no part."""
+    shares = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
+
+    def cuts(c):
+        return F.array_distinct(F.percentile_approx(c, shares, accuracy))
+
+    return df.where(F.col("start_us").isNotNull() & F.col("end_us").isNotNull()).groupBy(*group_cols).agg(
+        cuts("start_us").alias("start_cuts"), cuts("end_us").alias("end_cuts"),
+        F.min("end_us").alias("min_end"), F.max("start_us").alias("max_start"))
+
+
+def _place(c, cuts: str):
+    """Number of cuts at or below ``c``: the bin that holds it."""
+    return F.size(F.filter(F.col(cuts), lambda cut: cut <= c))
+
+
+def equi_depth_bins(df: DataFrame, cuts: DataFrame, group_cols: list[str], n_bins: int) -> DataFrame:
+    """A2 over the cuts of ``equi_depth_cuts``: group..., ``bin, n_start, n_end, ends_le, starts_ge, total``, where
+    ``n_start`` counts by ``start_cuts`` and ``n_end`` by ``end_cuts``.  The counts are exact whatever the
+    sketch's error.  Null groups are a group of their own."""
+    g = list(group_cols)
+    rows = df.where(F.col("start_us").isNotNull() & F.col("end_us").isNotNull()).select(*g, "start_us", "end_us")
+    placed = _same_group(rows, cuts.select(*g, "start_cuts", "end_cuts"), g)
+    counts = _counts(placed, g, _place(F.col("start_us"), "start_cuts"), _place(F.col("end_us"), "end_cuts"))
+    # every bin of every group, then one sum: no join on keys that may be null
+    dense = cuts.select(*g, F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"),
+                        F.lit(0).cast("bigint").alias("n_start"), F.lit(0).cast("bigint").alias("n_end"))
+    t = dense.unionByName(counts).groupBy(*g, "bin").agg(F.sum("n_start").alias("n_start"), F.sum("n_end").alias("n_end"))
+    return _running(t, g)
+
+
+def _same_group(left: DataFrame, right: DataFrame, g: list[str]) -> DataFrame:
+    """Inner join on the group columns in which null equals null."""
+    other = right.select(*[F.col(c).alias(f"_g_{c}") if c in g else F.col(c) for c in right.columns])
+    met = F.lit(True)
+    for c in g:
+        met = met & left[c].eqNullSafe(F.col(f"_g_{c}"))
+    return left.join(other, met).drop(*[f"_g_{c}" for c in g])
+
+
+def equi_depth_bound(queries: DataFrame, bins: DataFrame, cuts: DataFrame, delta_us: int, k: int,
+                     group_cols: list[str]) -> DataFrame:
+    """A3 over equi-depth bins: per query row (``id, start_us, end_us`` and the group columns), widened by delta,
+    ``lower_bound`` and ``has_k``.  Rows that end in the bin of the query's start or before, or start in the bin of its
+    end or after, count as outside, so the bound never exceeds the true count.  A query
+    whose group has no rows is left out."""
+    g = list(group_cols)
+    q = _same_group(queries.select("id", *g, (F.col("start_us") - delta_us).alias("_a"),
+                                   (F.col("end_us") + delta_us).alias("_c")), cuts, g)
+    q = q.select("id", *g, F.struct("_a", "_c", "min_end", "max_start").alias("_q"),
+                 _place(F.col("_a"), "end_cuts").alias("_ba"), _place(F.col("_c"), "start_cuts").alias("_bc"))
+    lo = bins.select(*g, F.col("bin").alias("_ba"), "ends_le", "total")
+    hi = bins.select(*g, F.col("bin").alias("_bc"), "starts_ge")
+    j = _same_group(_same_group(q, lo, [*g, "_ba"]), hi, [*g, "_bc"])
+    before = F.when(F.col("_q._a") > F.col("_q.min_end"), F.col("ends_le")).otherwise(F.lit(0))
+    after = F.when(F.col("_q._c") < F.col("_q.max_start"), F.col("starts_ge")).otherwise(F.lit(0))
+    bound = F.greatest(F.lit(0), F.col("total") - before - after).cast("bigint")
+    return j.select("id", *g, bound.alias("lower_bound"), (bound >= k).alias("has_k"))

@@ -60,6 +60,11 @@ def right_prefilter(right: DataFrame, left: DataFrame, delta_us: int) -> DataFra
                                    F.lit(row["e"] + delta_us)))
 
 
+#: every problem that ``row_problems`` names
+PROBLEMS = ("malformed geometry", "empty geometry", "null id", "null time", "start after end", "missing coordinate",
+            "infinite coordinate", "empty envelope")
+
+
 def row_problems(df: DataFrame) -> Column:
     """NULL when the row is valid, else the first problem found."""
     checks = [

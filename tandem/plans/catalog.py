@@ -26,7 +26,8 @@ from ..operators import tiling as TL
 from ..session import shared_dir
 from ..sources import fixtures as fx
 from ..sources import results as RS
-from ..sources.tsv import parse_lines, read_wkt_tsv
+from ..sources.layout import layout_knn_query, write_layout
+from ..sources.tsv import VALID, load_wkt_tsv, parse_lines, read_wkt_tsv
 
 # Parameters of the registered queries.
 K = 5
@@ -39,6 +40,7 @@ WIN_END2 = 1_705_017_600_000_000    # 2024-01-12 00:00:00
 QUERY_BOX = (100.0, 20.0, 200.0, 60.0)
 OUTER_BOX = (100.0, 20.0, 300.0, 80.0)
 N_BINS = 200
+DEPTH_BINS = 8
 ALPHA, BETA, TILE_K = 20, 4, 15
 QUAD_BETA, QUAD_LEVEL = 40, 6
 
@@ -303,6 +305,15 @@ def q_st_knn_query(spark, sf):
     return top.select(F.col("id").alias("r_id"), "dist").withColumn("rank", F.row_number().over(w))
 
 
+def q_layout_knn_query(spark, sf):
+    """The same query over the views stored by day and cell: only near partitions are read."""
+    q = fx.pts_left(spark, sf).orderBy("id").select("minx", "miny", "start_us").first()
+    path = write_layout(fx.pts_right(spark, sf), shared_dir(spark, "layout"), DAY, 25.0)
+    top = layout_knn_query(spark, path, q["minx"], q["miny"], q["start_us"], q["start_us"], 10, 12 * HOUR).result
+    w = Window.orderBy("dist", "r_id")  # over the k rows of the result
+    return top.select(F.col("id").alias("r_id"), "dist").withColumn("rank", F.row_number().over(w))
+
+
 def q_interval_overlap_join(spark, sf):
     pairs = J.interval_overlap_join(fx.pts_left(spark, sf), fx.sessions(spark, sf), 0)
     return pairs.select("l_id", "r_id")
@@ -342,6 +353,21 @@ def q_overlap_count_bound(spark, sf):
     return B.overlap_count_bound(fx.pts_left(spark, sf), bins, spec, HOUR, TILE_K)
 
 
+def _depth(spark, sf):
+    s = fx.sessions(spark, sf)
+    cuts = B.equi_depth_cuts(s, ["user_id"], DEPTH_BINS)
+    return cuts, B.equi_depth_bins(s, cuts, ["user_id"], DEPTH_BINS)
+
+
+def q_equi_depth_bins(spark, sf):
+    return _depth(spark, sf)[1]
+
+
+def q_equi_depth_bound(spark, sf):
+    cuts, bins = _depth(spark, sf)
+    return B.equi_depth_bound(fx.pts_left(spark, sf), bins, cuts, 10 * DAY, TILE_K, ["user_id"])
+
+
 def q_st_knn_count(spark, sf):
     res = KN.st_knn_join(fx.pts_left(spark, sf), fx.pts_right(spark, sf), K, DELTA, nested=True)
     return res.agg(F.count(F.lit(1)).alias("n"))
@@ -492,6 +518,25 @@ def q_validate_wkt(spark, sf):
     return FL.validate_rows(rows, "flag").select("id", "problem")
 
 
+def q_load_rejects(spark, sf):
+    """Text lines, six of seven spoiled, loaded in one pass: rows per problem as counted while
+    writing, and as stored."""
+    raw = _ev(spark, sf)
+    x, y = F.col("value").cast("string"), F.get_json_object("props", "$.k")
+    kind = F.col("event_id") % 7
+    wkt = (F.when(kind == 1, F.concat(F.lit("POINT (abc "), y, F.lit(")"))).when(kind == 2, F.lit("POLYGON EMPTY"))
+           .when(kind == 5, F.lit("POINT (1e999 0)")).otherwise(F.concat(F.lit("POINT ("), x, F.lit(" "), y, F.lit(")"))))
+    t = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    start = F.when(kind == 3, F.lit("yesterday")).otherwise(t)
+    end = F.when(kind == 4, F.lit("1999-12-31 00:00:00")).when(kind == 6, F.lit(None).cast("string")).otherwise(t)
+    lines = raw.select(F.col("event_id").alias("id"), F.concat_ws("\t", wkt, start, end).alias("value"))
+    got = load_wkt_tsv(spark, lines, id_col="id")
+    counted = spark.createDataFrame([(p, n) for p, n in got.counts.items() if n], "problem string, n_counted bigint")
+    stored = got.rejected.select("id", "problem").unionByName(got.rows.select("id", F.lit(VALID).alias("problem"))) \
+        .groupBy("problem").agg(F.count(F.lit(1)).alias("n_stored"), F.sum("id").alias("id_sum"))
+    return stored.join(counted, "problem", "full").select("problem", "n_counted", "n_stored", "id_sum")
+
+
 def q_multipolygon(spark, sf):
     """MULTIPOLYGON with a hole and both ring orientations: WKT round trip,
     polygons and rings, centroid, GeoJSON nesting."""
@@ -651,6 +696,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_rows": q_validate_rows,
     "knn_bound": q_knn_bound,
     "st_knn_query": q_st_knn_query,
+    "layout_knn_query": q_layout_knn_query,
+    "load_rejects": q_load_rejects,
+    "equi_depth_bins": q_equi_depth_bins,
+    "equi_depth_bound": q_equi_depth_bound,
     "interval_overlap_join": q_interval_overlap_join,
     "cell_equi_join": q_cell_equi_join,
     "cell_assign": q_cell_assign,

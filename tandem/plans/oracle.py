@@ -190,6 +190,17 @@ def _feature(geom):
 
 WC = (2 * D + 1) // 4   # count-bin width of the kNN plan for delta = 1 day (M = 3)
 
+SHARES = ", ".join(str(i / C.DEPTH_BINS) for i in range(1, C.DEPTH_BINS))
+DEPTH = f"""cuts AS (SELECT user_id, min(end_us) AS min_end, max(start_us) AS max_start,
+                    list_distinct(quantile_disc(start_us, [{SHARES}])) AS start_cuts,
+                    list_distinct(quantile_disc(end_us, [{SHARES}])) AS end_cuts FROM sessions GROUP BY user_id),
+        placed AS (SELECT s.user_id, len(list_filter(start_cuts, lambda u: u <= start_us)) AS sb,
+                          len(list_filter(end_cuts, lambda u: u <= end_us)) AS eb
+                   FROM sessions s JOIN cuts ON cuts.user_id = s.user_id),
+        depth AS (SELECT c.user_id, CAST(b AS INTEGER) AS bin, count(*) FILTER (sb = b) AS n_start, count(*) FILTER (eb = b) AS n_end,
+                         count(*) FILTER (eb <= b) AS ends_le, count(*) FILTER (sb >= b) AS starts_ge, count(*) AS total
+                  FROM cuts c, range(0, {C.DEPTH_BINS}) t(b), placed p WHERE p.user_id = c.user_id GROUP BY ALL)"""
+
 SQL: dict[str, str] = {
     "parse_time": """SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t_text,
         epoch_us(strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S')) AS epoch_us FROM events""",
@@ -300,6 +311,11 @@ SQL: dict[str, str] = {
               FROM pr r, q WHERE r.t <= q.t + {12 * H} AND r.t >= q.t - {12 * H})
         SELECT r_id, dist, CAST(rank AS INTEGER) AS rank FROM
           (SELECT *, row_number() OVER (ORDER BY dist, r_id) AS rank FROM c) WHERE rank <= 10"""),
+    "layout_knn_query": with_base(f"""q AS (SELECT x, y, t FROM pl ORDER BY id LIMIT 1),
+        c AS (SELECT r.id AS r_id, sqrt((r.x - q.x) * (r.x - q.x) + (r.y - q.y) * (r.y - q.y)) AS dist
+              FROM pr r, q WHERE r.t <= q.t + {12 * H} AND r.t >= q.t - {12 * H})
+        SELECT r_id, dist, CAST(rank AS INTEGER) AS rank FROM
+          (SELECT *, row_number() OVER (ORDER BY dist, r_id) AS rank FROM c) WHERE rank <= 10"""),
     "interval_overlap_join": with_base("""SELECT l.id AS l_id, s.id AS r_id FROM pl l JOIN sessions s
         ON s.start_us <= l.t AND s.end_us >= l.t"""),
     "cell_equi_join": with_base(f"""k AS (SELECT id, {_cellq('x', 'x0', '4')} AS cx, {_cellq('y', 'y0', '4')} AS cy,
@@ -324,6 +340,17 @@ SQL: dict[str, str] = {
         pc AS (SELECT id, level, {_cellq('x', 'x0', 'level')} AS cx, {_cellq('y', 'y0', 'level')} AS cy FROM ev, g, lv)
         SELECT pc.id, numbered.tile, pc.level FROM pc JOIN numbered
           ON numbered.level = pc.level AND numbered.cx = pc.cx AND numbered.cy = pc.cy"""),
+    "equi_depth_bins": with_base(DEPTH + " SELECT user_id, bin, n_start, n_end, ends_le, starts_ge, total FROM depth"),
+    "equi_depth_bound": with_base(DEPTH + f""",
+        q AS (SELECT id, user_id, t - {10 * DAYUS} AS a, t + {10 * DAYUS} AS c FROM pl)
+        SELECT q.id, q.user_id, CAST(greatest(0, lo.total - CASE WHEN a > min_end THEN lo.ends_le ELSE 0 END
+                  - CASE WHEN c < max_start THEN hi.starts_ge ELSE 0 END) AS BIGINT) AS lower_bound, lower_bound >= {C.TILE_K} AS has_k
+        FROM q JOIN cuts ON cuts.user_id = q.user_id
+        JOIN depth lo ON lo.user_id = q.user_id AND lo.bin = len(list_filter(end_cuts, lambda u: u <= a))
+        JOIN depth hi ON hi.user_id = q.user_id AND hi.bin = len(list_filter(start_cuts, lambda u: u <= c))"""),
+    "load_rejects": """SELECT CASE event_id % 7 WHEN 0 THEN 'valid' WHEN 1 THEN 'malformed geometry' WHEN 2 THEN 'empty geometry'
+            WHEN 4 THEN 'start after end' WHEN 5 THEN 'infinite coordinate' ELSE 'null time' END AS problem,
+        count(*) AS n_counted, count(*) AS n_stored, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY 1""",
     "interval_bins": with_base(BINS + " SELECT bin, n_start, n_end, ends_le, starts_ge, total FROM cum"),
     "grouped_interval_bins": with_base("""gs AS (SELECT user_id, min(start_us) AS o, max(end_us) - min(start_us) + 1 AS span
                                                  FROM sessions GROUP BY user_id),
