@@ -233,20 +233,37 @@ def training_rows(documents: DataFrame, labels: DataFrame, target: str, config:
     return key_text(documents).join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id")
 
 
+def _learn(config: Config):
+    """One record of a trained model (bias, weights as bytes) from all training rows, in their order."""
+    schema = pa.schema([("bias", pa.float64()), ("weights", pa.binary())])
+
+    def run(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts.append(batch.column(batch.schema.get_field_index("text")).cast(pa.large_string()))
+            labels.append(batch.column(batch.schema.get_field_index("label")).to_numpy())
+        y = np.concatenate(labels) if labels else np.zeros(0, np.int32)
+        model = train(pa.concat_arrays(texts), y, config) if len(np.unique(y)) == 2 else untrained(y, config)
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.weights.tobytes()], pa.binary())],
+                                         schema=schema)
+
+    return run
+
+
+def untrained(labels: np.ndarray, config: Config) -> Model:
+    """Nothing to tell the classes apart: the share of class 1 with one pseudo-count each."""
+    share = (float(labels.sum()) + 1) / (len(labels) + 2)
+    return Model(config, np.zeros(1 << config.buckets_log2), float(np.log(share / (1 - share))))
+
+
 def fit(documents: DataFrame, labels: DataFrame, target: str, config: Config) -> Model:
-    rows = training_rows(documents, labels, target, config).toArrow()
-    order = np.lexsort((rows["doc_id"].to_numpy(),))
-    rows = rows.take(pa.array(order)).combine_chunks()
-    y = rows["label"].to_numpy()
-    texts = rows["text"].combine_chunks()
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.chunk(0) if texts.num_chunks else pa.array([], pa.string())
-    del rows
-    if len(texts) == 0 or len(np.unique(y)) < 2:
-        # nothing to learn from: the share of class 1 with one pseudo-count each
-        share = (float(y.sum()) + 1) / (len(y) + 2)
-        return Model(config, np.zeros(1 << config.buckets_log2), float(np.log(share / (1 - share))))
-    return train(texts, y, config)
+    """Train on the bounded sample inside one task, which Spark repeats elsewhere if its executor is lost; only the
+    model (one number a bucket) comes to the driver.  The order of the rows is fixed, so a repeat gives the same model."""
+    rows = training_rows(documents, labels, target, config).repartition(1).sortWithinPartitions("doc_id", "text")
+    learned = rows.mapInArrow(_learn(config), "bias double, weights binary").collect()
+    if not learned:
+        return untrained(np.zeros(0), config)
+    return Model(config, np.frombuffer(learned[0]["weights"], np.float64), learned[0]["bias"])
 
 
 def _score(model: Model):
