@@ -57,7 +57,7 @@ def met(left: DataFrame, right: DataFrame, plan: KN.KnnPlan, limit: int) -> Data
     distance 0, overlaps in time and is counted in this block."""
     left, right = with_segments(left), with_segments(right)
     cells, own = blocks(right, plan, left.select("_lv").distinct())
-    pairs = probes(left, plan, own).join(smallest_ids(cells, limit), BLOCK)
+    pairs = KN.keyed(probes(left, plan, own)).join(smallest_ids(cells, limit), BLOCK)
     lside, rside = side(left, "l_"), side(right, "r_")
     apart = KN.time_match(plan) & KN.owned_once(plan) & (G.envelope_distance(lside, rside) == 0)
     zero = F.when(~F.col("_marker") & apart, G.geometry_distance(lside, rside) == 0).otherwise(False)

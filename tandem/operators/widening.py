@@ -46,7 +46,7 @@ def judged(nearest: DataFrame, left: DataFrame, right: DataFrame, predicate: Col
     """(l_id, r_id, dist) of ``nearest`` with ``ok``: whether the pair passes the
     predicate over all columns of both inputs."""
     slim = nearest.select("l_id", "r_id", "dist")
-    full = slim.join(prefixed(left, "l_"), "l_id").join(prefixed(right, "r_"), "r_id")
+    full = slim.join(KN.keyed(prefixed(left, "l_")), "l_id").join(KN.keyed(prefixed(right, "r_")), "r_id")
     return full.select("l_id", "r_id", "dist", F.coalesce(predicate, F.lit(False)).alias("ok"))
 
 
@@ -55,7 +55,8 @@ def rounds(left: DataFrame, right: DataFrame, slim_left: DataFrame, slim_right:
     """Per round: (need, judged pairs, ids of the R rows still short of k survivors)."""
     out, need, pending = [], first * k, slim_left
     while True:
-        nearest = KN.top_k(KN.candidate_pairs(pending, slim_right, plan, None, need, store=True), need)
+        nearest = KN.top_k(KN.candidate_pairs(pending, slim_right, plan, None, need, store=True)
+                           .select("l_id", "r_id", "dist"), need)
         pairs = stored(judged(nearest, left, right, predicate), "round")
         met = pairs.groupBy("l_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("int")).alias("good"))
         short = stored(met.where((F.col("n") >= need) & (F.col("good") < k)).select("l_id"), "short")
