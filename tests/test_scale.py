@@ -3,7 +3,9 @@
 import re
 
 from conftest import SF001
+from tandem.functions import geometry as G
 from tandem.operators import knn as KN
+from tandem.plans.catalog import QUERIES, geometry_frame
 from tandem.sources import fixtures as fx
 
 DAY = 86_400_000_000
@@ -29,3 +31,16 @@ def test_top_k_shuffles_ids_alone(spark):
     while "(" in project:
         project = re.sub(r"\([^()]*\)", "", project)
     assert {c.split(" AS ")[-1].split("#")[0] for c in project.split(", ")} == {"l_id", "r_id", "dist"}
+
+
+def test_geometry_is_computed_once_a_row(spark):
+    """A centroid sums its rings once, not once per use of the sums."""
+    plan = geometry_frame(spark, SF001).select(G.centroid(G.Side("", True)).alias("c"))
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert text.split("Project [")[1].count("aggregate(") <= 24
+
+
+def test_costly_rows_are_dealt(spark):
+    """A file of one row group is read by one task; the work on its rows is not."""
+    for name in ("multipolygon", "wkt_collections", "centroid"):
+        assert "RepartitionByExpression" in QUERIES[name](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
