@@ -93,9 +93,9 @@ def intersect(index: DataFrame, probes: DataFrame, n_probes: int = PROBES) -> Da
     return starts
 
 
-def find_occurrences(rows: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``ROW``, doc_id, text, w (its words), n_words, hits: array of (start, terms,
-    items), confirmed, for each row of ``rows`` (of ``numbered``)."""
+def places_due(rows: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``ROW``, due: array of (start, terms, items) where all probes of a window meet, for the
+    rows (of ``numbered``) that have any."""
     docs = rows.select(F.col(ROW).alias("doc_id"), "text")
     windows = written(item_windows(items, window), "windows")
     vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
@@ -103,12 +103,22 @@ def find_occurrences(rows: DataFrame, items: DataFrame, window: int = WINDOW) ->
     probes = written(rarest_terms(windows, index), "probes")
     starts = intersect(index, probes).join(windows, "win").select(
         "doc_id", F.struct("start", "terms", "items").alias("at"))
-    due = starts.groupBy(F.col("doc_id").alias(ROW)).agg(F.collect_set("at").alias("due"))
-    met = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text").join(due, ROW, "left") \
-        .select(ROW, "doc_id", "text", words(F.col("text")).alias("w"), "due")
+    return starts.groupBy(F.col("doc_id").alias(ROW)).agg(F.collect_set("at").alias("due"))
+
+
+def confirmed(met: DataFrame) -> DataFrame:
+    """``met`` (text, due) with w (its words), n_words and hits: the due places where the words stand."""
     same = F.filter("due", lambda c: F.slice("w", c.start + 1, F.size(c.terms)) == c.terms)
-    return met.select(ROW, "doc_id", "text", "w", F.size("w").alias("n_words"),
-                      F.coalesce(same, F.expr("array()")).alias("hits"))
+    return met.withColumn("w", words(F.col("text"))).select(
+        *[c for c in met.columns if c != "due"], "w", F.size("w").alias("n_words"),
+        F.coalesce(same, F.expr("array()")).alias("hits"))
+
+
+def find_occurrences(rows: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``ROW``, doc_id, text, w (its words), n_words, hits: array of (start, terms,
+    items), confirmed, for each row of ``rows`` (of ``numbered``)."""
+    due = places_due(rows, items, window)
+    return confirmed(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text").join(due, ROW, "left"))
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -125,9 +135,14 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW)
 
 
 def drop_contaminated(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``documents`` (all columns) without the rows that hold a window of an item."""
+    """``documents`` (all columns) without the rows that hold a window of an item.
+
+    Only rows with a due place are read for words, and only ids meet all rows: the lists of
+    ids are written first, so their size is known and the texts need not be shuffled."""
     rows = numbered(documents)
-    gone = find_occurrences(rows, items, window).where(F.size("hits") > 0).select(ROW)
+    due = written(places_due(rows, items, window), "due")
+    met = rows.select(ROW, "text").join(due.select(ROW), ROW, "left_semi").join(due, ROW)
+    gone = written(confirmed(met).where(F.size("hits") > 0).select(ROW), "gone")
     return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 

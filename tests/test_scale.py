@@ -44,3 +44,13 @@ def test_costly_rows_are_dealt(spark):
     """A file of one row group is read by one task; the work on its rows is not."""
     for name in ("multipolygon", "wkt_collections", "centroid"):
         assert "RepartitionByExpression" in QUERIES[name](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decontamination_does_not_shuffle_texts(spark):
+    from tandem.llm.decontam import drop_contaminated
+    docs = spark.createDataFrame([(i, " ".join(f"w{j + i % 2 * 100}" for j in range(20)), "x") for i in range(40)],
+                                 "doc_id bigint, text string, lang string")
+    items = spark.createDataFrame([("a", " ".join(f"w{j}" for j in range(3, 14)))], "item_id string, text string")
+    kept = drop_contaminated(docs, items)
+    assert "hashpartitioning" not in plan_text(kept)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(1, 40, 2))
